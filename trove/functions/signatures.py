@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Largest distances that count as similar, and the limits of the colour gate.
@@ -63,8 +63,21 @@ def bands(signature: Column, threshold: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(signature, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).alias("bits")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))])
 
 
-def simhash(tokens: Column, n_bits: int = 60) -> Column:
-    """SimHash of an array of words by their md5; bit i is set where more than half of the words set it."""
-    hashes = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("long"))
-    tally = lambda hs: F.transform(F.sequence(F.lit(0), F.lit(n_bits - 1)), lambda i: F.aggregate(hs, F.lit(0), lambda s, h: s + (F.call_function("shiftright", h, i).bitwiseAND(F.lit(1).cast("long")) * 2 - 1).cast("int")) > 0)
-    return F.get(F.transform(F.array(hashes), lambda hs: bits(tally(hs))), F.lit(0))
+def simhashes(rows: DataFrame, key: str, tokens: dict[str, Column], n_bits: int = 60) -> DataFrame:
+    """key and, for each name of tokens, the SimHash of that array of words by their md5; keys without words have no row.
+
+    Bit i is set where more than half of the words set it. Bits are counted by plain sums, which are added up before
+    anything is shuffled. The arrays have equal lengths.
+    """
+    word = F.explode(F.arrays_zip(*[c.alias(n) for n, c in tokens.items()]))
+    each = rows.select(key, word.alias("w"))
+    hashed = each.select(key, *[F.conv(F.substring(F.md5(f"w.{n}"), 1, 15), 16, 10).cast("long").alias(n) for n in tokens])
+    tally = hashed.groupBy(key).agg(F.count("*").alias("words"), *[F.sum(F.shiftright(n, i).bitwiseAND(F.lit(1).cast("long"))).alias(f"{n}_{i}") for n in tokens for i in range(n_bits)])
+
+    def joined(n: str) -> Column:
+        out = F.lit(0).cast("long")
+        for i in range(n_bits):
+            out = out + F.when(F.col(f"{n}_{i}") * 2 > F.col("words"), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+        return out
+
+    return tally.select(key, *[joined(n).alias(n) for n in tokens])

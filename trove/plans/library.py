@@ -16,7 +16,8 @@ from trove.plans.naming import claim_names, in_path_order
 
 
 def _named(moves: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """moves (source, dir, name, seq, ...) with target: dir and a name that collides with none."""
+    """moves (source, dir, name, seq, ...) with target: dir and a name that collides with none. A source is moved once."""
+    moves = moves.dropDuplicates(["dir", "seq"])
     given = claim_names(moves, existing).select("dir", "seq", "given")
     return moves.join(given, ["dir", "seq"]).withColumn("target", F.concat_ws("/", "dir", "given")).drop("given")
 

@@ -284,32 +284,32 @@ def dated_catalog(spark: SparkSession, sf: str) -> DataFrame:
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     folder = F.when(key % 13 == 0, F.lit("misc")).when(key % 7 == 0, F.date_format("o_orderdate", "yyyy-MM")).otherwise(F.date_format("o_orderdate", "yyyy/MM-dd' walk'"))
-    return j.select(key.alias("id"), F.concat(F.lit("/lib/"), folder, F.lit("/f"), key.cast("string"), F.lit(".jpg")).alias("path"), F.when(key % 11 > 0, F.date_format("l_shipdate", "yyyy:MM:dd HH:mm:ss")).alias("capture_date"))
+    return j.select(key.alias("id"), F.concat(F.lit("/lib/"), folder, F.lit("/f"), key.cast("string"), F.lit("-"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"), F.lit(".jpg")).alias("path"), F.when(key % 11 > 0, F.date_format("l_shipdate", "yyyy:MM:dd HH:mm:ss")).alias("capture_date"))
 
 
-VERIFY = """v0 as (select l_orderkey * 10 + l_linenumber as id, l_shipdate::date as s, o_orderdate::date as o from lineitem join orders on l_orderkey = o_orderkey),
-v1 as (select id, s, o, '/lib/' || case when id % 13 = 0 then 'misc' when id % 7 = 0 then strftime(o, '%Y-%m') else strftime(o, '%Y/%m-%d walk') end || '/f' || id || '.jpg' as path,
+VERIFY = """v0 as (select l_orderkey * 10 + l_linenumber as id, l_orderkey * 10 + l_linenumber || '-' || l_partkey || '-' || l_suppkey as nm, l_shipdate::date as s, o_orderdate::date as o from lineitem join orders on l_orderkey = o_orderkey),
+v1 as (select id, nm, s, o, '/lib/' || case when id % 13 = 0 then 'misc' when id % 7 = 0 then strftime(o, '%Y-%m') else strftime(o, '%Y/%m-%d walk') end || '/f' || nm || '.jpg' as path,
     case when id % 11 > 0 then strftime(s, '%Y-%m-%d') end as exif_date, case when id % 13 = 0 then null when id % 7 = 0 then strftime(o, '%Y-%m') else strftime(o, '%Y-%m-%d') end as folder_date from v0),
 v2 as (select *, case when exif_date is null then 'undated' when folder_date is null then 'outside' when exif_date = folder_date or strftime(s, '%Y-%m') = folder_date then 'ok' else 'mismatch' end as status from v1),
-v as (select path, exif_date, folder_date, status, case status when 'ok' then 0 when 'mismatch' then abs(date_diff('day', case when id % 7 = 0 then date_trunc('month', o)::date else o end, s)) end as days_off, id, s from v2)"""
+v as (select path, exif_date, folder_date, status, case status when 'ok' then 0 when 'mismatch' then abs(date_diff('day', case when id % 7 = 0 then date_trunc('month', o)::date else o end, s)) end as days_off, id, nm, s from v2)"""
 query("c6_verify", f"with {VERIFY} select path, exif_date, folder_date, status, days_off from v")(lambda s, d: verify.verify_dates(dated_catalog(s, d)))
 query("c6_counts", f"with {VERIFY} select status, count(*) as files from v group by status")(lambda s, d: verify.verify_counts(verify.verify_dates(dated_catalog(s, d))))
 query("f7_days_off", f"with {VERIFY} select path, days_off from v where status = 'mismatch' and days_off >= 10")(lambda s, d: verify.far_off(verify.verify_dates(dated_catalog(s, d))).select("path", "days_off"))
 query("f8_status", f"with {VERIFY} select path from v where status = 'ok'")(lambda s, d: verify.with_status(verify.verify_dates(dated_catalog(s, d)), "ok").select("path"))
 query("f5_text_filter", f"with {CAT} select path from cat where contains(lower(path), 'src1/en/1')")(lambda s, d: verify.text_filter(doc_catalog(s, d), "SRC1/en/1").select("path"))
-query("c18_rehome_plan", f"with {VERIFY} select path as source, '/new/' || strftime(s, '%Y/%m-%d') || case when id % 7 = 0 then '' else ' walk' end || '/f' || id || '.jpg' as target, days_off from v where status = 'mismatch'")(lambda s, d: library.rehome_plan(verify.verify_dates(dated_catalog(s, d)), "/new", TEMPLATE))
+query("c18_rehome_plan", f"with {VERIFY} select path as source, '/new/' || strftime(s, '%Y/%m-%d') || case when id % 7 = 0 then '' else ' walk' end || '/f' || nm || '.jpg' as target, days_off from v where status = 'mismatch'")(lambda s, d: library.rehome_plan(verify.verify_dates(dated_catalog(s, d)), "/new", TEMPLATE))
 
 # --- signatures ---------------------------------------------------------------------------------------------------
 
 
 @query("h7_phash", """with q as (select vec_id, embedding, list_sort(embedding) as s, len(embedding) as n from embeddings),
 m as (select *, (s[(n + 1) // 2]::double + s[n // 2 + 1]::double) / 2 as mid from q)
-select vec_id, list_sum(list_transform(range(n), i -> case when embedding[i + 1]::double > mid then case when i = 63 then -9223372036854775808::hugeint else (1::hugeint << i::int) end else 0::hugeint end))::bigint as phash from m""")
+select vec_id, list_sum(list_transform(range(n), lambda i: case when embedding[i + 1]::double > mid then case when i = 63 then -9223372036854775808::hugeint else (1::hugeint << i::int) end else 0::hugeint end))::bigint as phash from m""")
 def h7_phash(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", signatures.median_hash(F.col("embedding")).alias("phash"))
 
 
-query("h8_dhash", "select vec_id, list_sum(list_transform(range(len(embedding) - 1), i -> case when embedding[i + 1] < embedding[i + 2] then (1::hugeint << i::int) else 0::hugeint end))::bigint as dhash from embeddings")(lambda s, d: table(s, d, "embeddings").select("vec_id", signatures.gradient_hash(F.col("embedding")).alias("dhash")))
+query("h8_dhash", "select vec_id, list_sum(list_transform(range(len(embedding) - 1), lambda i: case when embedding[i + 1] < embedding[i + 2] then (1::hugeint << i::int) else 0::hugeint end))::bigint as dhash from embeddings")(lambda s, d: table(s, d, "embeddings").select("vec_id", signatures.gradient_hash(F.col("embedding")).alias("dhash")))
 query("h9_mean_chroma", "select l_orderkey, floor(avg(greatest(l_partkey % 256, l_suppkey % 256, l_linenumber * 20) - least(l_partkey % 256, l_suppkey % 256, l_linenumber * 20)))::bigint as chroma from lineitem group by l_orderkey")(lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(signatures.mean_chroma(F.col("l_partkey") % 256, F.col("l_suppkey") % 256, F.col("l_linenumber") * 20).alias("chroma")))
 query("h10_distance", "select l_orderkey, l_linenumber, bit_count(xor(l_partkey * 2654435761, l_suppkey * 40503))::bigint as distance from lineitem")(lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", signatures.distance(F.col("l_partkey") * 2654435761, F.col("l_suppkey") * 40503).alias("distance")))
 query("f2_chroma_gate", """with c as (select l_orderkey, l_linenumber, case when l_linenumber % 7 = 0 then null else l_partkey % 256 end as a, l_suppkey % 256 as b from lineitem)
@@ -318,13 +318,14 @@ select l_orderkey, l_linenumber, coalesce(not ((least(a, b) <= 6 and greatest(a,
 
 def signature_catalog(spark: SparkSession, sf: str, trees: list[str] | None = None) -> DataFrame:
     """The documents' catalog with kind (language), phash (SimHash of words), dhash (of words reversed), chroma."""
-    d = table(spark, sf, "documents").select("doc_id", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("words"), (F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).when(F.col("lang") == "de", 2)).alias("kind"))
-    s = d.select("doc_id", "kind", signatures.simhash(F.col("words")).alias("phash"), signatures.simhash(F.transform("words", F.reverse)).alias("dhash"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 4).cast("int").alias("chroma"))
+    d = table(spark, sf, "documents").select("doc_id", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("words"), F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).when(F.col("lang") == "de", 2).alias("kind"))
+    hashed = signatures.simhashes(d, "doc_id", {"phash": F.col("words"), "dhash": F.transform("words", F.reverse)})
+    s = d.select("doc_id", "kind").join(hashed, "doc_id", "left").select("doc_id", "kind", F.coalesce("phash", F.lit(0)).alias("phash"), F.coalesce("dhash", F.lit(0)).alias("dhash"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 4).cast("int").alias("chroma"))
     return doc_catalog(spark, sf, trees).join(s, "doc_id")
 
 
 #: the same in SQL: sums of signed bits over words
-SIG = CAT + """, ws as (select doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), w -> w <> '')) as w from documents),
+SIG = CAT + """, ws as (select doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w <> '')) as w from documents),
 wc as (select doc_id, w, count(*) as c from ws group by all),
 wh as (select doc_id, c, ('0x' || substr(md5(w), 1, 15))::bigint as h, ('0x' || substr(md5(reverse(w)), 1, 15))::bigint as g from wc),
 bt as (select doc_id, i, sum(c * (((h >> i::int) & 1) * 2 - 1)) as hs, sum(c * (((g >> i::int) & 1) * 2 - 1)) as gs from wh, range(60) t(i) group by doc_id, i),
@@ -334,7 +335,7 @@ _SIM = "x.kind = y.kind and bit_count(xor(x.phash, y.phash)) <= 6 and bit_count(
 query("h7_simhash", f"with {SIG} select doc_id, phash, dhash from sc")(lambda s, d: signature_catalog(s, d).select("doc_id", "phash", "dhash"))
 query("j6_similar_pairs", f"with {SIG} select x.path as a, y.path as b, bit_count(xor(x.phash, y.phash))::bigint as distance from sc x join sc y on {_SIM} where string_split(x.path, '/') < string_split(y.path, '/')")(lambda s, d: similar.similar_pairs(signature_catalog(s, d)))
 query("j6_theta_pairs", """with q as (select vec_id, label, embedding, list_sort(embedding) as s, len(embedding) as n from embeddings), m as (select *, (s[(n + 1) // 2]::double + s[n // 2 + 1]::double) / 2 as mid from q),
-p as (select vec_id, label, list_sum(list_transform(range(n), i -> case when embedding[i + 1]::double > mid then case when i = 63 then -9223372036854775808::hugeint else (1::hugeint << i::int) end else 0::hugeint end))::bigint as h from m)
+p as (select vec_id, label, list_sum(list_transform(range(n), lambda i: case when embedding[i + 1]::double > mid then case when i = 63 then -9223372036854775808::hugeint else (1::hugeint << i::int) end else 0::hugeint end))::bigint as h from m)
 select 'v/' || x.vec_id as a, 'v/' || y.vec_id as b, bit_count(xor(x.h, y.h))::bigint as distance from p x join p y on x.label = y.label and bit_count(xor(x.h, y.h)) <= 22 where 'v/' || x.vec_id < 'v/' || y.vec_id""")(
     lambda s, d: similar.similar_pairs(table(s, d, "embeddings").select(F.concat(F.lit("v/"), F.col("vec_id").cast("string")).alias("path"), F.col("label").alias("kind"), signatures.median_hash(F.col("embedding")).alias("phash"), F.lit(0).cast("long").alias("dhash"), F.lit(None).cast("int").alias("chroma")), 22, 22)
 )
@@ -385,12 +386,12 @@ def library_files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as files of two libraries in year/event folders."""
     c = doc_catalog(spark, sf)
     lib = F.when(F.col("tree").isin(A_TREES), "/lib-a").otherwise("/lib-b")
-    event = F.concat(F.format_string("%02d-%02d", F.col("doc_id") % 12 + 1, F.col("doc_id") % 4 + 1), F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, " Hawaii").otherwise(" Party"))
+    event = F.concat(F.format_string("%02d-%02d", F.col("doc_id") % 12 + 1, F.col("doc_id") % 4 + 1), F.when(F.floor(F.col("doc_id") / 7) % 3 == 0, "").when(F.floor(F.col("doc_id") / 7) % 3 == 1, " Hawaii").otherwise(" Party"))
     rel = F.concat(F.lit("2004/"), event, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return c.withColumns({"rel": rel, "path": F.concat(lib, F.lit("/"), rel), "tree": lib})
 
 
-_LIB = f"""{CAT.replace("'/' || source || '/' || lang || '/' || doc_id || '.txt' as path", "case when source in (" + _IN_A + ") then '/lib-a' else '/lib-b' end || '/2004/' || printf('%02d-%02d', (doc_id % 12 + 1)::int, (doc_id % 4 + 1)::int) || case doc_id % 3 when 0 then '' when 1 then ' Hawaii' else ' Party' end || '/' || doc_id || '.txt' as path")}"""
+_LIB = f"""{CAT.replace("'/' || source || '/' || lang || '/' || doc_id || '.txt' as path", "case when source in (" + _IN_A + ") then '/lib-a' else '/lib-b' end || '/2004/' || printf('%02d-%02d', (doc_id % 12 + 1)::int, (doc_id % 4 + 1)::int) || case (doc_id // 7) % 3 when 0 then '' when 1 then ' Hawaii' else ' Party' end || '/' || doc_id || '.txt' as path")}"""
 _LIBGROUPS = _GROUPS.replace(CAT, _LIB)
 _CANON = "cn as (select substr(event, 1, 5) as mmdd, arg_min(event, (-strlen(event), event)) as folder from (select string_split(path, '/')[4] as event from cat) group by 1)"
 query("p12_canonical", f"with {_LIB}, {_CANON} select '2004' as year, mmdd, folder from cn")(lambda s, d: library.canonical_folders(catalog.event_files(library_files(s, d))))
@@ -483,4 +484,4 @@ query("a12_reuse", f"with {CAT}, {_store_sql('t')}, {_store_sql('s', 1)} select
 query("k7_invalidate", f"with {CAT}, {_store_sql('t')} select volume, rel_path from t where not (volume = 'src1' and rel_path like 'en/%')")(lambda s, d: layers.invalidate(layer_store(s, d), "src1", "en").select("volume", "rel_path"))
 query("k8_rekey", f"with {CAT}, {_store_sql('t')} select case when volume = 'src1' and rel_path like 'en/%' then 'uuid-1' else volume end as volume, case when volume = 'src1' and rel_path like 'en/%' then substr(rel_path, 4) else rel_path end as rel_path from t")(lambda s, d: layers.rekey(layer_store(s, d), {"src1/en": "uuid-1"}).select("volume", "rel_path"))
 query("p14_json", f"with {CAT} select path, '{{\"path\":\"' || path || '\",\"size\":' || size || '}}' as json from cat")(lambda s, d: doc_catalog(s, d).select("path", F.to_json(F.struct("path", "size")).alias("json")))
-query("p15_sizes", "select doc_id, case when n_chars < 1024 then n_chars || ' B' else printf('%.1f KB', n_chars / 1024.0) end as size_text from documents where n_chars < 1000000")(lambda s, d: table(s, d, "documents").filter("n_chars < 1000000").select("doc_id", paths.bytes_text(F.col("n_chars")).alias("size_text")))
+query("p15_sizes", "select doc_id, case when n_chars < 1024 then n_chars || ' B' else printf('%.1f KB', round(n_chars / 1024.0, 1)) end as size_text from documents where n_chars < 1000000")(lambda s, d: table(s, d, "documents").filter("n_chars < 1000000").select("doc_id", paths.bytes_text(F.col("n_chars")).alias("size_text")))
