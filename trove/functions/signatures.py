@@ -66,18 +66,19 @@ def bands(signature: Column, threshold: int) -> Column:
 def simhashes(rows: DataFrame, key: str, tokens: dict[str, Column], n_bits: int = 60) -> DataFrame:
     """key and, for each name of tokens, the SimHash of that array of words by their md5; keys without words have no row.
 
-    Bit i is set where more than half of the words set it. Bits are counted by plain sums, which are added up before
-    anything is shuffled. The arrays have equal lengths.
+    Bit i is set where more than half of the words set it. Bits are counted four at a time, in lanes of 16 bits of a
+    long, over at most 32768 words, so one pass needs 16 sums a signature, added up before anything is shuffled. The
+    arrays have equal lengths.
     """
-    word = F.explode(F.arrays_zip(*[c.alias(n) for n, c in tokens.items()]))
-    each = rows.select(key, word.alias("w"))
-    hashed = each.select(key, *[F.conv(F.substring(F.md5(f"w.{n}"), 1, 15), 16, 10).cast("long").alias(n) for n in tokens])
-    tally = hashed.groupBy(key).agg(F.count("*").alias("words"), *[F.sum(F.shiftright(n, i).bitwiseAND(F.lit(1).cast("long"))).alias(f"{n}_{i}") for n in tokens for i in range(n_bits)])
+    lanes, mask = range(16), 0x0001000100010001
+    word = F.posexplode(F.arrays_zip(*[c.alias(n) for n, c in tokens.items()])).alias("pos", "w")
+    hashed = rows.select(key, word).select(key, F.shiftright("pos", 15).alias("part"), *[F.conv(F.substring(F.md5(f"w.{n}"), 1, 15), 16, 10).cast("long").alias(n) for n in tokens])
+    sums = hashed.groupBy(key, "part").agg(F.count("*").alias("words"), *[F.sum(F.shiftright(n, i).bitwiseAND(F.lit(mask))).alias(f"{n}_{i}") for n in tokens for i in lanes])
+    counts = lambda n: F.array(*[F.shiftright(f"{n}_{i % 16}", 16 * (i // 16)).bitwiseAND(F.lit(0xFFFF).cast("long")) for i in range(n_bits)])
+    parts = sums.groupBy(key).agg(F.sum("words").alias("words"), *[F.collect_list(counts(n)).alias(n) for n in tokens])  # a part for each 32768 words
 
     def joined(n: str) -> Column:
-        out = F.lit(0).cast("long")
-        for i in range(n_bits):
-            out = out + F.when(F.col(f"{n}_{i}") * 2 > F.col("words"), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-        return out
+        total = F.aggregate(F.slice(n, F.lit(2), F.size(n)), F.get(n, F.lit(0)), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+        return F.aggregate(F.transform(total, lambda c, i: F.when(c * 2 > F.col("words"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
 
-    return tally.select(key, *[joined(n).alias(n) for n in tokens])
+    return parts.select(key, *[joined(n).alias(n) for n in tokens])
