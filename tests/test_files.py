@@ -58,6 +58,30 @@ def test_payloads():
     assert decoders.sniff(b"MM\0*" + b"\0" * 9) == "tiff"
 
 
+def raw_tiff(order, strip, tile=b""):
+    """A directory with a short strip, and a sub-directory with a tile."""
+    e = lambda tag, kind, n, v: struct.pack(order + "HHII", tag, kind, n, v)
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8)
+    first = struct.pack(order + "H", 3) + e(273, 4, 1, 200) + e(279, 4, 1, len(strip)) + e(330, 4, 1, 100) + struct.pack(order + "I", 0)
+    sub = struct.pack(order + "H", 2) + e(324, 4, 1, 300) + e(325, 4, 1, len(tile)) + struct.pack(order + "I", 0)
+    out = bytearray(400)
+    for at, part in ((0, head), (8, first), (100, sub), (200, strip), (300, tile)):
+        out[at : at + len(part)] = part
+    return bytes(out)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_raw_files(order):
+    assert decoders.payload(raw_tiff(order, b"strip", b"the larger tile"), "nef") == b"the larger tile"
+    data = raw_tiff(order, b"strip")
+    assert decoders.payload(data, "tif") == b"strip"
+    for n in range(len(data)):
+        decoders.payload(data[:n], "dng")
+    fuji = b"FUJIFILMCCD-RAW ".ljust(100, b"\0") + struct.pack(">II", 108, 4) + b"datatail"
+    assert decoders.payload(fuji, "raf") == b"data"
+    assert decoders.payload(b"ftyp" * 9, "cr3") is None
+
+
 def write(root, name, data):
     p = os.path.join(root, name)
     os.makedirs(os.path.dirname(p), exist_ok=True)

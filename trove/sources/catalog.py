@@ -2,25 +2,44 @@
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trove.functions.hashes import PREFIX, bytes_hash
-from trove.functions.paths import extension, is_event_name, is_supported, is_video, parts, relative_to, split_event
+from trove.functions.paths import RAW, extension, is_event_name, is_supported, is_video, parts, relative_to, split_event
 from trove.sources.decoders import payload_hashes
+from trove.sources.raw import register
+
+
+register(RAW)
 
 
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """path, size, modified, content of the supported media below a folder. Content is not read unless it is used."""
+    """path, size, modified, content of the supported media below a folder. Content is not read unless it is used.
+
+    Spark lists linked files like others; without_links drops those of a local folder.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true")
     files = reader.load(root)
     path = F.regexp_replace("path", "^file:/+", "/")
     return files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content").filter(is_supported(F.col("path")))
 
 
+def without_links(files: DataFrame) -> DataFrame:
+    """files (with path) but those that are symbolic links, looked at where the executors see the folder."""
+    @F.pandas_udf("boolean")
+    def linked(path: pd.Series) -> pd.Series:
+        return path.map(os.path.islink)
+
+    return files.filter(~linked("path"))
+
+
 def scan_tree(spark: SparkSession, root: str, prefix: int = PREFIX) -> DataFrame:
     """The catalog of a tree: tree, path, rel, size, modified, shallow, decoded, bytes_hash, payload_hash, video."""
-    files = list_files(spark, root)
+    files = without_links(list_files(spark, root))
     hashed = files.withColumn("h", payload_hashes(F.col("content"), extension(F.col("path")), prefix))
     return hashed.select(
         F.lit(root).alias("tree"), "path", relative_to(F.col("path"), F.lit(root.rstrip("/"))).alias("rel"), "size", "modified",

@@ -1,8 +1,9 @@
 """The picture or film data inside media files, without metadata: what is hashed to find copies.
 
 Each decoder takes a file's bytes and gives its payload, or raises ValueError where the bytes are not what they should
-be. payload() picks one by extension and, if that one fails, by content. Formats that need an image library are left
-to a decoder that the caller registers; without one they have no payload and fall back to their bytes' hash.
+be. payload() picks one by extension and, if that one fails, by content; sources/raw.py adds RAW files. Formats that need
+an image library are left to a decoder that the caller adds to DECODERS; without one they have no payload and fall back
+to their bytes' hash.
 """
 
 from __future__ import annotations
