@@ -1,9 +1,10 @@
 """Classes of similar records from buckets of candidates, without all pairs of a bucket.
 
-A bucket's members are first compared with one hub, its smallest id. Verified links are joined into components. Members
-of a bucket that are in one component need no more comparison; what is left of a bucket, pairs across components, is
-compared in full. So no link between candidates of a bucket is lost, and a large group of copies costs about as many
-comparisons as it has members.
+A bucket's members are first compared with one hub, the member that shares buckets with most others. Verified links are
+joined into components. Members of a bucket that are in one component need no more comparison. What is left, pairs
+across the components of a bucket, is compared in full, except pairs that can't be similar: features that only one of
+the records left has can't be shared, which bounds the similarity of each of its pairs. So no link between candidates
+of a bucket is lost, and a large group of copies costs about as many comparisons as it has members.
 """
 
 from __future__ import annotations
@@ -36,25 +37,42 @@ def components(links: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
-def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def resolve(
+    buckets: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    alike: Callable[[Column, Column], Column],
+    features: Callable[[DataFrame], DataFrame],
+    least: float,
+) -> tuple[DataFrame, DataFrame]:
     """(id, label) of all ids with a link, and the verified links (a, b).
 
-    buckets: (bucket, id, size); verify: pairs (a, b) with a < b to the rows of them that are similar; alike: a cheap
-    test of two sizes that similar records pass.
+    buckets: (bucket, id, size); verify: pairs (a, b) to the rows of them that are similar; alike: a cheap test of two
+    sizes that similar records pass; features: ids to (id, feature), a record's distinct features, of which similar
+    records have a Jaccard of at least `least`.
     """
-    alike = alike or (lambda a, b: F.lit(True))
-    full = buckets.groupBy("bucket").agg(F.min(F.struct("id", "size")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    held = stage(buckets.join(full.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.size").alias("hub_size")), "bucket"), "buckets")
-    first = held.filter((F.col("id") != F.col("hub")) & alike(F.col("size"), F.col("hub_size"))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    live = stage(buckets.join(sizes, "bucket"), "buckets")
+    held = stage(live.join(live.groupBy("id").agg(F.sum("n").alias("degree")), "id").select("bucket", "id", "size", "degree"), "buckets")
+    hubs = held.groupBy("bucket").agg(F.max(F.struct("degree", "id", "size")).alias("hub"))
+    pairs = held.join(hubs, "bucket").filter((F.col("id") != F.col("hub.id")) & alike(F.col("size"), F.col("hub.size")))
+    first = stage(pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), "pairs")
     links = stage(verify(first).select("a", "b"), "verified")
     labels = stage(components(links), "labels")
-    marked = held.join(labels, "id", "left").select("bucket", "id", "size", "hub", F.coalesce("label", "id").alias("label"))
+    marked = stage(held.join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label")), "marked")
     mixed = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
     rest = stage(marked.join(mixed, "bucket"), "rest")
     if rest.isEmpty():
         return labels, links
-    x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.id") != F.col("x.hub")) & alike(F.col("x.size"), F.col("y.size")))
+    own = features(rest.select("id").distinct()).withColumn("key", F.xxhash64("id"))
+    counts = own.groupBy("feature").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    alone = counts.filter("n = 1").groupBy("key").agg(F.count("*").alias("alone"))
+    total = own.groupBy("id", "key").agg(F.count("*").alias("all"))
+    bound = total.join(alone, "key", "left").select("id", "all", (F.col("all") - F.coalesce("alone", F.lit(0))).alias("common"))
+    able = stage(rest.join(bound.filter(F.col("common") >= F.col("all") * least), "id"), "able")
+    x, y = able.alias("x"), able.alias("y")
+    most = F.least("x.common", "y.common")
+    could = most >= (F.col("x.all") + F.col("y.all") - most) * least
+    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & could & alike(F.col("x.size"), F.col("y.size")))
     cross = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = stage(verify(cross).select("a", "b"), "verified")
     links = links.unionByName(more)

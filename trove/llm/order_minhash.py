@@ -147,6 +147,16 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return edit_distance_within(a.tolist(), b.tolist(), int((1 - least) * high + 1e-9)) is not None
 
 
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(content, text) to (id, shingles): the distinct shingles of each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            part = batch.slice(at, _ROWS)
+            found = [np.unique(shingles(w)).view(np.int64) for w in _documents(part.column(1))]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32()), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "shingles"])
+
+
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, text_a, text_b) to the similar (a, b); a's words are kept while it stays the same."""
     last, words = None, np.empty(0, np.uint64)
@@ -170,18 +180,26 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = stage(made.groupBy("content").agg(F.min("doc_id").alias("first_id"), F.max("n_words").alias("n_words"), F.first("buckets").alias("buckets")), "contents")
     buckets = members.filter("n_words > 0").select(F.col("content").alias("id"), F.col("n_words").alias("size"), F.explode("buckets").alias("bucket"))
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """content and text of some contents."""
+        ids = stage(ids, "asked")
+        if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # the size is known to be small
+            ids = F.broadcast(ids)
+        return made.select("content", "text").join(ids, "content", "left_semi").dropDuplicates(["content"])
+
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = stage(pairs, "pairs")
-        asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct(), "asked")
-        if asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # the size is known to be small
-            asked = F.broadcast(asked)
-        one = made.select("content", "text").join(asked, "content", "left_semi").dropDuplicates(["content"])
+        one = texts_of(pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct())
         left, right = one.select(F.col("content").alias("a"), F.col("text").alias("text_a")), one.select(F.col("content").alias("b"), F.col("text").alias("text_b"))
         full = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
         return full.mapInArrow(_verify_batches, "a binary, b binary")
 
-    labels, links = resolve(buckets, verify, lambda x, y: F.least(x, y) >= F.greatest(x, y) * SIMILARITY)
-    counts = links.select(F.explode(F.array("a", "b")).alias("content")).groupBy("content").agg(F.count("*").alias("n_links"))
+    def features(ids: DataFrame) -> DataFrame:
+        found = texts_of(ids.select(F.col("id").alias("content"))).mapInArrow(_shingle_batches, "id binary, shingles array<long>")
+        return stage(found, "shingles").select("id", F.explode("shingles").alias("feature"))
+
+    labels, links = resolve(buckets, verify, lambda x, y: F.least(x, y) >= F.greatest(x, y) * SIMILARITY, features, SIMILARITY)
+    counts = links.select(F.col("a").alias("content")).unionByName(links.select(F.col("b").alias("content"))).groupBy("content").agg(F.count("*").alias("n_links"))
     named = members.join(labels.withColumnRenamed("id", "content"), "content", "left").select("content", "first_id", F.coalesce("label", "content").alias("label"))
     named = stage(named.join(counts, "content", "left"), "labelled")
     smallest = named.groupBy("label").agg(F.min("first_id").alias("class_id"))

@@ -88,7 +88,10 @@ def match_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
         a, b = members.select(F.col("id").alias("a"), F.col("spots").alias("sa")), members.select(F.col("id").alias("b"), F.col("spots").alias("sb"))
         return pairs.join(a, "a").join(b, "b").filter(likeness(F.col("sa"), F.col("sb"), least) >= least)
 
-    labels, _ = resolve(buckets, verify, lambda x, y: F.least(x, y) >= F.greatest(x, y) * least)
+    def features(ids: DataFrame) -> DataFrame:
+        return members.join(ids, "id", "left_semi").select("id", F.explode("spots").alias("feature"))
+
+    labels, _ = resolve(buckets, verify, lambda x, y: F.least(x, y) >= F.greatest(x, y) * least, features, least)
     named = members.join(labels, "id", "left").select("print", F.coalesce("label", "id").alias("class_id"))
     return keyed.select("doc_id", "print").join(named, "print").select("doc_id", "class_id")
 
