@@ -1,22 +1,24 @@
 """Classes of similar records from buckets of candidates, without all pairs of a bucket.
 
-A bucket's members are first compared with one hub, the member that shares buckets with most others. Verified links are
-joined into components. Members of a bucket that are in one component need no more comparison. What is left, pairs
-across the components of a bucket, is compared in full, except pairs that can't be similar: features that only one of
-the records left has can't be shared, which bounds the similarity of each of its pairs. So no link between candidates
-of a bucket is lost, and a large group of copies costs about as many comparisons as it has members.
+A bucket's members are first compared with one hub, the member that shares buckets with most others, then with two more
+where that leaves the bucket split. Verified links are joined into components. Members of a bucket that are in one
+component need no more comparison. What is left, pairs
+across the components of a bucket, is met by prefixes: with features ordered from rare to common, two records of a Jaccard
+of t or more share one of the first n - ceil(t n) + 1 features of each. So no link between candidates of a bucket is
+lost, and a large group of copies costs about as many comparisons as it has members.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trove.llm.common import stage
 
 MAX_ROUNDS = 60
+HUBS = 3  # members of a bucket that all others are compared with: one at first, the others where it is still split
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -53,27 +55,51 @@ def resolve(
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     live = stage(buckets.join(sizes, "bucket"), "buckets")
     held = stage(live.join(live.groupBy("id").agg(F.sum("n").alias("degree")), "id").select("bucket", "id", "size", "degree"), "buckets")
-    hubs = held.groupBy("bucket").agg(F.max(F.struct("degree", "id", "size")).alias("hub"))
-    pairs = held.join(hubs, "bucket").filter((F.col("id") != F.col("hub.id")) & alike(F.col("size"), F.col("hub.size")))
-    first = stage(pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), "pairs")
-    links = stage(verify(first).select("a", "b"), "verified")
-    labels = stage(components(links), "labels")
-    marked = stage(held.join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label")), "marked")
-    mixed = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-    rest = stage(marked.join(mixed, "bucket"), "rest")
+    order = Window.partitionBy("bucket").orderBy(F.desc("degree"), "id")
+    hubs = held.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= HUBS)
+    hubs = stage(hubs.select("bucket", F.col("id").alias("hub"), F.col("size").alias("hub_size"), "turn"), "hubs")
+    pairs = held.join(hubs.filter("turn = 1"), "bucket").filter((F.col("id") != F.col("hub")) & alike(F.col("size"), F.col("hub_size")))
+    tried = stage(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
+    links = stage(verify(tried).select("a", "b"), "verified")
+
+    def left() -> tuple[DataFrame, DataFrame]:
+        """Labels, and the members of buckets that hold two labels or more."""
+        labels = stage(components(links), "labels")
+        marked = stage(held.join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label")), "marked")
+        mixed = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+        return labels, stage(marked.join(mixed, "bucket"), "rest")
+
+    labels, rest = left()
+    if rest.isEmpty():
+        return labels, links
+    more_hubs = rest.join(hubs.filter("turn > 1").select("bucket", F.col("hub").alias("id")), ["bucket", "id"]).select("bucket", F.col("id").alias("hub"), F.col("size").alias("hub_size"), F.col("label").alias("hub_label"))
+    pairs = rest.join(more_hubs, "bucket").filter((F.col("label") != F.col("hub_label")) & alike(F.col("size"), F.col("hub_size")))
+    pairs = stage(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(stage(verify(pairs).select("a", "b"), "verified"))
+    tried = tried.unionByName(pairs)
+    labels, rest = left()
     if rest.isEmpty():
         return labels, links
-    own = features(rest.select("id").distinct()).withColumn("key", F.xxhash64("id"))
-    counts = own.groupBy("feature").agg(F.count("*").alias("n"), F.min("key").alias("key"))
-    alone = counts.filter("n = 1").groupBy("key").agg(F.count("*").alias("alone"))
-    total = own.groupBy("id", "key").agg(F.count("*").alias("all"))
-    bound = total.join(alone, "key", "left").select("id", "all", (F.col("all") - F.coalesce("alone", F.lit(0))).alias("common"))
-    able = stage(rest.join(bound.filter(F.col("common") >= F.col("all") * least), "id"), "able")
-    x, y = able.alias("x"), able.alias("y")
-    most = F.least("x.common", "y.common")
-    could = most >= (F.col("x.all") + F.col("y.all") - most) * least
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & could & alike(F.col("x.size"), F.col("y.size")))
-    cross = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    facts = rest.groupBy("id").agg(F.first("size").alias("size"), F.first("label").alias("label"))  # one size and label an id
+    own = features(facts.select("id"))
+    counts = own.groupBy("feature").agg(F.count("*").alias("n"))
+    ranked = stage(own.join(counts, "feature"), "features")
+    room = ranked.groupBy("id").agg(F.count("*").alias("all"), F.count_if(F.col("n") == 1).alias("alone"))
+    room = room.withColumn("slots", F.col("all") - F.ceil(F.col("all") * least - 1e-9) + 1 - F.col("alone")).filter("slots > 0")
+    able = facts.join(room, "id").select("id", "size", "label", "all", (F.col("all") - F.col("alone")).alias("common"), "slots")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("n", "feature"))
+    prefix = ranked.filter("n > 1").withColumn("place", place).join(able, "id").filter("place <= slots")
+    # at the first feature that two records share, at most what stands after it in each is shared besides
+    prefix = prefix.select("feature", "id", "size", "label", "all", "common", (F.col("common") - F.col("place") + 1).alias("after"))
+    prefix = stage(prefix, "prefixes")
+    # of any pair across labels, one record at least has not the feature's most frequent label
+    usual = prefix.groupBy("feature", "label").agg(F.count("*").alias("n")).groupBy("feature").agg(F.max(F.struct("n", "label"))["label"].alias("usual"), F.count("*").alias("labels")).filter("labels > 1")
+    mixed = stage(prefix.join(usual, "feature"), "mixed")
+    x, y = mixed.filter("label <> usual").alias("x"), mixed.alias("y")
+    could = F.least("x.after", "y.after") >= (F.col("x.all") + F.col("y.all")) * (least / (1 + least)) - 1e-9
+    once = (F.col("y.label") == F.col("y.usual")) | (F.col("x.id") < F.col("y.id"))
+    cross = x.join(y, (F.col("x.feature") == F.col("y.feature")) & (F.col("x.label") != F.col("y.label")) & once & could & alike(F.col("x.size"), F.col("y.size")))
+    cross = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = stage(verify(cross).select("a", "b"), "verified")
     links = links.unionByName(more)
     return (components(links), links) if not more.isEmpty() else (labels, links)
