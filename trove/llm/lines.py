@@ -1,8 +1,8 @@
 """Lines of documents and how many of a host's pages hold them; JVM-side expressions only.
 
 A line's key is a hash of its normalised text: lower case, digits as 0, white space as one space, trimmed. Blank lines
-have none. A host's pages are told apart by their longest line, so that copies of a page count once; a line that is a
-page's own longest one is told by the second longest.
+have none. A host's pages are told apart by a hash of the set of all their line keys, so that copies of a page count
+once and pages that only share some lines count each.
 """
 
 from __future__ import annotations
@@ -46,10 +46,9 @@ def keyed_lines(text: Column) -> Column:
 
 def line_rows(docs: DataFrame, *others: str) -> DataFrame:
     """A row for each distinct line of a document: host, key, page (what tells the page apart), others. docs: host, lines."""
-    longest = F.reverse(F.sort_array(F.array_distinct(F.transform("lines", lambda x: F.struct(x["len"].alias("len"), x["key"].alias("key"))))))
-    rows = docs.select("host", *others, "lines", longest.alias("longest"))
-    rows = rows.select("host", *others, F.get("longest", F.lit(0))["key"].alias("first"), F.get("longest", F.lit(1))["key"].alias("second"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
-    return rows.withColumn("page", F.when(F.col("key") == F.col("first"), F.coalesce("second", "first")).otherwise(F.col("first")))
+    keys = F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["key"])))
+    rows = docs.select("host", *others, keys.alias("keys"))
+    return rows.select("host", *others, F.xxhash64("keys").alias("page"), F.explode("keys").alias("key"))
 
 
 def frequent_lines(rows: DataFrame, ratio: float, least: int) -> DataFrame:
@@ -58,7 +57,7 @@ def frequent_lines(rows: DataFrame, ratio: float, least: int) -> DataFrame:
     Counts are summed before they are shuffled by line, so a line or host with many rows is no hot spot.
     """
     counts = rows.select("host", "key", "page").distinct().groupBy("host", "key").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least)
-    totals = rows.select("host", "first").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
+    totals = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
     return counts.join(totals, "host").filter(F.col("pages") > F.col("host_pages") * ratio)
 
 
