@@ -5,8 +5,10 @@ rejects (four fifths of them by hash). A model backs off from its longest contex
 the one below. A URL's score is the difference of its log-likelihoods, divided by its length. The other fifth calibrates
 the threshold: the cut of the score with the best balanced accuracy.
 
-Counts are hashed into a fixed number of cells, which bounds the model whatever the input: ORDERS * (CONTEXTS + GRAMS)
-cells for each of two classes at most are sent to the driver and back to the executors.
+Counts are exact: a byte and the bytes before it are one integer of ORDERS symbols (a gram), and the model is a stored
+table of the grams' counts in both classes, which grows with the input. Lower orders are its sums. What each gram of the
+URLs adds to a score is made by joins, order by order, and joined to the grams of the distinct URLs. Scores are summed in
+fixed point, so they don't depend on the order of rows. Nothing is gathered on the driver but sums of classes and bins.
 
 Defined cases: a null url, or one without "://", has empty host and path, fits no rule and is allowed; very long urls are
 scored whole; where one class has no URL there is no model and all that no rule blocks is allowed; repeated rows are
@@ -22,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trove.llm.common import mix, text_bytes
+from trove.llm.common import stage, text_bytes
 
-ORDERS, CONTEXTS, GRAMS = 5, 1 << 16, 1 << 18
-CELLS = CONTEXTS + GRAMS
+ORDERS, BITS = 5, 9  # a gram is the byte itself in the lowest BITS, then the bytes before it; 0 stands before a text
 SMOOTHING = 4.0
+FIXED, SALTS = 1 << 32, 8
 #: (verdict, host/path): a rule fits its host and all subdomains if the url's path starts with the rule's.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -50,76 +52,103 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...])
     return rule, verdict
 
 
-def cells(array: pa.Array) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Lengths of the texts, each byte's text, and for each order the cells of every byte's context and of context and byte."""
+def grams(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte's text and gram."""
     data, offsets = text_bytes(array)
     lengths = np.diff(offsets)
     owner = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(data)) + (owner + 1) * ORDERS
-    symbols = np.zeros(len(data) + (len(lengths) + 1) * ORDERS, np.uint64)  # each text stands after a run of zeros
-    symbols[place] = data.astype(np.uint64) + np.uint64(1)
-    own, context, out = symbols[place], np.full(len(data), 1, np.uint64), []
+    symbols = np.zeros(len(data) + (len(lengths) + 1) * ORDERS, np.int64)  # each text stands after a run of zeros
+    symbols[place] = data.astype(np.int64) + 1
+    out = np.zeros(len(data), np.int64)
     for k in range(ORDERS):
-        if k:
-            context = context * np.uint64(257) + symbols[place - k]
-        out.append(((mix(context) % np.uint64(CONTEXTS)).astype(np.int64), (mix(context * np.uint64(0x9E3779B97F4A7C15) + own) % np.uint64(GRAMS)).astype(np.int64)))
-    return lengths, owner, out
+        out |= symbols[place - k] << (BITS * k)
+    return owner, out
 
 
-def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(accepted, text) to (cell, n); cells of rejected URLs lie behind those of accepted ones."""
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(accepted, text) to (gram, accepted, rejected)."""
     for b in batches:
-        _, owner, orders = cells(b.column(1))
-        if not len(owner):
-            continue
-        base = np.where(np.asarray(b.column(0).to_numpy(zero_copy_only=False), bool), 0, ORDERS * CELLS)[owner]
-        ids = np.concatenate([base + k * CELLS + c for k, (ctx, gram) in enumerate(orders) for c in (ctx, CONTEXTS + gram)])
-        ids, n = np.unique(ids, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], ["cell", "n"])
+        owner, found = grams(b.column(1))
+        accepted = np.asarray(b.column(0).to_numpy(zero_copy_only=False), bool)[owner]
+        ids, at = np.unique(found, return_inverse=True)
+        n = [np.bincount(at[side], minlength=len(ids)).astype(np.int64) for side in (accepted, ~accepted)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, n)], ["gram", "accepted", "rejected"])
 
 
-class Model:
-    """Counts of both classes; scores texts."""
+def text_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, gram, times), times the gram is in the text."""
+    for b in batches:
+        owner, found = grams(b.column(1))
+        order = np.lexsort((found, owner))
+        owner, found = owner[order], found[order]
+        starts = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])][: len(found)])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner[starts])), pa.array(found[starts]), pa.array(np.diff(np.r_[starts, len(found)]))], ["id", "gram", "times"])
+
+
+def last(gram: Column, k: int) -> Column:
+    """The last k symbols of a gram."""
+    return gram.bitwiseAND(F.lit((1 << (BITS * k)) - 1).cast("long"))
+
 
-    def __init__(self, counts: np.ndarray) -> None:
-        self.counts = counts.reshape(2, ORDERS, CELLS)
+class Model:
+    """Counts of both classes: a stored table of gram, accepted, rejected. Scores texts."""
+
+    def __init__(self, counts: DataFrame) -> None:
+        self.counts = counts
+
+    def gains(self, asked: DataFrame) -> DataFrame:
+        """gram, gain: what each asked gram adds to a score, times FIXED."""
+        sums = (F.sum("accepted"), F.sum("rejected"))
+        made = None
+        for k in range(ORDERS):
+            own = last(F.col("gram"), k + 1)
+            own_counts = self.counts.groupBy(own.alias("gram")).agg(sums[0].alias("ga"), sums[1].alias("gr"))
+            context_counts = self.counts.groupBy(last(F.shiftright("gram", BITS), k).alias("context")).agg(sums[0].alias("ca"), sums[1].alias("cr"))
+            here = asked.select(own.alias("gram")).distinct() if k < ORDERS - 1 else asked
+            here = here.join(own_counts, "gram", "left").withColumn("context", last(F.shiftright("gram", BITS), k)).join(context_counts, "context", "left")
+            if made is None:
+                here = here.withColumns({"la": F.lit(1 / 256), "lr": F.lit(1 / 256)})
+            else:
+                here = here.withColumn("low", last(F.col("gram"), k)).join(made.select(F.col("gram").alias("low"), F.col("pa").alias("la"), F.col("pr").alias("lr")), "low")
+            p = [(F.coalesce("g" + x, F.lit(0)) + SMOOTHING * F.col("l" + x)) / (F.coalesce("c" + x, F.lit(0)) + SMOOTHING) for x in "ar"]
+            made = here.select("gram", p[0].alias("pa"), p[1].alias("pr"))
+        return made.select("gram", F.round((F.ln("pa") - F.ln("pr")) * FIXED).cast("long").alias("gain"))
 
     def scores(self, array: pa.Array) -> np.ndarray:
-        lengths, owner, orders = cells(array)
-        logs = []
-        for side in self.counts:
-            p = np.full(len(owner), 1 / 256)
-            for k, (ctx, gram) in enumerate(orders):
-                p = (side[k, CONTEXTS + gram] + SMOOTHING * p) / (side[k, ctx] + SMOOTHING)
-            logs.append(np.log(p))
-        return np.bincount(owner, logs[0] - logs[1], len(lengths)) / np.maximum(lengths, 1)
+        """Of a few texts."""
+        df = self.counts.sparkSession.createDataFrame(list(enumerate(array.to_pylist())), "place int, text string")
+        return np.array([r.score for r in score_with(self, df, "text").orderBy("place").collect()])
 
 
 def train(labelled: DataFrame) -> Model | None:
     """From (accepted boolean, text string); None where a class is empty."""
-    counts = labelled.select("accepted", "text").mapInArrow(count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    table = counts.toArrow()
-    full = np.zeros(2 * ORDERS * CELLS, np.float32)
-    full[table.column("cell").to_numpy()] = table.column("n").to_numpy()
-    both = full.reshape(2, ORDERS, CELLS)[:, 0, :CONTEXTS].sum(axis=1)
-    return Model(full) if both.min() > 0 else None
+    counts = labelled.select("accepted", "text").mapInArrow(count_grams, "gram long, accepted long, rejected long").groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+    counts = stage(counts, "url-grams")
+    total = counts.agg(F.sum("accepted"), F.sum("rejected")).first()
+    return Model(counts) if all(total) else None
 
 
 def score_with(model: Model, df: DataFrame, text: str) -> DataFrame:
-    """df with a column score."""
-    held = df.sparkSession.sparkContext.broadcast(model.counts)  # as many cells as the model has, at most
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(held.value)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.scores(b.column(b.schema.get_field_index(text))))], [*b.schema.names, "score"])
-
-    return df.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, score double")
+    """df with a column score. A gram of many texts is dealt over SALTS parts."""
+    texts = df.select(F.col(text).alias("text")).filter(F.col("text") != "").distinct().select(F.xxhash64("text").alias("id"), "text")
+    found = texts.mapInArrow(text_grams, "id long, gram long, times long")
+    gains = stage(model.gains(found.select("gram").distinct()), "url-gains").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = found.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(gains, ["gram", "salt"])
+    scored = joined.groupBy("id").agg((F.sum(F.col("times") * F.col("gain")) / FIXED / F.sum("times")).alias("score"))
+    columns = [F.col(f"row.`{c}`").alias(c) for c in df.columns]
+    rows = df.select(F.struct("*").alias("row"), F.xxhash64(F.col(text)).alias("id"))
+    return rows.join(scored, "id", "left").select(*columns, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def calibrate(model: Model, held_out: DataFrame) -> tuple[float, float]:
     """The threshold with the best balanced accuracy on (accepted, text), and that accuracy."""
-    bins = score_with(model, held_out.select("accepted", "text"), "text").groupBy(F.greatest(F.least(F.floor(F.col("score") * 100), F.lit(1000)), F.lit(-1000)).alias("bin"), "accepted").count().collect()
+    return best_cut(score_with(model, held_out.select("accepted", "text"), "text"))
+
+
+def best_cut(scored: DataFrame) -> tuple[float, float]:
+    """The same from (accepted, score)."""
+    bins = scored.groupBy(F.greatest(F.least(F.floor(F.col("score") * 100), F.lit(1000)), F.lit(-1000)).alias("bin"), "accepted").count().collect()
     n = {True: 0, False: 0}
     for r in bins:
         n[r.accepted] += r["count"]
@@ -148,8 +177,9 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str]
     model = train(labelled.filter(fold < 4))
     if model is None:
         return ruled.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    threshold, _ = calibrate(model, labelled.filter(fold == 4))
-    judged = score_with(model, ruled, "text")
+    judged = stage(score_with(model, ruled, "text"), "url-scores")
+    held_out = judged.filter(F.col("by_rule").isNotNull() & (fold == 4))
+    threshold, _ = best_cut(held_out.select((F.col("by_rule") == "allow").alias("accepted"), "score"))
     by_model = F.when((F.col("text") == "") | (F.col("score") >= threshold), F.lit("allow")).otherwise(F.lit("block"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), F.when(F.col("by_rule").isNull(), F.col("score")).alias("score"))
 
