@@ -32,3 +32,12 @@ def test_url_counts_are_exact(spark):
                 logs[side] += math.log(p)
         want.append((logs[0] - logs[1]) / (len(data) - 5))
     assert model.scores(pa.array(texts)).tolist() == pytest.approx(want, abs=1e-8)
+
+
+def test_query_and_fragment_are_judged(spark):
+    rows = [(i, f"http://a{i % 9}.com/go?to=school-{i}#top") for i in range(150)]
+    rows += [(1000 + i, f"http://a{i % 9}.net/es/go?to=casino-bets-{i}") for i in range(150)]
+    rows += [(2000, "http://a.xyz/go?to=school-1#top"), (2001, "http://a.xyz/go?to=casino-bets-1")]
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[2000].score > got[2001].score
+    assert (got[2000].host, got[2000].path, got[2000].rule) == ("a.xyz", "/go", None)

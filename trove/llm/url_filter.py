@@ -10,9 +10,10 @@ table of the grams' counts in both classes, which grows with the input. Lower or
 URLs adds to a score is made by joins, order by order, and joined to the grams of the distinct URLs. Scores are summed in
 fixed point, so they don't depend on the order of rows. Nothing is gathered on the driver but sums of classes and bins.
 
-Defined cases: a null url, or one without "://", has empty host and path, fits no rule and is allowed; very long urls are
-scored whole; where one class has no URL there is no model and all that no rule blocks is allowed; repeated rows are
-judged alike; an empty table gives an empty result; other columns pass through filter_urls' input unread.
+Defined cases: a null url, or one without "://", has empty host and path, fits no rule and is allowed; urls are scored
+whole (all after "://", with query and fragment), however long; where one class has no URL there is no model and all
+that no rule blocks is allowed; repeated rows are judged alike; an empty table gives an empty result; other columns pass
+through filter_urls' input unread.
 """
 
 from __future__ import annotations
@@ -42,6 +43,14 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def scored_text(url: Column) -> Column:
+    """The whole url after "://", its host in lower case, query and fragment included; empty if there is none."""
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
+    host, _ = host_and_path(url)
+    return F.coalesce(F.concat(host, F.regexp_extract(rest, r"(?s)^[^/?#]*(.*)", 1)), F.lit(""))
+
+
 def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
     """The longest rule that fits and its verdict; null if none does."""
     rule = verdict = F.lit(None).cast("string")
@@ -169,9 +178,9 @@ def best_cut(scored: DataFrame) -> tuple[float, float]:
 def filter_urls(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, and score (null where the model was not asked)."""
     host, path = host_and_path(F.col(url))
-    parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
+    parsed = pages.select("page_id", host.alias("host"), path.alias("path"), scored_text(F.col(url)).alias("text"))
     rule, by_rule = fitting_rule(F.col("host"), F.col("path"), rules)
-    ruled = parsed.withColumns({"rule": rule, "by_rule": by_rule, "text": F.concat("host", "path")})
+    ruled = parsed.withColumns({"rule": rule, "by_rule": by_rule})
     labelled = ruled.filter(F.col("by_rule").isNotNull()).select((F.col("by_rule") == "allow").alias("accepted"), "text")
     fold = F.pmod(F.xxhash64("text"), F.lit(5))
     model = train(labelled.filter(fold < 4))
