@@ -2,26 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_folder: str | None = None
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df where all executors can read it (spark.checkpoint.dir; a temporary folder only where that is unset) and read it back."""
-    global _folder
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        _folder = _folder or "file://" + tempfile.mkdtemp(prefix="trove-")
-        base = _folder
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from trove.sources.storage import discard, stored
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -39,5 +23,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "edges")
+        old, edges = edges, stored(small.distinct(), "edges")
+        discard(old)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
