@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from trove.llm.common import hash_words, window_hashes
 from trove.llm import clusters, html_text, line_dedup, mixing, order_minhash, quality, sentence_pieces, sharding, spotsigs, substring_dedup, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -303,23 +304,59 @@ def test_banded_distance():
         assert order_minhash.edit_distance_within(a, b, limit) == (d if d <= limit else None)
 
 
+def edits(a, b):
+    row = np.arange(len(b) + 1)
+    for i, x in enumerate(a, 1):
+        low = np.minimum(row[1:] + 1, row[:-1] + np.array([x != y for y in b]))
+        new = np.concatenate(([i], low))
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return int(row[-1])
+
+
+def aligned(a, b):
+    high = max(len(a), len(b))
+    return a == b or bool(a and b) and abs(len(a) - len(b)) <= 0.2 * high + 1e-9 and edits(a, b) <= 0.2 * high + 1e-9
+
+
 def test_near_classes(spark):
     rows = near_rows() + [(200, None, "s"), (201, "", "s"), (202, "one two", "s"), (203, "one two", "s")]
+    rows += [(300, "a b c d e f g h i j k l m n o p q r s t", "s"), (301, "a b c d e f g h i j k l m n o p q x y z", "s"), (302, "k l m n o p q r s t a b c d e f g h i j", "s")]  # the last one has the same words
     words = {k: WORD.findall(t or "") for k, t, _ in rows}
-
-    def alike(a, b):
-        if a == b:
-            return True
-        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
-        return bool(x and y) and len(x & y) >= 0.8 * len(x | y)
-
-    pairs = [(a, b) for a, b in itertools.combinations(words, 2) if alike(words[a], words[b])]
+    pairs = [(a, b) for a, b in itertools.combinations(words, 2) if aligned(words[a], words[b])]
     got = {r.doc_id: r.class_id for r in order_minhash.near_classes(frame(spark, rows)).collect()}
     assert got == classes(pairs, words)
     kept = sorted(r.doc_id for r in order_minhash.first_of_each(frame(spark, rows)).collect())
     assert kept == sorted({c for k, c in got.items() if words[k]} | {200, 201})
 
 
+def test_recall_of_candidates():
+    """Pairs at all edit similarities from 0.85 on; more than 0.9 of them share a bucket."""
+    rng = random.Random(15)
+    found = n = 0
+    for _ in range(300):
+        a = [rng.randrange(4000) for _ in range(rng.choice((60, 150, 400)))]
+        b = [rng.randrange(4000) if rng.random() < 0.1 else x for x in a]
+        x, y = (order_minhash.sketch(order_minhash.shingles(np.array(w, np.uint64) * np.uint64(0x9E3779B97F4A7C15))) for w in (a, b))
+        n += 1
+        found += bool((x == y).any())
+    assert found > 0.9 * n
+
+
+def test_structured_words_do_not_collide(spark):
+    """A Thue-Morse word of 1,024 letters and its complement, words that share long ends, and windows that are such words."""
+    flip = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = "".join("ab"[x] for x in flip), "".join("ba"[x] for x in flip)
+    found = hash_words(np.frombuffer(f"{one} {two} {one}x x{one} abcdefgh abcdefghi abcdefgh\x00".encode(), np.uint8), 2)[2]
+    assert all(len(set(h.tolist())) == 7 for h in found)
+    words = [np.array([(7, 9)[x] for x in flip], np.uint64), np.array([(9, 7)[x] for x in flip], np.uint64)]
+    assert window_hashes(words[0], 1024)[0] != window_hashes(words[1], 1024)[0]
+    assert [len(window_hashes(words[0], k)) for k in (1, 5, 25, 50, 1024, 1025)] == [1024, 1020, 1000, 975, 1, 0]
+    assert window_hashes(words[0], 50)[7] == window_hashes(words[0][7:57], 50)[0]
+    rows = [(i, " ".join((one, two)[(x + i) % 2] for x in flip[:64]), "s") for i in (0, 1)]
+    assert {r.n_removed for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()} == {0}
+    assert len({r.class_id for r in order_minhash.near_classes(frame(spark, rows)).collect()}) == 2
+
+
 def test_leftover_pairs_are_compared(spark):
     """A chain in one bucket: the hub is like its neighbours only, yet no link is lost."""
     feature = {i: set(range(i * 2, i * 2 + 40)) for i in range(12)}
@@ -327,7 +364,7 @@ def test_leftover_pairs_are_compared(spark):
     like = lambda a, b: len(feature[a] & feature[b]) >= 0.8 * len(feature[a] | feature[b])
     ok = spark.createDataFrame([(a, b) for a, b in itertools.combinations(feature, 2) if like(a, b)], "a long, b long")
     own = spark.createDataFrame([(i, f) for i, fs in feature.items() for f in fs], "id long, feature long")
-    labels, links = clusters.resolve(spark.createDataFrame(rows, "bucket long, id long, size int"), lambda p: p.join(ok, ["a", "b"]), lambda a, b: F.least(a, b) >= F.greatest(a, b) * 0.8, lambda ids: own.join(ids, "id"), 0.8)
+    labels, links = clusters.resolve(spark.createDataFrame(rows, "bucket long, id long, size int"), lambda p: p.join(ok, ["a", "b"]), lambda a, b: F.least(a, b) >= F.greatest(a, b) * 0.8, lambda ids: own.join(ids, "id"), 0.8, lambda x, y: (x + y) * (0.8 / 1.8))
     assert {r.label for r in labels.collect()} == {0}
     assert links.count() >= 11
 

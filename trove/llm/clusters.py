@@ -1,11 +1,12 @@
 """Classes of similar records from buckets of candidates, without all pairs of a bucket.
 
 A bucket's members are first compared with one hub, the member that shares buckets with most others, then with two more
-where that leaves the bucket split. Verified links are joined into components. Members of a bucket that are in one
-component need no more comparison. What is left, pairs
-across the components of a bucket, is met by prefixes: with features ordered from rare to common, two records of a Jaccard
-of t or more share one of the first n - ceil(t n) + 1 features of each. So no link between candidates of a bucket is
-lost, and a large group of copies costs about as many comparisons as it has members.
+where that leaves the bucket split. Verified links are joined into components; later links join components, not records.
+Members of a bucket that are in one component need no more comparison. What is left, pairs across the components of a
+bucket, is met by prefixes: with features ordered from rare to common, two records that share at least a part `least` of
+the larger one's features share one of the first n - ceil(least n) + 1 features of each. So no link between candidates of
+a bucket is lost, and a large group of copies costs about as many comparisons as it has members. A feature of many
+records is split over tasks by salts, in proportion to how many have it.
 """
 
 from __future__ import annotations
@@ -15,28 +16,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trove.llm.common import stage
+from trove.llm.common import discard, stage
+from trove.operators.graph import components
 
-MAX_ROUNDS = 60
 HUBS = 3  # members of a bucket that all others are compared with: one at first, the others where it is still split
+SALT_ROWS = 500  # records of one feature that meet others in one task
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, label) of all ids in links (a, b): the smallest id that is connected with each. Alternating star contraction."""
-    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    mark = None
-    for _ in range(MAX_ROUNDS):
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
-        if now == mark or not now[0]:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
-        mark = now
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        edges = stage(small.distinct(), "links")
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, label) after more links (a, b): components of the links between labels, laid over the old labels."""
+    names = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
+    own = links.join(names("a"), "a", "left").join(names("b"), "b", "left")
+    over = stage(components(stage(own.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")), "links")), "labels")
+    new = over.select(F.col("id").alias("old"), F.col("label").alias("new"))
+    moved = labels.join(new, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label"))
+    return stage(moved.unionByName(over.join(labels, "id", "left_anti").select("id", "label")), "labels")
 
 
 def resolve(
@@ -45,13 +39,16 @@ def resolve(
     alike: Callable[[Column, Column], Column],
     features: Callable[[DataFrame], DataFrame],
     least: float,
+    shared: Callable[[Column, Column], Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(id, label) of all ids with a link, and the verified links (a, b).
 
     buckets: (bucket, id, size); verify: pairs (a, b) to the rows of them that are similar; alike: a cheap test of two
     sizes that similar records pass; features: ids to (id, feature), a record's distinct features, of which similar
-    records have a Jaccard of at least `least`.
+    records share at least `least` of the larger number. shared: how many of them two records must share by their
+    numbers, if that is more than `least` of the larger.
     """
+    shared = shared or (lambda x, y: F.greatest(x, y) * least)
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     live = stage(buckets.join(sizes, "bucket"), "buckets")
     held = stage(live.join(live.groupBy("id").agg(F.sum("n").alias("degree")), "id").select("bucket", "id", "size", "degree"), "buckets")
@@ -61,23 +58,26 @@ def resolve(
     pairs = held.join(hubs.filter("turn = 1"), "bucket").filter((F.col("id") != F.col("hub")) & alike(F.col("size"), F.col("hub_size")))
     tried = stage(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
     links = stage(verify(tried).select("a", "b"), "verified")
+    labels = stage(components(links), "labels")
 
-    def left() -> tuple[DataFrame, DataFrame]:
-        """Labels, and the members of buckets that hold two labels or more."""
-        labels = stage(components(links), "labels")
+    def left() -> DataFrame:
+        """The members of buckets that hold two labels or more."""
         marked = stage(held.join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label")), "marked")
         mixed = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-        return labels, stage(marked.join(mixed, "bucket"), "rest")
+        rest = stage(marked.join(mixed, "bucket"), "rest")
+        discard(marked)
+        return rest
 
-    labels, rest = left()
+    rest = left()
     if rest.isEmpty():
         return labels, links
     more_hubs = rest.join(hubs.filter("turn > 1").select("bucket", F.col("hub").alias("id")), ["bucket", "id"]).select("bucket", F.col("id").alias("hub"), F.col("size").alias("hub_size"), F.col("label").alias("hub_label"))
     pairs = rest.join(more_hubs, "bucket").filter((F.col("label") != F.col("hub_label")) & alike(F.col("size"), F.col("hub_size")))
     pairs = stage(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(stage(verify(pairs).select("a", "b"), "verified"))
-    tried = tried.unionByName(pairs)
-    labels, rest = left()
+    more = stage(verify(pairs).select("a", "b"), "verified")
+    links, tried = links.unionByName(more), tried.unionByName(pairs)
+    labels = joined_labels(labels, more)
+    rest = left()
     if rest.isEmpty():
         return labels, links
     facts = rest.groupBy("id").agg(F.first("size").alias("size"), F.first("label").alias("label"))  # one size and label an id
@@ -93,13 +93,15 @@ def resolve(
     prefix = prefix.select("feature", "id", "size", "label", "all", "common", (F.col("common") - F.col("place") + 1).alias("after"))
     prefix = stage(prefix, "prefixes")
     # of any pair across labels, one record at least has not the feature's most frequent label
-    usual = prefix.groupBy("feature", "label").agg(F.count("*").alias("n")).groupBy("feature").agg(F.max(F.struct("n", "label"))["label"].alias("usual"), F.count("*").alias("labels")).filter("labels > 1")
-    mixed = stage(prefix.join(usual, "feature"), "mixed")
-    x, y = mixed.filter("label <> usual").alias("x"), mixed.alias("y")
-    could = F.least("x.after", "y.after") >= (F.col("x.all") + F.col("y.all")) * (least / (1 + least)) - 1e-9
+    usual = prefix.groupBy("feature", "label").agg(F.count("*").alias("n")).groupBy("feature").agg(F.max(F.struct("n", "label"))["label"].alias("usual"), F.count("*").alias("labels"), F.sum("n").alias("holders")).filter("labels > 1")
+    mixed = prefix.join(usual, "feature").withColumn("salts", F.ceil(F.col("holders") / SALT_ROWS).cast("int"))
+    mixed = stage(mixed.withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")), "mixed")
+    x = mixed.filter("label <> usual").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("x")
+    y = mixed.alias("y")
+    could = F.least("x.after", "y.after") >= shared(F.col("x.all"), F.col("y.all")) - 1e-9
     once = (F.col("y.label") == F.col("y.usual")) | (F.col("x.id") < F.col("y.id"))
-    cross = x.join(y, (F.col("x.feature") == F.col("y.feature")) & (F.col("x.label") != F.col("y.label")) & once & could & alike(F.col("x.size"), F.col("y.size")))
+    cross = x.join(y, (F.col("x.feature") == F.col("y.feature")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.label") != F.col("y.label")) & once & could & alike(F.col("x.size"), F.col("y.size")))
     cross = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = stage(verify(cross).select("a", "b"), "verified")
     links = links.unionByName(more)
-    return (components(links), links) if not more.isEmpty() else (labels, links)
+    return (joined_labels(labels, more), links) if not more.isEmpty() else (labels, links)

@@ -2,53 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trove.sources.storage import discard, shared_folder
+from trove.sources.storage import stored as stage
+
+__all__ = ["SPACE_CHARS", "WORD", "chain", "discard", "hash_words", "mix", "n_words", "shared_folder", "stage", "text_bytes", "window_hashes"]
+
 #: A word is a run of anything but the space and the five ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-_local: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only where that is unset) a temporary one."""
-    global _local
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if _local is None:
-        _local = "file://" + tempfile.mkdtemp(prefix="trove-")
-    return _local
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives the loss of executors.
-
-    Once it is written, the shuffle files of the job that made it are dropped.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if was is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, was)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def n_words(text: Column) -> Column:
     """Words of a text; null has none."""
@@ -58,45 +27,25 @@ def n_words(text: Column) -> Column:
 # --- vectorised hashing of words -------------------------------------------------------------------------------
 
 _U = np.uint64
-_BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd
-_CHUNK = 1 << 21
-
-
-def _inverse(odd: int) -> int:
-    return pow(odd, -1, 1 << 64)
-
-
-class _Powers:
-    """base**i and base**-i modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.n = base, 0
-        self.up = self.down = np.empty(0, _U)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 12)
-            for name, b in (("up", self.base), ("down", _inverse(self.base))):
-                a = np.full(self.n, b, _U)
-                a[0] = 1
-                setattr(self, name, np.multiply.accumulate(a))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = [_Powers(b) for b in _BASE]
-_WINDOW = [_Powers(b) for b in (0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25)]
+_LONG = 64  # bytes; longer words are hashed one by one
+_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # one a stream
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], _U)
+_SEP = np.zeros(257, bool)
+_SEP[[32, 9, 10, 11, 12, 13, 256]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (xor-shift and multiply), applied elementwise."""
+    """A 64-bit finaliser (xor-shift and multiply), applied elementwise; one to one."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))
 
 
-_BYTE = [mix((np.arange(256, dtype=_U) + _U(1)) * _U(c)) for c in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-_SEP = np.zeros(257, bool)
-_SEP[[32, 9, 10, 11, 12, 13, 256]] = True
+def chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs (a, b), elementwise. Not linear, so differences of repeated elements don't cancel."""
+    x = a * _U(0xD1342543DE82EF95) + b
+    x = (x ^ (x >> _U(29))) * _U(0xA0761D6478BD642F)
+    return x ^ (x >> _U(32))
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,34 +55,45 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_words(data: np.ndarray, streams: int = 1) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Word starts, ends and, for each stream, 64-bit hashes of the words of one text's (or several texts') bytes.
+    """Word starts, ends and, for each stream, 64-bit hashes of the words of one text's bytes.
 
-    A word's hash is a polynomial of its bytes' random values, got from prefix sums, then mixed.
+    Words are read eight bytes at a time, all words together, each step mixed into what came before; words of up to
+    eight bytes and equal length never collide. Words over _LONG bytes are hashed by blake2b.
     """
     starts, ends = word_spans(data)
-    out = [np.empty(len(starts), _U) for _ in range(streams)]
-    at = 0
-    while at < len(starts):  # pieces, so that tables of powers stay small
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _CHUNK, "right")))
-        lo, hi = int(starts[at]), int(ends[to - 1])
-        piece = data[lo:hi]
-        for k in range(streams):
-            up, down = _POWERS[k].get(hi - lo)
-            sums = np.concatenate((np.zeros(1, _U), np.cumsum(_BYTE[k][piece] * up, dtype=_U)))
-            s, e = starts[at:to] - lo, ends[at:to] - lo
-            out[k][at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(_U))
-        at = to
+    size = ends - starts
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    out = [mix(size.astype(_U) * _U(0xE7037ED1A0B428DB) + _U(_SEEDS[k])) for k in range(streams)]
+    live, step = np.arange(len(starts)), 0
+    while True:
+        live = live[(size[live] > step) & (size[live] <= _LONG)]
+        if not len(live):
+            break
+        lane = lanes[starts[live] + step] & _MASK[np.minimum(size[live] - step, 8)]
+        for h in out:
+            h[live] = mix(h[live] ^ lane)
+        step += 8
+    for i in np.flatnonzero(size > _LONG):
+        digest = blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8 * streams).digest()
+        for k, h in enumerate(out):
+            h[i] = int.from_bytes(digest[8 * k : 8 * k + 8], "little")
     return starts, ends, out
 
 
-def window_hashes(words: np.ndarray, size: int, stream: int = 0) -> np.ndarray:
-    """Hashes of every window of size words, in order."""
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of every window of size words, in order: windows of one, two, four, ... words are chained."""
     n = len(words)
     if n < size:
         return np.empty(0, _U)
-    up, down = _WINDOW[stream].get(n + 1)
-    sums = np.concatenate((np.zeros(1, _U), np.cumsum(words * up[:n], dtype=_U)))
-    return mix((sums[size:] - sums[:-size]) * down[: n - size + 1])
+    power, width, done, covered = words, 1, None, 0
+    while True:
+        if size & width:
+            done = power if done is None else chain(done[: n - covered - width + 1], power[covered:])
+            covered += width
+        if covered == size:
+            return done[: n - size + 1]
+        power = chain(power[:-width], power[width:])
+        width *= 2
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -10,12 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trove.functions.binding import let
 from trove.llm.common import SPACE_CHARS
 
-
-def let(value: Column, body) -> Column:  # noqa: ANN001
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+__all__ = ["frequent_lines", "has_word", "host_key", "keyed_lines", "let", "line_key", "line_rows", "split_lines", "sql_frequent", "sql_key"]
 
 
 def has_word(line: Column) -> Column:

@@ -91,7 +91,7 @@ def match_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     def features(ids: DataFrame) -> DataFrame:
         return members.join(ids, "id", "left_semi").select("id", F.explode("spots").alias("feature"))
 
-    labels, _ = resolve(buckets, verify, lambda x, y: F.least(x, y) >= F.greatest(x, y) * least, features, least)
+    labels, _ = resolve(buckets, verify, lambda x, y: F.least(x, y) >= F.greatest(x, y) * least, features, least, lambda x, y: (x + y) * (least / (1 + least)))
     named = members.join(labels, "id", "left").select("print", F.coalesce("label", "id").alias("class_id"))
     return keyed.select("doc_id", "print").join(named, "print").select("doc_id", "class_id")
 

@@ -3,7 +3,7 @@
 Every document is cut into non-overlapping reference blocks of BLOCK words. The blocks are indexed by hash, and every
 rolling window of BLOCK words of every document probes the index. Any WINDOW = 2 * BLOCK words hold a whole block, so a
 repeat of WINDOW words or more has a hit. Hits are then extended: the windows of WINDOW words around each hit are
-compared by 128-bit hashes of their words, and runs of windows that also start in a document with a smaller doc_id are
+compared by 96 bits of two hashes of their words (with the bucket's bits, which grow with the input, over 100), and runs of windows that also start in a document with a smaller doc_id are
 the maximal exact repeats; their words are removed. Windows are judged on the input, not on what is left.
 
 How it is dealt: documents are hashed into groups of about GROUP_BYTES. A group sends each distinct hash once, packed,
@@ -52,7 +52,7 @@ class _Group:
 
     def rolling(self, size: int, stream: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows of size words, and of how many of them each document has the first."""
-        found = [window_hashes(w[stream], size, stream) for w in self.words]
+        found = [window_hashes(w[stream], size) for w in self.words]
         return np.concatenate([*found, np.empty(0, np.uint64)]), np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int64)
 
 
