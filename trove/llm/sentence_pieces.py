@@ -2,17 +2,17 @@
 
 The lattice of a text has an edge for each vocabulary piece that matches at each place. Edges weigh a piece's probability
 (by its rank in the model, raised to alpha). The forward pass sums the weights of all paths up to each place, the
-backward pass draws edges from the end in proportion, so a segmentation comes with exactly its probability. No piece
+backward pass draws edges from the end in proportion, so a segmentation comes with its probability, each draw's in whole multiples of 2**-32. No piece
 reaches over the start of a run of spaces or over a line break, so the lattice falls into units (a word with the spaces
 before it); a chunk's distinct units are filtered once, all together, and every occurrence is sampled by itself.
 
-Draws are hashes of seed, row key, unit and step: a row's segmentation is the same in every run, however the table is
-dealt. Characters without a piece are spelled in byte pieces, as is the piece alphabet's own space mark, so decoding
+Draws are hashes of seed, row key, unit and step, and are compared with whole numbers that a unit gets from its own
+characters alone: a row's segmentation is the same in every run, however the table is dealt. Characters without a piece are spelled in byte pieces, as is the piece alphabet's own space mark, so decoding
 gives back every text exactly. The vocabulary is a parameter and is never trained here; the driver reads the model file
 and sends it to the executors (half a megabyte).
 
 Defined cases: null or empty text has no pieces and decodes to the empty text; a null key counts as 0; rows with equal
-keys and texts get equal segmentations; very long texts and units are taken whole; an empty table gives an empty result;
+keys and texts (ties, repeated rows) get equal segmentations; very long texts and units are taken whole; an empty table gives an empty result;
 other columns pass through encode_documents unchanged, whatever their names.
 """
 
@@ -30,6 +30,7 @@ from trove.llm.common import mix
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 1.0, 11
+DRAW_BITS = 32  # chances are whole multiples of 2**-32
 _CHUNK_CHARS = 1 << 21
 _UNIT = re.compile(r"\n| *[^ \n]+| +")
 _MARK = "▁"
@@ -142,8 +143,9 @@ class Vocabulary:
 def _filter(vocabulary: Vocabulary, units: list[str], alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The forward pass over distinct units.
 
-    Gives the first place of each unit, its length, and edges by the place where they end: the running sum of their
-    chances plus that place's number (rising throughout), their lengths and ids.
+    Gives the first place of each unit, its length, and edges by the place where they end: that place's number in the
+    upper bits and the running sum of their chances in the lower DRAW_BITS (rising throughout), their lengths and ids.
+    Sums never reach over a place, so a unit's edges do not depend on the units beside it.
     """
     codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
     length = np.array([len(u) for u in units], np.int64)
@@ -171,11 +173,15 @@ def _filter(vocabulary: Vocabulary, units: list[str], alpha: float) -> tuple[np.
     end, ids, size, value = end[order], ids[order], size[order], value[order]
     chance = np.exp(value - total[end])
     at = np.flatnonzero(np.diff(end, prepend=-1))
-    sums = np.cumsum(chance)
-    sums -= np.repeat(sums[at] - chance[at], np.diff(np.append(at, len(end))))
-    sums = np.minimum(sums, 1.0)
-    sums[np.append(at[1:], len(end)) - 1] = 1.0
-    return first, length, end + sums, size, ids
+    spread = np.diff(np.append(at, len(end)))
+    sums, rank = chance.copy(), 1
+    while len(at := at[spread > rank]):
+        spread = spread[spread > rank]
+        sums[at + rank] += sums[at + rank - 1]
+        rank += 1
+    steps = np.minimum(np.rint(sums * (1 << DRAW_BITS)).astype(np.int64), 1 << DRAW_BITS)
+    steps[np.append(np.flatnonzero(np.diff(end)), len(end) - 1)] = 1 << DRAW_BITS
+    return first, length, (end << DRAW_BITS) + steps, size, ids
 
 
 def segment(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, alpha: float = ALPHA, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -197,9 +203,8 @@ def segment(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, alpha: f
     steps, drawn, n = [], [], np.zeros(len(unit), np.int64)
     step = 0
     while len(live):
-        u = (mix(stream[live] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        edge = np.searchsorted(ladder, at[live] + u, "right")
-        edge = np.minimum(edge, len(ladder) - 1)
+        draw = (mix(stream[live] + np.uint64(step)) >> np.uint64(64 - DRAW_BITS)).astype(np.int64)
+        edge = np.searchsorted(ladder, (at[live] << DRAW_BITS) + draw, "right")
         steps.append(live)
         drawn.append(ids[edge])
         n[live] += 1
