@@ -1,8 +1,8 @@
 """Lines of documents and how many of a host's pages hold them; JVM-side expressions only.
 
-A line's key is a hash of its normalised text: lower case, digits as 0, white space as one space, trimmed. Blank lines
-have none. A host's pages are told apart by a hash of the set of all their line keys, so that copies of a page count
-once and pages that only share some lines count each.
+A line's key is a hash of its normalised text: lower case, digits as 0, white space as one space, trimmed. A text is
+normalised at once, before it is split. Blank lines have no key. A host's pages are told apart by a hash of the set of
+all their line keys, so that copies of a page count once and pages that only share some lines count each.
 """
 
 from __future__ import annotations
@@ -10,70 +10,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trove.functions.binding import let
 from trove.llm.common import SPACE_CHARS
 
-__all__ = ["frequent_lines", "has_word", "host_key", "keyed_lines", "let", "line_key", "line_rows", "split_lines", "sql_frequent", "sql_key"]
-
 
 def has_word(line: Column) -> Column:
     return F.translate(line, SPACE_CHARS, "") != ""
 
 
-def line_key(line: Column) -> Column:
-    """60 bits of the md5 of the normalised line."""
-    plain = F.translate(F.lower(line), "123456789", "000000000")
-    plain = F.trim(F.regexp_replace(plain, "[ \\t\\x0B-\\x0D]+", " "))
-    return F.conv(F.substring(F.md5(plain), 1, 15), 16, 10).cast("long")
+def plain_lines(text: Column) -> Column:
+    """The normalised lines of a text, blank ones empty; null for null."""
+    plain = F.translate(F.lower(text), "123456789\t\x0b\x0c\r", "000000000    ")
+    return F.transform(split_lines(F.regexp_replace(plain, " {2,}", " ")), lambda x: F.trim(x))
 
 
 def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def line_keys(text: Column) -> Column:
+    """The key of each line in order, null for blank ones."""
+    return F.transform(plain_lines(text), lambda x: F.when(x != "", F.xxhash64(x)))
+
+
 def host_key(host: Column) -> Column:
     """A host that is never null."""
     return F.coalesce(F.concat(F.lit("="), host), F.lit(""))
 
 
 def keyed_lines(text: Column) -> Column:
-    """Of the lines with a word: array of (key, length in code points, words). Null text has none."""
-    lines = F.filter(F.coalesce(split_lines(text), F.array().cast("array<string>")), has_word)
-    return F.transform(lines, lambda x: F.struct(line_key(x).alias("key"), F.char_length(x).alias("len"), F.regexp_count(x, F.lit("[^\\x20\\x09-\\x0D]+")).alias("words")))
+    """Of the lines with a word: array of (key, words). Null text has none."""
+    lines = F.filter(F.coalesce(plain_lines(text), F.array().cast("array<string>")), lambda x: x != "")
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("key"), (F.octet_length(x) - F.octet_length(F.translate(x, " ", "")) + 1).alias("words")))
 
 
 def line_rows(docs: DataFrame, *others: str) -> DataFrame:
-    """A row for each distinct line of a document: host, key, page (what tells the page apart), others. docs: host, lines."""
-    keys = F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["key"])))
-    rows = docs.select("host", *others, keys.alias("keys"))
+    """A row for each distinct line of a document: host, key, page (what tells the page apart), others. docs: host, keys (those of its lines)."""
+    rows = docs.select("host", *others, F.sort_array(F.array_distinct("keys")).alias("keys"))
     return rows.select("host", *others, F.xxhash64("keys").alias("page"), F.explode("keys").alias("key"))
 
 
-def frequent_lines(rows: DataFrame, ratio: float, least: int) -> DataFrame:
-    """host, key, pages, host_pages of the lines on more than ratio of their host's pages and on at least `least` of them.
+def frequent_lines(rows: DataFrame, ratio: float, least: int, most: int | None = None) -> DataFrame:
+    """host, key, pages, host_pages of the lines on at least `least` of their host's pages and on more than ratio of them (or more than `most`).
 
     Counts are summed before they are shuffled by line, so a line or host with many rows is no hot spot.
     """
     counts = rows.select("host", "key", "page").distinct().groupBy("host", "key").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least)
     totals = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
-    return counts.join(totals, "host").filter(F.col("pages") > F.col("host_pages") * ratio)
+    over = F.col("pages") > F.col("host_pages") * ratio
+    return counts.join(totals, "host").filter(over if most is None else over | (F.col("pages") > most))
 
 
-#: DuckDB: a macro-free expression for the key of line {0}
-def sql_key(line: str) -> str:
-    return f"('0x' || substr(md5(trim(regexp_replace(translate(lower({line}), '123456789', '000000000'), '[ \\t\\x0B-\\x0D]+', ' ', 'g'), ' ')), 1, 15))::bigint"
+#: DuckDB: the normalised text of line {0}
+def sql_plain(line: str) -> str:
+    return f"trim(regexp_replace(translate(lower({line}), '123456789', '000000000'), '[ \\t\\x0B-\\x0D]+', ' ', 'g'), ' ')"
 
 
-#: DuckDB: common tables up to `frequent`, from documents
-def sql_frequent(ratio: float, least: int) -> str:
-    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: DuckDB: common tables d, l (the lines with a word) and `frequent`, from documents
+def sql_frequent(ratio: float, least: int, most: int | None = None) -> str:
+    over = f"pages > host_pages * {ratio}" + ("" if most is None else f" or pages > {most}")
     return f"""d as (select row_number() over () as rid, * from documents),
-l as (select rid, coalesce('=' || source, '') as host, line, {sql_key('line')} as key, length(line) as len
-    from (select rid, source, unnest(string_split(text, chr(10))) as line from d) where translate(line, {space}, '') <> ''),
-o as (select distinct rid, host, key, len from l),
-r as (select *, row_number() over (partition by rid order by len desc, key desc) as place from o),
-g as (select rid, max(case when place = 1 then key end) as one, max(case when place = 2 then key end) as two from r group by rid),
-m as (select distinct r.rid, r.host, r.key, g.one, case when r.key = g.one then coalesce(g.two, g.one) else g.one end as page from r join g using (rid)),
-c as (select host, key, count(distinct page) as pages from m group by host, key),
-t as (select host, count(distinct one) as host_pages from m group by host),
-frequent as (select host, key from c join t using (host) where pages >= {least} and pages > host_pages * {ratio})"""
+x as (select rid, doc_id, coalesce('=' || source, '') as host, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place from d),
+l as (select rid, host, line, {sql_plain('line')} as key from x where {sql_plain('line')} <> ''),
+g as (select rid, host, list_sort(list(distinct key)) as page from l group by rid, host),
+m as (select distinct host, page from g),
+c as (select host, key, count(*) as pages from (select host, unnest(page) as key from m) group by host, key),
+t as (select host, count(*) as host_pages from m group by host),
+frequent as (select host, key from c join t using (host) where pages >= {least} and ({over}))"""

@@ -5,8 +5,8 @@ Then normalised lines are hashed, the distinct documents that hold a line are co
 too many of them are removed, and a document that these removals deplete is rejected. Copies of a page count once for
 this (see lines.py), so a page is not rejected for having been copied.
 
-Limits: a line is removed if more than MAX_SHARE of its host's documents, and at least LEAST_DOCS, hold it; a document
-is depleted if less than LEAST_LEFT of its words are left.
+Limits: a line is removed if at least LEAST_DOCS distinct documents of its host hold it and these are more than MAX_SHARE
+of them or more than MAX_DOCS; a document is depleted if less than LEAST_LEFT of its words are left.
 
 Defined cases: null or empty text has no words and fails the base rules; a null host is a host of its own; very long
 texts are counted whole; repeated rows are judged alike; an empty table gives an empty result; other columns pass
@@ -18,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trove.functions.binding import let
 from trove.llm.common import SPACE_CHARS, WORD, stage
-from trove.llm.lines import frequent_lines, has_word, host_key, keyed_lines, let, line_rows, split_lines, sql_frequent
+from trove.llm.lines import frequent_lines, has_word, host_key, keyed_lines, line_rows, split_lines, sql_frequent
 
-MIN_WORDS, MAX_SHARE, LEAST_DOCS, LEAST_LEFT = 50, 0.1, 10, 0.3
+MIN_WORDS, MAX_SHARE, MAX_DOCS, LEAST_DOCS, LEAST_LEFT = 50, 0.05, 10_000, 10, 0.3
 SYMBOLS = "#*$%&|<>"
 
 
@@ -60,7 +61,7 @@ def base_rules(text: Column) -> dict[str, Column]:
     }
 
 
-def judge_documents(docs: DataFrame, host: str = "source", max_share: float = MAX_SHARE, least_docs: int = LEAST_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
+def judge_documents(docs: DataFrame, host: str = "source", max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, least_docs: int = LEAST_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """A row for each document: id (a hash of doc_id, host and text), doc_id, the counts, base_failed, words_removed, kept."""
     narrow = docs.select(
         F.xxhash64(F.col("doc_id"), host_key(F.col(host)), F.coalesce(F.col("text"), F.lit(""))).alias("id"),
@@ -70,7 +71,7 @@ def judge_documents(docs: DataFrame, host: str = "source", max_share: float = MA
         *[c.alias(n) for n, c in base_rules(F.col("text")).items()],
     )
     narrow = stage(narrow, "quality-counts")
-    bad = frequent_lines(line_rows(narrow), max_share, least_docs).select("host", "key", F.lit(True).alias("bad"))
+    bad = frequent_lines(line_rows(narrow.select("host", F.col("lines.key").alias("keys"))), max_share, least_docs, max_docs).select("host", "key", F.lit(True).alias("bad"))
     each = narrow.select("id", "host", F.explode("lines").alias("line")).select("id", "host", "line.key", "line.words")
     each = each.groupBy("id", "host", "key").agg(F.max("words").alias("words"), F.count("*").alias("times"))  # twins of a row count their lines alike
     lost = each.join(bad, ["host", "key"]).groupBy("id").agg(F.collect_set("key").alias("bad"))  # at most the document's own lines
@@ -96,7 +97,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLES = {
-    "op7_quality": f"""with {sql_frequent(MAX_SHARE, LEAST_DOCS)},
+    "op7_quality": f"""with {sql_frequent(MAX_SHARE, LEAST_DOCS, MAX_DOCS)},
 w as (select rid, unnest(regexp_extract_all(text, '{WORD}')) as word, generate_subscripts(regexp_extract_all(text, '{WORD}'), 1) as i from d),
 w3 as (select rid, i, word, lead(word, 1) over (partition by rid order by i) as b, lead(word, 2) over (partition by rid order by i) as c from w),
 k as (select *, count(*) over (partition by rid, word, b, c) as n from w3),
