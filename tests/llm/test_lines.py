@@ -26,6 +26,6 @@ def test_pages_that_share_their_longest_line(spark):
 def test_shared_lines_do_not_shrink_the_host(spark):
     rng = random.Random(9)
     rows = [(i, f"{letters(rng, 20)}\n" + ("the shared notice " * 30 if i < 90 else "a rare line"), "host") for i in range(100)]
-    docs = frame(spark, rows).select(lines.host_key(F.col("source")).alias("host"), lines.keyed_lines(F.col("text")).alias("lines"))
+    docs = frame(spark, rows).select(lines.host_key(F.col("source")).alias("host"), F.array_compact(lines.line_keys(F.col("text"))).alias("keys"))
     found = {r.pages: r.host_pages for r in lines.frequent_lines(lines.line_rows(docs), 0.05, 5).collect()}
     assert found == {90: 100, 10: 100}
