@@ -8,7 +8,8 @@ the lengths bound it below the threshold.
 
 Defined cases: a text with words but no signature is fingerprinted by its words, one without words by its whole;
 empty or null text has the empty set, which is like the empty set only; repeated rows are documents of their own,
-ordered by doc_id (null last), then text; an empty table gives an empty result; other columns are not read.
+ordered by doc_id (null last), then text, and ties beyond that are equal rows; very long texts are read whole; a class
+whose rows have no doc_id has none; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ el los las y del una con no su para al lo como más pero sus o este sí porque e
 """.split()
 
 
+BROADCAST_CLASSES = 100_000  # rows of 40 bytes
+
+
 def spot_set(text: Column) -> Column:
     """The sorted set of a text's signatures, array of int."""
     common = sorted(set(ANCHORS))
@@ -71,16 +75,26 @@ def length_class(spots: Column, least: float = 0.8) -> Column:
     return F.when(F.size(spots) == 0, -1).otherwise(F.floor(F.log(F.size(spots).cast("double")) / math.log(1 / least))).cast("int")
 
 
-def match_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id and class_id (the smallest doc_id of the documents that it is linked with, over pairs at least as like as least)."""
-    sets = stage(docs.select("doc_id", spot_set(F.col("text")).alias("spots")), "spots")
-    keyed = sets.select("doc_id", F.sha2(fingerprint(F.col("spots")), 256).alias("print"), "spots")
-    members = stage(keyed.groupBy("print").agg(F.min("doc_id").alias("id"), F.min("spots").alias("spots")), "spot-classes")
-    size = F.size("spots")
-    each = members.select("id", size.alias("size"), F.explode("spots").alias("spot"))
-    seen = each.groupBy("spot").agg(F.count("*").alias("df"))
-    ranked = each.join(seen, "spot").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "spot")))
-    rare = ranked.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least) + 1)  # similar sets share one of these
+def set_print(spots: Column) -> Column:
+    """128 bits that tell sets apart."""
+    return F.unhex(F.md5(F.array_join(spots, ",")))
+
+
+def matched_sets(sets: DataFrame, least: float = 0.8) -> DataFrame:
+    """print and class_id of the sets that two rows share or that another set is like; sets: doc_id, spots.
+
+    A class is joined by pairs at least as like as `least`; its class_id is the smallest doc_id of its rows. Sets meet
+    inside a partition of their length class and the one above it, under one of their rarest signatures.
+    """
+    members = sets.groupBy(set_print(F.col("spots")).alias("id")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("spots").alias("spots"))
+    members = stage(members, "spot-sets")
+    each = stage(members.select("id", F.size("spots").alias("size"), F.explode("spots").alias("spot")), "spots")
+    seen = each.groupBy("spot").agg(F.count("*").alias("df")).filter("df > 1")  # a signature of one set brings no pair
+    alone = each.join(seen, "spot")
+    ranked = alone.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "spot")))
+    common = F.count("*").over(Window.partitionBy("id"))
+    # the signatures that no other set has come first in the order, and take up that much of the prefix
+    rare = ranked.withColumn("common", common).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1 - (F.col("size") - F.col("common")))
     own = F.floor(F.log(F.col("size").cast("double")) / math.log(1 / least)).cast("int")
     buckets = rare.select(F.explode(F.array(own, own + 1)).alias("part"), "spot", "id", "size").select(F.xxhash64("part", "spot").alias("bucket"), "id", "size")
 
@@ -92,8 +106,26 @@ def match_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
         return members.join(ids, "id", "left_semi").select("id", F.explode("spots").alias("feature"))
 
     labels, _ = resolve(buckets, verify, lambda x, y: F.least(x, y) >= F.greatest(x, y) * least, features, least, lambda x, y: (x + y) * (least / (1 + least)))
-    named = members.join(labels, "id", "left").select("print", F.coalesce("label", "id").alias("class_id"))
-    return keyed.select("doc_id", "print").join(named, "print").select("doc_id", "class_id")
+    labelled = members.select("id", "first_id", "rows").join(labels, "id", "left")
+    named = stage(labelled.filter("rows > 1 or label is not null").select("id", "first_id", F.coalesce("label", "id").alias("label")), "spot-labels")
+    smallest = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
+    return stage(named.join(smallest, "label").select(F.col("id").alias("print"), "class_id"), "spot-classes")
+
+
+def with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows (with print and doc_id) and their class_id; a row that is like no other is a class of its own."""
+    if classes.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:  # the size is known to be small
+        classes = F.broadcast(classes)
+    found = classes.withColumn("known", F.lit(True))
+    joined = rows.join(found, "print", "left")
+    return joined.withColumn("class_id", F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id"))).drop("known")
+
+
+def match_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id and class_id (the smallest doc_id of the documents that it is linked with, over pairs at least as like as least)."""
+    sets = stage(docs.select("doc_id", spot_set(F.col("text")).alias("spots")), "spot-rows")
+    rows = sets.select("doc_id", set_print(F.col("spots")).alias("print"))
+    return with_class(rows, matched_sets(sets, least)).select("doc_id", "class_id")
 
 
 # --- each document beside the next one -------------------------------------------------------------------------
@@ -138,16 +170,19 @@ def beside_next(docs: DataFrame) -> DataFrame:
 
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = beside_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    classes = matched_sets(stage(docs.select("doc_id", spot_set(F.col("text")).alias("spots")), "spot-rows"))
+    rows = beside_next(docs)
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
     rows = rows.select("doc_id", "spots", n.cast("long").alias("n_chars"), "next_spots", edited.alias("edited"))
-    made = rows.select("doc_id", "n_chars", "spots", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), likeness(F.col("spots"), F.col("next_spots")).alias("near_next"), spot_set(F.col("edited")).alias("edited_spots"))
-    return made.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("spots")).alias("fingerprint"), fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
-        likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"), "near_next", length_class(F.col("spots")).alias("length_class"), length_class(F.col("edited_spots")).alias("edited_length_class"),
+    rows = rows.select("doc_id", "n_chars", "spots", set_print(F.col("spots")).alias("print"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), likeness(F.col("spots"), F.col("next_spots")).alias("near_next"), spot_set(F.col("edited")).alias("edited_spots"))
+    made = rows.select(
+        "doc_id", "n_chars", "edited_sha256", "print", fingerprint(F.col("spots")).alias("fingerprint"), fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
+        likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"), "near_next", length_class(F.col("spots")).alias("length_class"),
     )
+    return with_class(made, classes).drop("print")
 
 
 QUERIES = {"op2_spotsigs": op2_spotsigs}
