@@ -8,17 +8,19 @@ Law: `bytes` (shards hold nearly equal bytes). The map has as many rows as there
 driver holds and what is broadcast.
 
 Defined cases: null text counts as empty (size 1); null doc_id is hashed like a value; repeated rows are separate
-records; an empty table gives an empty result; other columns are left alone by the operator and may have any name.
+records; ties in size go to the smaller slot or shard; very long texts count whole; a version of the map that was not
+written to its end is passed over; an empty table gives an empty result; other columns are left alone by the operator and may have any name.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trove.llm.common import stage
+from trove.llm.common import shared_folder, stage
 
 N_SLOTS = 4096
 
@@ -85,11 +87,21 @@ def store_map(spark: SparkSession, slot_map: dict[int, int], version: int, path:
     spark.createDataFrame(rows, "virtual_slot int, shard int").coalesce(1).write.parquet(f"{path}/version={version}")
 
 
+def map_versions(spark: SparkSession, path: str) -> dict[int, bool]:
+    """The versions that are there, and whether each was written to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+    return {int(n[8:]): files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")) for n in names if n.startswith("version=")}
+
+
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, dict[int, int]]:
-    """A version of the map, the latest if none is named."""
-    table = spark.read.parquet(path)
-    version = table.agg(F.max("version")).head()[0] if version is None else version
-    return version, {r.virtual_slot: r.shard for r in table.filter(F.col("version") == version).collect()}
+    """A version of the map, the latest whole one if none is named; version 0 is the empty map."""
+    version = max((v for v, whole in map_versions(spark, path).items() if whole), default=0) if version is None else version
+    if not version:
+        return 0, {}
+    table = spark.read.schema("virtual_slot int, shard int").parquet(f"{path}/version={version}")
+    return version, {r.virtual_slot: r.shard for r in table.collect()}
 
 
 def place(records: DataFrame, slot_map: dict[int, int], slots: dict[int, tuple[int, int]], version: int = 1) -> DataFrame:
@@ -108,31 +120,35 @@ def place(records: DataFrame, slot_map: dict[int, int], slots: dict[int, tuple[i
     )
 
 
+def next_map(spark: SparkSession, slots: dict[int, tuple[int, int]], n_shards: int, n_slots: int, path: str) -> tuple[int, dict[int, int]]:
+    """The stored map, first edited for the present bytes and shards if it is off balance; a new map if none is stored."""
+    version, old = load_map(spark, path)
+    new = rebalance(old, slots, n_shards) if old else assign(slots, n_shards, n_slots)
+    if new != old:
+        store_map(spark, new, max(map_versions(spark, path), default=0) + 1, path)
+        version, new = load_map(spark, path)
+    return version, new
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
-    """Place all documents by a fresh map, or by the stored map at map_path, edited for the present bytes if it is off balance."""
+    """Place all documents by the stored map at map_path (by default a new one in the shared folder), edited if it is off balance."""
+    spark = docs.sparkSession
     records = stage(record_sizes(docs, n_slots), "shard-records")
     slots = slot_bytes(records)
-    if map_path is None:
-        return place(records, assign(slots, n_shards, n_slots), slots)
-    spark = docs.sparkSession
-    try:
-        version, old = load_map(spark, map_path)
-    except Exception as e:  # noqa: BLE001  no map is stored there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        version, old = 0, {}
-    new = rebalance(old, slots, n_shards) if old else assign(slots, n_shards, n_slots)
-    if new != old:
-        version += 1
-        store_map(spark, new, version, map_path)
-    return place(records, new, slots, version)
+    version, slot_map = next_map(spark, slots, n_shards, n_slots, map_path or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}")
+    return place(records, slot_map, slots, version)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return shard_documents(docs).select(
-        "doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version"
-    )
+    """Places by version 1 of a stored map of 8 shards; next_shard: by version 2, the map edited for one shard more."""
+    path = f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    records = stage(record_sizes(spark.read.parquet(f"{sf_dir}/documents.parquet")), "shard-records")
+    slots = slot_bytes(records)
+    version, slot_map = next_map(spark, slots, 8, N_SLOTS, path)
+    placed = place(records, slot_map, slots, version)
+    _, grown = next_map(spark, slots, 9, N_SLOTS, path)
+    edited = F.broadcast(spark.createDataFrame(sorted(grown.items()), "virtual_slot int, next_shard int"))  # one row a slot
+    return placed.join(edited, "virtual_slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", "next_shard")
 
 
 QUERIES = {"op8_sharding": op8_sharding}
