@@ -146,6 +146,39 @@ def near_rows(seed=8):
     return [(k, t, "s") for k, t in enumerate(out)]
 
 
+def stored_documents(spark, tmp_path, rows):
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_spotsigs_query(spark, tmp_path):
+    """The whole query against brute force: edited texts, likenesses and classes."""
+    near = near_rows()
+    rows = [(i * 7 % 83 + 5, t, "s") for i, t, _ in near] + [(300, None, "s"), (301, "", "s"), (302, "one", "s"), (303, prose(random.Random(1), 3000), "s"), (304, near[2][1], "s")]
+    texts = {i: t or "" for i, t, _ in rows}
+    order = sorted(texts, reverse=True)
+    sets = {i: spots_by_hand(t) for i, t in texts.items()}
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want = classes([(a, b) for a, b in itertools.combinations(sets, 2) if jaccard(sets[a], sets[b]) >= 0.8], sets)
+    got = {r.doc_id: r for r in spotsigs.op2_spotsigs(spark, stored_documents(spark, tmp_path, rows)).collect()}
+    for k, i in enumerate(order):
+        t, after = texts[i], texts[order[(k + 1) % len(order)]]
+        third = len(t) // 3
+        edited = t[: len(t) - third] + after[:third]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.class_id) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), want[i])
+        assert r.near_edited == pytest.approx(jaccard(sets[i], spots_by_hand(edited)))
+        assert r.near_next == pytest.approx(jaccard(sets[i], spots_by_hand(after)))
+    assert len(got) == len(rows)
+
+
+def test_sets_without_ids_are_told_apart(spark):
+    rng = random.Random(3)
+    rows = [(None, prose(rng, 80), "s"), (None, prose(rng, 80), "s"), (7, prose(rng, 90), "s"), (7, prose(rng, 90), "s"), (9, "", "s"), (8, None, "s")]
+    got = sorted((r.doc_id or 0, r.class_id or 0) for r in spotsigs.match_documents(frame(spark, rows)).collect())
+    assert got == [(0, 0), (0, 0), (7, 7), (7, 7), (8, 8), (9, 8)]
+
+
 def test_spot_classes(spark):
     rows = near_rows()
     sets = {k: spots_by_hand(t) for k, t, _ in rows}
@@ -462,6 +495,25 @@ def test_maps_are_versioned_and_edited(spark, tmp_path):
     assert sharding.load_map(spark, path, 1)[1] != sharding.load_map(spark, path, 2)[1]
 
 
+def test_half_written_maps_are_passed_over(spark, tmp_path):
+    path = tmp_path / "maps"
+    sharding.store_map(spark, {0: 0, 1: 1}, 1, str(path))
+    (path / "version=2").mkdir()
+    assert sharding.load_map(spark, str(path)) == (1, {0: 0, 1: 1})
+    assert sharding.next_map(spark, {0: (5, 1), 1: (50, 2)}, 1, 2, str(path)) == (3, {0: 0, 1: 0})
+    assert sharding.load_map(spark, str(tmp_path / "none")) == (0, {})
+
+
+def test_sharding_query(spark, tmp_path):
+    rows = [(i, "x" * (i % 90), "s") for i in range(3000)]
+    made = sharding.op8_sharding(spark, stored_documents(spark, tmp_path, rows)).collect()
+    load = collections.Counter()
+    for r in made:
+        load[r.next_shard] += r.size
+        assert r.next_shard in (r.shard, 8)
+    assert len(made) == 3000 and max(load.values()) <= 1.021 * sum(load.values()) / 9
+
+
 # --- 10
 
 
