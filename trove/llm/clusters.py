@@ -1,12 +1,14 @@
 """Classes of similar records from buckets of candidates, without all pairs of a bucket.
 
 A bucket's members are first compared with one hub, the member that shares buckets with most others, then with two more
-where that leaves the bucket split. Verified links are joined into components; later links join components, not records.
+where that leaves the bucket split, and where it still is with the most typical member of its largest components (the one
+whose features most others have). Verified links are joined into components; later links join components, not records.
 Members of a bucket that are in one component need no more comparison. What is left, pairs across the components of a
-bucket, is met by prefixes: with features ordered from rare to common, two records that share at least a part `least` of
-the larger one's features share one of the first n - ceil(least n) + 1 features of each. So no link between candidates of
-a bucket is lost, and a large group of copies costs about as many comparisons as it has members. A feature of many
-records is split over tasks by salts, in proportion to how many have it.
+bucket, is met by features, one kind after the other: similar records must share some number k of their n features. A
+record that has fewer than k features in common with all others together is out. Of the last kind, with features ordered
+from rare to common, similar records share one of the first n - k + 1 of each. So no link between candidates of a bucket
+is lost, and a large group of copies costs about as many comparisons as it has members. A feature of many records is
+split over tasks by salts, in proportion to how many have it.
 """
 
 from __future__ import annotations
@@ -37,18 +39,16 @@ def resolve(
     buckets: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     alike: Callable[[Column, Column], Column],
-    features: Callable[[DataFrame], DataFrame],
-    least: float,
-    shared: Callable[[Column, Column], Column] | None = None,
+    features: list[tuple[Callable[[DataFrame], DataFrame], Callable[[Column], Column]]],
+    both: Callable[[Column, Column], Column],
 ) -> tuple[DataFrame, DataFrame]:
     """(id, label) of all ids with a link, and the verified links (a, b).
 
     buckets: (bucket, id, size); verify: pairs (a, b) to the rows of them that are similar; alike: a cheap test of two
-    sizes that similar records pass; features: ids to (id, feature), a record's distinct features, of which similar
-    records share at least `least` of the larger number. shared: how many of them two records must share by their
-    numbers, if that is more than `least` of the larger.
+    sizes that similar records pass; features: kinds of features, each with a function of ids to (id, feature), a record's
+    distinct features, and one that tells how many of them a record of so many shares at least with any similar one; both:
+    the same for the last kind, by the numbers of two records.
     """
-    shared = shared or (lambda x, y: F.greatest(x, y) * least)
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     live = stage(buckets.join(sizes, "bucket"), "buckets")
     held = stage(live.join(live.groupBy("id").agg(F.sum("n").alias("degree")), "id").select("bucket", "id", "size", "degree"), "buckets")
@@ -80,17 +80,33 @@ def resolve(
     rest = left()
     if rest.isEmpty():
         return labels, links
-    facts = rest.groupBy("id").agg(F.first("size").alias("size"), F.first("label").alias("label"))  # one size and label an id
-    own = features(facts.select("id"))
-    counts = own.groupBy("feature").agg(F.count("*").alias("n"))
-    ranked = stage(own.join(counts, "feature"), "features")
-    room = ranked.groupBy("id").agg(F.count("*").alias("all"), F.count_if(F.col("n") == 1).alias("alone"))
-    room = room.withColumn("slots", F.col("all") - F.ceil(F.col("all") * least - 1e-9) + 1 - F.col("alone")).filter("slots > 0")
-    able = facts.join(room, "id").select("id", "size", "label", "all", (F.col("all") - F.col("alone")).alias("common"), "slots")
+    typical = stage(features[0][0](rest.select("id").distinct()), "features")
+    typical = stage(typical.join(typical.groupBy("feature").agg(F.count("*").alias("n")), "feature").groupBy("id").agg(F.avg("n").alias("central")), "central")
+    inside = rest.groupBy("bucket", "label").agg(F.count("*").alias("n")).filter("n > 1")
+    largest = inside.withColumn("turn", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("n"), "label"))).filter(F.col("turn") <= HUBS).select("bucket", "label")
+    best = rest.join(typical, "id").groupBy("label").agg(F.max(F.struct("central", "id", "size")).alias("best"))  # one a component, whatever the bucket
+    more_hubs = largest.join(best, "label").select("bucket", F.col("best.id").alias("hub"), F.col("best.size").alias("hub_size"), F.col("label").alias("hub_label"))
+    pairs = rest.join(more_hubs, "bucket").filter((F.col("label") != F.col("hub_label")) & alike(F.col("size"), F.col("hub_size")))
+    pairs = stage(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = stage(verify(pairs).select("a", "b"), "verified")
+    links, tried = links.unionByName(more), tried.unionByName(pairs)
+    labels = joined_labels(labels, more)
+    rest = left()
+    if rest.isEmpty():
+        return labels, links
+    able = stage(rest.groupBy("id").agg(F.first("size").alias("size"), F.first("label").alias("label")), "able")  # one size and label an id
+    for kind, own in features:
+        for _ in range(2):  # with the first ones out, others have less in common
+            held_by = stage(kind(able.select("id")), "features")
+            counts = held_by.groupBy("feature").agg(F.count("*").alias("n")).filter("n > 1")  # a feature of one record brings no pair
+            ranked = stage(held_by.join(counts, "feature"), "ranked")
+            room = held_by.groupBy("id").agg(F.count("*").alias("all")).join(ranked.groupBy("id").agg(F.count("*").alias("common")), "id")
+            room = room.withColumn("slots", F.col("common") - F.greatest(F.ceil(own(F.col("all")) - 1e-9), F.lit(1)) + 1).filter("slots > 0")
+            able = stage(able.select("id", "size", "label").join(room, "id"), "able")
     place = F.row_number().over(Window.partitionBy("id").orderBy("n", "feature"))
-    prefix = ranked.filter("n > 1").withColumn("place", place).join(able, "id").filter("place <= slots")
+    prefix = ranked.join(able, "id").withColumn("place", place).filter("place <= slots")
     # at the first feature that two records share, at most what stands after it in each is shared besides
-    prefix = prefix.select("feature", "id", "size", "label", "all", "common", (F.col("common") - F.col("place") + 1).alias("after"))
+    prefix = prefix.select("feature", "id", "size", "label", "all", (F.col("common") - F.col("place") + 1).alias("after"))
     prefix = stage(prefix, "prefixes")
     # of any pair across labels, one record at least has not the feature's most frequent label
     usual = prefix.groupBy("feature", "label").agg(F.count("*").alias("n")).groupBy("feature").agg(F.max(F.struct("n", "label"))["label"].alias("usual"), F.count("*").alias("labels"), F.sum("n").alias("holders")).filter("labels > 1")
@@ -98,7 +114,7 @@ def resolve(
     mixed = stage(mixed.withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")), "mixed")
     x = mixed.filter("label <> usual").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("x")
     y = mixed.alias("y")
-    could = F.least("x.after", "y.after") >= shared(F.col("x.all"), F.col("y.all")) - 1e-9
+    could = F.least("x.after", "y.after") >= both(F.col("x.all"), F.col("y.all")) - 1e-9
     once = (F.col("y.label") == F.col("y.usual")) | (F.col("x.id") < F.col("y.id"))
     cross = x.join(y, (F.col("x.feature") == F.col("y.feature")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.label") != F.col("y.label")) & once & could & alike(F.col("x.size"), F.col("y.size")))
     cross = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")

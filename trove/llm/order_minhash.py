@@ -8,7 +8,8 @@ similarity, not only with the overlap of sets.
 A candidate pair is a near copy if an alignment of its words inside a diagonal band, whose width follows from SIMILARITY,
 needs at most 1 - SIMILARITY edits for each word of the longer text. The alignment alone decides. It is the bit-parallel
 form of the banded edit distance, and is not begun where the words that both texts have are too few for it to succeed (an
-edit changes one word, so this bound is exact). Candidates beyond a bucket's hubs meet by the same bound (see clusters.py).
+edit changes one word, so this bound is exact). Candidates beyond a bucket's hubs meet by pairs of neighbouring words, of
+which an edit changes two, and then by words (see clusters.py).
 
 Equal word sequences are one class from the start. Classes are the components of the verified links. A document gets the
 smallest doc_id of its class as class id.
@@ -32,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trove.llm.clusters import resolve
+from trove.llm.clusters import SALT_ROWS, resolve
 from trove.llm.common import SPACE_CHARS, chain, hash_words, mix, stage, text_bytes, window_hashes
 
 SHINGLE, SIMILARITY, SKETCHES, ELL = 5, 0.8, 16, 2
 BROADCAST_IDS = 200_000  # contents of candidates that are sent to all executors, 16 bytes each; more are joined
+SALTS = 16
 _AT_ONCE = 1 << 20  # ranks that are held at a time
 _ROWS = 64  # documents at a time in a Python worker; verification holds as many pairs
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -49,6 +51,8 @@ def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
 
 def occurrences(grams: np.ndarray) -> np.ndarray:
     """Which occurrence of its value each element is, from 0."""
+    if not len(grams):
+        return grams
     order = np.argsort(grams, kind="stable")
     ranked = grams[order]
     new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
@@ -158,27 +162,38 @@ def similar(a: np.ndarray, b: np.ndarray, labelled_a: np.ndarray, labelled_b: np
 
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(content, text) to (id, words): the labelled words of each."""
+    """(content, text) to (content, words): the hashes of its words, eight bytes each."""
     for batch in batches:
         for at in range(0, batch.num_rows, _ROWS):
             part = batch.slice(at, _ROWS)
-            found = [label(w).view(np.int64) for w, _ in _documents(part.column(1))]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32()), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "words"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([w.tobytes() for w, _ in _documents(part.column(1))], pa.binary())], ["content", "words"])
+
+
+def _gram_batches(size: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(content, words) to (id, grams): its labelled runs of `size` words."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                found = [label(window_hashes(np.frombuffer(w, np.uint64), size)).view(np.int64) for w in part.column(1).to_pylist()]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32()), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "grams"])
+
+    return run
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text_a, text_b) to the similar (a, b); a's words are kept while it stays the same."""
+    """(a, b, words_a, words_b) to the similar (a, b); a's words are kept while it stays the same."""
     last, words, labelled = None, np.empty(0, np.uint64), np.empty(0, np.uint64)
     for batch in batches:
         for at in range(0, batch.num_rows, _ROWS):
             part = batch.slice(at, _ROWS)
-            ids = part.column(0).to_pylist()
             keep = []
-            for k, (other, _) in enumerate(_documents(part.column(3))):
-                if ids[k] != last:
-                    last, words = ids[k], next(_documents(part.column(2).slice(k, 1)))[0]
+            for a, one, two in zip(part.column(0).to_pylist(), part.column(2), part.column(3), strict=True):
+                if a != last:
+                    last, words = a, np.frombuffer(one.as_py(), np.uint64)
                     labelled = label(words)
+                other = np.frombuffer(two.as_py(), np.uint64)
                 keep.append(similar(words, other, labelled, label(other)))
             yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -191,28 +206,36 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = stage(made.groupBy("content").agg(F.min("doc_id").alias("first_id"), F.max("n_words").alias("n_words"), F.first("buckets").alias("buckets")), "contents")
     buckets = members.filter("n_words > 0").select(F.col("content").alias("id"), F.col("n_words").alias("size"), F.explode("buckets").alias("bucket"))
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        """content and text of some contents."""
+    def words_of(ids: DataFrame) -> DataFrame:
+        """content and words of some contents."""
         ids = stage(ids, "asked")
         if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # the size is known to be small
             ids = F.broadcast(ids)
-        return made.select("content", "text").join(ids, "content", "left_semi").dropDuplicates(["content"])
+        found = made.select("content", "text").join(ids, "content", "left_semi").dropDuplicates(["content"])
+        return stage(found.mapInArrow(_word_batches, "content binary, words binary"), "words")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        """Pairs of one content are dealt over tasks, SALT_ROWS each."""
         pairs = stage(pairs, "pairs")
-        one = texts_of(pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct())
-        left, right = one.select(F.col("content").alias("a"), F.col("text").alias("text_a")), one.select(F.col("content").alias("b"), F.col("text").alias("text_b"))
-        full = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-        return full.mapInArrow(_verify_batches, "a binary, b binary")
-
-    def features(ids: DataFrame) -> DataFrame:
-        found = texts_of(ids.select(F.col("id").alias("content"))).mapInArrow(_word_batches, "id binary, words array<long>")
-        return stage(found, "words").select("id", F.explode("words").alias("feature"))
-
-    labels, _ = resolve(buckets, verify, lambda x, y: F.least(x, y) >= F.greatest(x, y) * SIMILARITY, features, SIMILARITY)
+        one = words_of(pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct())
+        often = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
+        left = one.withColumnsRenamed({"content": "a", "words": "words_a"}).join(often, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        full = pairs.join(often, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int")).join(one.withColumnsRenamed({"content": "b", "words": "words_b"}), "b").join(left, ["a", "salt"])
+        return full.select("a", "b", "words_a", "words_b").mapInArrow(_verify_batches, "a binary, b binary")
+
+    def grams(size: int):  # noqa: ANN202
+        return lambda ids: words_of(ids.select(F.col("id").alias("content"))).mapInArrow(_gram_batches(size), "id binary, grams array<long>").select("id", F.explode("grams").alias("feature"))
+
+    # of m runs of k words, those of m + k - 1 words, no more than k an edit are lost
+    kept = lambda k: lambda m: m - (m + k - 1) * k * (1 - SIMILARITY)
+    alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * SIMILARITY - 1e-9
+    labels, _ = resolve(buckets, verify, alike, [(grams(2), kept(2)), (grams(1), kept(1))], lambda x, y: kept(1)(F.greatest(x, y)))
     named = stage(members.join(labels.withColumnRenamed("id", "content"), "content", "left").select("content", "first_id", F.coalesce("label", "content").alias("label")), "labelled")
-    smallest = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    return made.select("doc_id", "text_hash", "content", "n_words"), named.join(smallest, "label").select("content", "label", "class_id")
+    # the members of a large class are dealt over SALTS tasks
+    salt = F.pmod(F.xxhash64("content"), F.lit(SALTS)).cast("int")
+    smallest = named.groupBy("label").agg(F.min("first_id").alias("least"), F.count("*").alias("n")).filter("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("n")
+    joined = named.withColumn("salt", salt).join(smallest.withColumn("many", F.lit(True)), ["label", "salt"], "left")
+    return made.select("doc_id", "text_hash", "content", "n_words"), joined.select("content", "label", F.when(F.col("many"), F.col("least")).otherwise(F.col("first_id")).alias("class_id"))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
