@@ -1,43 +1,54 @@
 """Comparison, duplicates, verification, layers and plans on small relations."""
 
+import datetime
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from trove.operators import compare, duplicates, graph, layers, verify
 from trove.plans import library, naming
 
-TREES = [("A", "/a/dup1", 10, True), ("A", "/a/dup2", 10, True), ("A", "/a/zzz", 11, True), ("A", "/a/unique", 20, True), ("A", "/a/broken", 10, False), ("B", "/b/only-b", 40, True), ("B", "/b/dup", 10, True), ("B", "/b/broken", 10, False), ("B", "/b/zzz", 11, True), ("B", "/b/only-a", 41, True)]
-
-
 def files(spark, rows):
     """rows: path, shallow, bytes, payload, pixels, video, size, dated."""
     return spark.createDataFrame(rows, "path string, shallow string, bytes_hash string, payload_hash string, pixel_hash string, video boolean, size long, dated boolean").withColumn("decoded", F.col("payload_hash").isNotNull())
 
 
 def test_compare_trees(spark):
-    t = spark.createDataFrame(TREES, "tree string, path string, shallow long, decoded boolean")
-    got = {(r.path, r.category) for r in compare.compare_trees(t.filter("tree = 'A'"), t.filter("tree = 'B'")).collect()}
-    assert got == {("/a/dup1", "duplicate"), ("/a/dup2", "duplicate"), ("/b/dup", "duplicate"), ("/a/zzz", "duplicate"), ("/b/zzz", "duplicate"), ("/a/unique", "a_only"), ("/b/only-a", "b_only"), ("/b/only-b", "b_only"), ("/b/broken", "unreadable")}
-    groups = compare.duplicate_groups(t.filter("tree = 'A'"), t.filter("tree = 'B'")).orderBy("first_a").collect()
-    assert [(g.n_a, g.n_b, g.first_a, g.first_b) for g in groups] == [(2, 1, "/a/dup1", "/b/dup"), (1, 1, "/a/zzz", "/b/zzz")]
+    rng = random.Random(4)
+    rows = [(t, f"/{t.lower()}/{k}", rng.randrange(25), rng.random() < 0.8) for t in "AB" for k in range(40)]
+    t = spark.createDataFrame(rows, "tree string, path string, shallow long, decoded boolean")
+    hashes = {s: {h for x, _, h, ok in rows if x == s and ok} for s in "AB"}
+    want = {(p, ("duplicate" if h in hashes["B" if s == "A" else "A"] else f"{s.lower()}_only") if ok else "unreadable") for s, p, h, ok in rows if ok or s == "B"}
+    assert {(r.path, r.category) for r in compare.compare_trees(t.filter("tree = 'A'"), t.filter("tree = 'B'")).collect()} == want
+    groups = compare.duplicate_groups(t.filter("tree = 'A'"), t.filter("tree = 'B'")).collect()
+    held = lambda s, h: sorted(p for x, p, g, ok in rows if (x, g, ok) == (s, h, True))
+    assert {(g.n_a, g.n_b, g.first_a, g.first_b) for g in groups} == {(len(held("A", h)), len(held("B", h)), held("A", h)[0], held("B", h)[0]) for h in hashes["A"] & hashes["B"]}
 
 
 def test_sets(spark):
-    rows = [("A", "ok", "1"), ("A", "a", "2"), ("B", "d", "1"), ("B", "o", "3"), ("B", "c", "4"), ("C", "d", "1"), ("C", "b", "4")]
+    rng = random.Random(7)
+    rows = [(t, f"{t}{k}", str(rng.randrange(30))) for t in "PQRS" for k in range(25)]
     t = spark.createDataFrame(rows, "tree string, path string, shallow string").withColumn("decoded", F.lit(True))
-    a, c = t.filter("tree = 'A'"), t.filter("tree <> 'A'")
+    a, c = t.filter("tree = 'P'"), t.filter("tree <> 'P'")
+    of = lambda s: {h for x, _, h in rows if x == s}
+    elsewhere = lambda s: set().union(*(of(x) for x in "QRS" if x != s))
+    kind = {(s, p): "dup" if h in of("P") else "shared" if h in elsewhere(s) else "only" for s, p, h in rows if s != "P"}
     counts = compare.compare_sets(a, c)
-    assert {(r.tree, r.duplicates, r.only_here, r.shared) for r in counts.collect()} == {("B", 1, 1, 1), ("C", 1, 0, 1)}
-    assert compare.unique_in_a(a, c).head()[0] == 1
-    assert tuple(compare.set_totals(counts).head()) == (2, 3)
+    n = lambda s, k: sum(x == s and v == k for (x, _), v in kind.items())
+    assert {(r.tree, r.duplicates, r.only_here, r.shared) for r in counts.collect()} == {(s, n(s, "dup"), n(s, "only"), n(s, "shared")) for s in "QRS"}
+    assert compare.unique_in_a(a, c).head()[0] == len(of("P") - elsewhere("P"))
+    assert tuple(compare.set_totals(counts).head()) == (sum(v == "dup" for v in kind.values()), sum(v != "dup" for v in kind.values()))
 
 
-@pytest.mark.parametrize(("a", "b", "want"), [
-    (["x", "x"], ["x", "x"], (4, 4, 0, 0)), (["x", "y"], ["x", "y"], (4, 2, 2, 0)), (["x", "y"], ["z"], (2, 0, 0, 2)), (["x"], ["x", "z"], (2, 1, 0, 1)),
-])
-def test_deep_scan(spark, a, b, want):
+@pytest.mark.parametrize("seed", range(4))
+def test_deep_scan(spark, seed):
+    rng = random.Random(seed)
+    a, b = ([rng.choice("uvwxyz"[: rng.randrange(2, 7)]) for _ in range(rng.randrange(1, 6))] for _ in range(2))
     make = lambda s, xs: files(spark, [(f"/{s}/{i}", "h", x, x, x, False, 1, True) for i, x in enumerate(xs)])
     x, y = make("a", a), make("b", b)
+    pairs = [(p, q) for p in a for q in b]
+    want = (len(pairs), sum(p == q for p, q in pairs), sum(p != q and q in a for p, q in pairs), sum(q not in a for _, q in pairs))
     r = compare.deep_scan_counts(x, y).head()
     assert (r.checked, r.kept, r.covered, r.removed) == want
     assert compare.removed_pairs(x, y).count() == want[3]
@@ -64,35 +75,47 @@ def test_components(spark):
 
 
 def test_verify(spark):
-    rows = [("2022/08-17 hawaii/ok.jpg", "2022:08:17 1:2:3"), ("2010/05-30/wrong.jpg", "2022-08-17"), ("misc/in.jpg", "2022-08-17"), ("misc/no.jpg", None), ("August 2022/a.jpg", "2022-08-17"), ("July 2022/a.jpg", "2022-08-17"), ("2022/08-17/m.jpg", "2022-08")]
-    got = {r.path: (r.status, r.days_off, r.folder_date) for r in verify.verify_dates(spark.createDataFrame(rows, "path string, capture_date string")).collect()}
-    assert got["2022/08-17 hawaii/ok.jpg"] == ("ok", 0, "2022-08-17")
-    assert got["2010/05-30/wrong.jpg"][0] == "mismatch"
-    assert got["misc/in.jpg"] == ("outside", None, None)
-    assert got["misc/no.jpg"][0] == "undated"
-    assert got["August 2022/a.jpg"][:2] == ("ok", 0)
-    assert got["July 2022/a.jpg"] == ("mismatch", 47, "2022-07")
-    assert got["2022/08-17/m.jpg"][0] == "undated"
+    rows = [("1987/11-09 fog/a.png", "1987:11:09 3:4:5"), ("1980/02-03/b.png", "1987-11-09"), ("box/c.png", "1987-11-09"), ("box/d.png", None), ("November 1987/e.png", "1987-11-09"), ("Oct 1987/f.png", "1987-11-09"), ("1987/11-09/g.png", "1987-11")]
+    got = {r.path[-5]: (r.status, r.days_off, r.folder_date) for r in verify.verify_dates(spark.createDataFrame(rows, "path string, capture_date string")).collect()}
+    apart = lambda *d: abs((datetime.date(*d) - datetime.date(1987, 11, 9)).days)
+    assert got["a"] == ("ok", 0, "1987-11-09")
+    assert got["b"] == ("mismatch", apart(1980, 2, 3), "1980-02-03")
+    assert got["c"] == ("outside", None, None)
+    assert got["d"][0] == got["g"][0] == "undated"
+    assert got["e"] == ("ok", 0, "1987-11")
+    assert got["f"] == ("mismatch", apart(1987, 10, 1), "1987-10")
 
 
 def test_names(spark):
-    claims = spark.createDataFrame([("d", 1, "A.JPG"), ("d", 2, "a.jpg"), ("d", 3, "b.jpg"), ("d", 4, "b.jpg"), ("e", 1, "img_0001.jpg"), ("f", 1, "photo"), ("g", 1, "x.jpg"), ("g", 2, "x (1).jpg"), ("g", 3, "x.jpg")], "dir string, seq int, name string")
-    there = spark.createDataFrame([("d", "a.jpg"), ("e", "IMG_0001.jpg"), ("e", "IMG_0001 (1).JPG"), ("f", "photo")], "dir string, name string")
-    got = {(r.dir, r.seq): r.given for r in naming.claim_names(claims, there).collect()}
-    assert got == {("d", 1): "A (1).JPG", ("d", 2): "a (2).jpg", ("d", 3): "b.jpg", ("d", 4): "b (1).jpg", ("e", 1): "img_0001 (2).jpg", ("f", 1): "photo (1)", ("g", 1): "x.jpg", ("g", 2): "x (1).jpg", ("g", 3): "x (2).jpg"}
+    """Random claims, many of which look like names that were made up, against a plain loop."""
+    rng = random.Random(11)
+    name = lambda: rng.choice(("a", "B", "b", "pic")) + rng.choice(("", "", " (1)", " (2)", " (1) (1)")) + rng.choice(("", ".gif", ".GIF"))
+    claims = [(f"d{rng.randrange(4)}", k, name()) for k in range(160)]
+    there = sorted({(f"d{rng.randrange(4)}", name()) for _ in range(12)})
+    taken, want = {(d, n.lower()) for d, n in there}, {}
+    for d, k, n in claims:
+        stem, dot, ext = n.rpartition(".") if "." in n else (n, "", "")
+        made, i = n, 0
+        while (d, made.lower()) in taken:
+            i += 1
+            made = f"{stem} ({i}){dot}{ext}"
+        taken.add((d, made.lower()))
+        want[d, k] = made
+    got = naming.claim_names(spark.createDataFrame(claims, "dir string, seq int, name string"), spark.createDataFrame(there, "dir string, name string")).collect()
+    assert {(r.dir, r.seq): r.given for r in got} == want
 
 
 def test_merge_plan(spark):
-    rows = [("/lib-a/2004/05-12 Hawaii/beach.jpg", "1", 9), ("/lib-a/2004/05-12 Hawaii/beach-copy.jpg", "1", 9), ("/lib-a/2004/06-01/dinner.heic", "2", 8), ("/lib-b/2004/05-12/vacation-photo.jpg", "1", 9), ("/lib-b/2004/06-01 Party/dinner-copy.heic", "2", 9), ("/lib-b/2004/loose.jpg", "3", 1)]
-    f = files(spark, [(p, c, c, c, c, False, n, True) for p, c, n in rows]).withColumn("rel", F.regexp_replace("path", "^/lib-./", ""))
+    rows = [("/one/1987/11-09 fog/x.png", "1", 9), ("/one/1987/11-09 fog/x too.png", "1", 9), ("/one/1987/12-24/y.gif", "2", 8), ("/two/1987/11-09/another.png", "1", 9), ("/two/1987/12-24 eve/bigger.gif", "2", 9), ("/two/1987/top.png", "3", 1)]
+    f = files(spark, [(p, c, c, c, c, False, n, True) for p, c, n in rows]).withColumn("rel", F.regexp_replace("path", "^/(one|two)/", ""))
     got = {(r.target, r.action) for r in library.merge_plan(f, "/all", "/purg").collect()}
-    assert got == {("/all/2004/05-12 Hawaii/beach.jpg", "keep"), ("/all/2004/06-01 Party/dinner-copy.heic", "keep"), ("/purg/2004/05-12 Hawaii/beach-copy.jpg", "purge"), ("/purg/2004/05-12/vacation-photo.jpg", "purge"), ("/purg/2004/06-01/dinner.heic", "purge")}
+    assert got == {("/all/1987/11-09 fog/x.png", "keep"), ("/all/1987/12-24 eve/bigger.gif", "keep"), ("/purg/1987/11-09 fog/x too.png", "purge"), ("/purg/1987/11-09/another.png", "purge"), ("/purg/1987/12-24/y.gif", "purge")}
 
 
 def test_consolidate_plan(spark):
-    f = files(spark, [(f"/y/{p}", c, c, c, c, False, 1, True) for p, c in [("01-01/a.jpg", "1"), ("01-01/c.jpg", "2"), ("01-01 Hawaii/b.jpg", "1"), ("01-01 Hawaii/d.heic", "3"), ("02-02/z.jpg", "1")]])
-    got = {(r.source, r.target, r.action) for r in library.consolidate_plan(f, "/y", "/y-purgatory").collect()}
-    assert got == {("/y/01-01/c.jpg", "/y/01-01 Hawaii/c.jpg", "move"), ("/y/01-01/a.jpg", "/y/01-01 Hawaii/a.jpg", "move"), ("/y/01-01 Hawaii/b.jpg", "/y-purgatory/01-01 Hawaii/b.jpg", "purge")}
+    f = files(spark, [(f"/y/{p}", c, c, c, c, False, 1, True) for p, c in [("03-04/k.png", "1"), ("03-04/m.png", "2"), ("03-04 rain/l.png", "1"), ("03-04 rain/n.gif", "3"), ("05-06/q.png", "1")]])
+    got = {(r.source, r.target, r.action) for r in library.consolidate_plan(f, "/y", "/purg").collect()}
+    assert got == {("/y/03-04/m.png", "/y/03-04 rain/m.png", "move"), ("/y/03-04/k.png", "/y/03-04 rain/k.png", "move"), ("/y/03-04 rain/l.png", "/purg/03-04 rain/l.png", "purge")}
 
 
 def test_layers(spark, tmp_path):

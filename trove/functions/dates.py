@@ -61,14 +61,20 @@ def shape_date(match: Column, shape: str) -> Column:
 
 
 def _found(name: Column, pattern: str, date) -> Column:  # noqa: ANN001
-    """The first match with a date: (from, date, len), from being where it begins, from 1."""
-    dated = F.transform(F.regexp_extract_all(name, F.lit(pattern), F.lit(0)), lambda m: F.struct(date(m).alias("date"), m.alias("match")))
+    """The first match with a date: (from, date, len), from being where it begins, from 1.
 
-    def placed(first: Column) -> Column:
-        place = F.regexp_instr(name, F.concat(F.lit(_START + r"\Q"), first["match"], F.lit(r"\E" + _END)))
-        return F.when(first.isNotNull(), F.struct(place.alias("from"), first["date"].alias("date"), F.length(first["match"]).alias("len")))
+    Matches come in order and don't overlap, so the k-th one begins after the text up to it: what splitting at matches leaves
+    before it, and the matches before.
+    """
+    found = F.regexp_extract_all(name, F.lit(pattern), F.lit(0))
+
+    def placed(ms: Column) -> Column:
+        between = F.split(name, pattern, -1)
+        at = lambda k: F.aggregate(F.slice(between, F.lit(1), k + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice(ms, F.lit(1), k), F.lit(0), lambda s, x: s + F.length(x)) + 1
+        dated = F.transform(ms, lambda m, k: F.struct(k.alias("k"), date(m).alias("date"), F.length(m).alias("len")))
+        return let(F.get(F.filter(dated, lambda x: x["date"].isNotNull()), F.lit(0)), lambda first: F.when(first.isNotNull(), F.struct(at(first["k"]).alias("from"), first["date"].alias("date"), first["len"].alias("len"))))
 
-    return let(F.get(F.filter(dated, lambda x: x["date"].isNotNull()), F.lit(0)), placed)
+    return let(found, placed)
 
 
 def folder_date_shape(name: Column, shape: str) -> Column:

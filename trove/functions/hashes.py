@@ -24,6 +24,11 @@ def shallow_hash(payload: Column, content: Column, n: int = PREFIX) -> Column:
     return F.when(payload.isNotNull(), prefix_hash(payload, n)).otherwise(F.md5(content))
 
 
+def content_hash(payload: Column) -> Column:
+    """Proof-grade hash of a whole payload; null without one."""
+    return F.sha2(payload, 256)
+
+
 def decoded(payload: Column) -> Column:
     return payload.isNotNull()
 
@@ -32,7 +37,7 @@ def strategy_hash(strategy: str, content: Column, payload: Column) -> Column:
     """`exact`: all bytes; `image_data`: the payload, or all bytes without one."""
     if strategy == "exact":
         return bytes_hash(content)
-    return F.coalesce(F.sha2(payload, 256), bytes_hash(content))
+    return F.coalesce(content_hash(payload), bytes_hash(content))
 
 
 def verdict(a, b) -> Column:  # noqa: ANN001
@@ -50,4 +55,4 @@ def verdict(a, b) -> Column:  # noqa: ANN001
 def reason(a, b) -> Column:  # noqa: ANN001
     """Why a pair is not the same; null if it is."""
     v = verdict(a, b)
-    return F.when(v == "unknown", "could not be read or decoded: not proven identical").when(v == "different", F.when(a("video") | b("video"), "full video payloads differ").otherwise("decoded pixels differ"))
+    return F.when(v == "unknown", "no proof: one of them has no readable content").when(v == "different", F.when(a("video") | b("video"), "not one film: other film data").otherwise("not one picture: other pixels"))

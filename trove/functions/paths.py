@@ -99,6 +99,11 @@ def require_disjoint(a: str, b: str) -> None:
         raise ValueError(f"{a} and {b} are the same tree or one holds the other")
 
 
+def json_row(*columns: str) -> Column:
+    """A result row as JSON text, in the order of its columns."""
+    return F.to_json(F.struct(*columns))
+
+
 def bytes_text(n: Column) -> Column:
     """A size with its unit."""
     units = F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB")))

@@ -63,6 +63,11 @@ def bands(signature: Column, threshold: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(signature, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).alias("bits")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))])
 
 
+def band_pairs(p: Column, d: Column, p_limit: int, d_limit: int) -> Column:
+    """Array of hashes of a band of p and a band of d: two pairs of signatures within both limits share one of them at least."""
+    return F.flatten(F.transform(bands(p, p_limit), lambda x: F.transform(bands(d, d_limit), lambda y: F.xxhash64(x["band"], x["bits"], y["band"], y["bits"]))))
+
+
 def simhashes(rows: DataFrame, key: str, tokens: dict[str, Column], n_bits: int = 60) -> DataFrame:
     """key and, for each name of tokens, the SimHash of that array of words by their md5; keys without words have no row.
 

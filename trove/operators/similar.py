@@ -2,8 +2,9 @@
 
 Item columns: path, kind (family; null ones are left out), phash, dhash, chroma (may be null), pixels, size; for exact
 copies also shallow, decoded, payload_hash. Up to BANDED_MAX the join is by bands: signatures within t agree on one of
-t + 1 bands, so an equi-join on (kind, band, bits) misses no pair. Above it bands are too short to prune, and signature
-classes (not items) meet by kind.
+t + 1 bands, and similar items are near in both signatures, so an equi-join on (kind, a band of each) misses no pair.
+Above it bands are too short to prune, and signature classes (not items) meet by kind. Items are used more than once:
+give a stored table, whose signatures are computed (see layers.fill).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trove.functions.paths import parts
-from trove.functions.signatures import DHASH_LIMIT, PHASH_LIMIT, bands, better_side, chroma_compatible, distance, hashes_similar
+from trove.functions.signatures import DHASH_LIMIT, PHASH_LIMIT, band_pairs, better_side, chroma_compatible, distance, hashes_similar
 from trove.operators.duplicates import exact_extras
 from trove.operators.graph import components
 
@@ -38,10 +39,9 @@ def similar_classes(a: DataFrame, b: DataFrame, p_limit: int, d_limit: int) -> D
     """(a_id, b_id, distance) of similar signatures of two sets of classes, each pair once; equal ones too."""
     side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in (*SIGNATURE, "id")])
     x, y = side(a, "a"), side(b, "b")
-    if p_limit <= BANDED_MAX:
-        banded = lambda df, s: df.withColumn("band", F.explode(bands(F.col(f"{s}_phash"), p_limit))).select("*", F.col("band.band").alias(f"{s}_band"), F.col("band.bits").alias(f"{s}_bits")).drop("band")
-        on = (F.col("a_kind") == F.col("b_kind")) & (F.col("a_band") == F.col("b_band")) & (F.col("a_bits") == F.col("b_bits"))
-        found = banded(x, "a").join(banded(y, "b"), on).filter(_near(p_limit, d_limit))
+    if max(p_limit, d_limit) <= BANDED_MAX:
+        banded = lambda df, s: df.filter(f"{s}_dhash is not null").withColumn(f"{s}_band", F.explode(band_pairs(F.col(f"{s}_phash"), F.col(f"{s}_dhash"), p_limit, d_limit)))
+        found = banded(x, "a").join(banded(y, "b"), (F.col("a_kind") == F.col("b_kind")) & (F.col("a_band") == F.col("b_band"))).filter(_near(p_limit, d_limit))
     else:
         found = x.join(y, F.col("a_kind") == F.col("b_kind")).filter(_near(p_limit, d_limit))
     return found.select("a_id", "b_id", distance(F.col("a_phash"), F.col("b_phash")).alias("distance")).distinct()

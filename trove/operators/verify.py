@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 
 from trove.functions.binding import let
 from trove.functions.dates import date_triple, days_between, folder_date_of
+from trove.functions.paths import parent
 
 STATUSES = ("ok", "mismatch", "outside", "undated")
 
 
+def with_folder_dates(files: DataFrame) -> DataFrame:
+    """files (with path) and folder_date, the date of the nearest dated folder. Each distinct folder is parsed once, however many files it holds."""
+    held = files.withColumn("_folder", parent(F.col("path")))
+    folders = held.select("_folder").distinct()
+    return held.join(folders.withColumn("folder_date", folder_date_of(F.concat("_folder", F.lit("/")))), "_folder").drop("_folder")
+
+
 def verify_dates(files: DataFrame, folder: Column | None = None) -> DataFrame:
     """path, exif_date, folder_date, status, days_off of (path, capture_date). A month-only folder matches any of its days.
 
@@ -25,9 +33,9 @@ def verify_dates(files: DataFrame, folder: Column | None = None) -> DataFrame:
         days = F.when(taken.isNull() | there.isNull(), F.lit(None)).when(same, F.lit(0).cast("long")).otherwise(days_between(exif, first))
         return F.struct(exif.alias("exif_date"), there.alias("folder_date"), status.alias("status"), days.alias("days_off"))
 
-    there = folder if folder is not None else folder_date_of(F.col("path"))
-    facts = F.struct(date_triple(F.col("capture_date")).alias("taken"), there.alias("there"))
-    return files.select("path", let(facts, judged).alias("v")).select("path", "v.exif_date", "v.folder_date", "v.status", "v.days_off")
+    dated = files.select("path", "capture_date", folder.alias("folder_date")) if folder is not None else with_folder_dates(files.select("path", "capture_date"))
+    facts = F.struct(date_triple(F.col("capture_date")).alias("taken"), F.col("folder_date").alias("there"))
+    return dated.select("path", let(facts, judged).alias("v")).select("path", "v.exif_date", "v.folder_date", "v.status", "v.days_off")
 
 
 def verify_counts(verified: DataFrame) -> DataFrame:
@@ -66,7 +74,7 @@ def resolve_dates(files: DataFrame, external: DataFrame | None = None) -> DataFr
     """path, capture_date, date_source of (path, embedded_date): the embedded date, the external tool's, the folder's. External rows are asked for the undated only."""
     undated = files.filter("embedded_date is null")
     tool = undated.join(external.select("path", F.col("capture_date").alias("tool_date")), "path", "left") if external is not None else undated.withColumn("tool_date", F.lit(None).cast("string"))
-    late = tool.select("path", F.coalesce("tool_date", folder_date_of(F.col("path"))).alias("capture_date"), F.when(F.col("tool_date").isNotNull(), "tool").when(folder_date_of(F.col("path")).isNotNull(), "folder").alias("date_source"))
+    late = with_folder_dates(tool).select("path", F.coalesce("tool_date", "folder_date").alias("capture_date"), F.when(F.col("tool_date").isNotNull(), "tool").when(F.col("folder_date").isNotNull(), "folder").alias("date_source"))
     return files.filter("embedded_date is not null").select("path", F.col("embedded_date").alias("capture_date"), F.lit("embedded").alias("date_source")).unionByName(late)
 
 

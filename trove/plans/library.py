@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trove.functions.hashes import verdict
 from trove.functions.paths import file_name, is_event_name, parent, parts, rebase, relative_to, split_event
 from trove.functions.templates import destination, event_folder
-from trove.operators.compare import prove_pairs
 from trove.operators.duplicates import confirmed_groups
 from trove.plans.naming import claim_names, in_path_order
+from trove.sources.storage import stored
 
 
 def _named(moves: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -63,30 +64,35 @@ def consolidate_plan(files: DataFrame, folder: str, purgatory: str) -> DataFrame
     return _named(in_path_order(moves), there).select("source", "target", "action", "keeper")
 
 
-def organize_rejects(sources: DataFrame, existing: DataFrame, root: str, template: str) -> DataFrame:
+def _aimed(sources: DataFrame, root: str, template: str) -> DataFrame:
+    """sources with dir and name of where their capture date puts them; the template is filled once a source."""
+    goal = destination(F.col("path"), F.col("capture_date"), F.lit(root), F.lit(template))
+    return sources.withColumn("goal", goal).withColumns({"dir": parent(F.col("goal")), "name": file_name(F.col("path"))})
+
+
+def organize_rejects(sources: DataFrame, existing: DataFrame, root: str, template: str, aimed: DataFrame | None = None) -> DataFrame:
     """(source, existing): sources proven equal to the first file of their short hash in their own target folder.
 
     Only the folders that sources go to are looked at. sources: path, capture_date and content columns.
     """
-    aimed = sources.withColumn("dir", parent(destination(F.col("path"), F.col("capture_date"), F.lit(root), F.lit(template)))).filter("dir is not null")
-    there = existing.withColumn("dir", parent(F.col("path"))).join(aimed.select("dir").distinct(), "dir", "left_semi")
-    first = there.groupBy("dir", "shallow").agg(F.min_by("path", parts(F.col("path"))).alias("existing"))
-    pairs = aimed.join(first, ["dir", "shallow"]).select(F.col("existing").alias("a"), F.col("path").alias("b"))
-    evidence = existing.select("path", "bytes_hash", "payload_hash", "pixel_hash", "video").unionByName(sources.select("path", "bytes_hash", "payload_hash", "pixel_hash", "video"))
-    return prove_pairs(pairs, evidence).filter("verdict = 'same'").select(F.col("b").alias("source"), F.col("a").alias("existing"))
+    content = ("bytes_hash", "payload_hash", "pixel_hash", "video")
+    aimed = (_aimed(sources, root, template) if aimed is None else aimed).filter("dir is not null")
+    there = existing.withColumn("dir", parent(F.col("path")))
+    first = there.groupBy("dir", "shallow").agg(F.min_by(F.struct("path", *content), parts(F.col("path"))).alias("a"))
+    pairs = aimed.select("dir", "shallow", F.struct("path", *content).alias("b")).join(first, ["dir", "shallow"])
+    return pairs.filter(verdict(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")) == "same").select(F.col("b.path").alias("source"), F.col("a.path").alias("existing"))
 
 
 def organize_plan(sources: DataFrame, existing: DataFrame, root: str, template: str) -> DataFrame:
     """source, target, action (move, reject or undated) of every source."""
-    goal = destination(F.col("path"), F.col("capture_date"), F.lit(root), F.lit(template))
-    aimed = sources.select(F.col("path").alias("source"), goal.alias("goal"))
-    rejected = organize_rejects(sources, existing, root, template)
-    moves = aimed.filter("goal is not null").join(rejected, "source", "left_anti").select("source", parent(F.col("goal")).alias("dir"), file_name(F.col("source")).alias("name"))
+    aimed = stored(_aimed(sources, root, template).select("path", "shallow", "bytes_hash", "payload_hash", "pixel_hash", "video", "dir", "name"), "aimed")
+    rejected = stored(organize_rejects(sources, existing, root, template, aimed), "rejected")
+    moves = aimed.filter("dir is not null").select(F.col("path").alias("source"), "dir", "name").join(rejected, "source", "left_anti")
     there = existing.select(parent(F.col("path")).alias("dir"), file_name(F.col("path")).alias("name"))
     there = there.join(moves.select("dir").distinct(), "dir", "left_semi")
     moved = _named(in_path_order(moves, "source"), there).select("source", "target", F.lit("move").alias("action"))
     stay = rejected.select("source", F.col("existing").alias("target"), F.lit("reject").alias("action"))
-    return moved.unionByName(stay).unionByName(aimed.filter("goal is null").select("source", F.lit(None).cast("string").alias("target"), F.lit("undated").alias("action")))
+    return moved.unionByName(stay).unionByName(aimed.filter("dir is null").select(F.col("path").alias("source"), F.lit(None).cast("string").alias("target"), F.lit("undated").alias("action")))
 
 
 def event_plan(files: DataFrame, root: str, event: Column) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trove.functions import dates, hashes, paths, signatures, templates
-from trove.operators import compare, duplicates, layers, similar, verify
+from trove.operators import compare, duplicates, layers, order, similar, verify
 from trove.plans import library, naming
 from trove.sources import catalog
+from trove.sources.storage import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -54,7 +55,7 @@ def doc_catalog(spark: SparkSession, sf: str, trees: list[str] | None = None) ->
         F.col("source").alias("tree"),
         F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
         F.col("n_chars").alias("size"), ok.alias("decoded"), hashes.shallow_hash(F.when(ok, F.col("text")), F.col("text"), 64).alias("shallow"),
-        hashes.bytes_hash(F.col("text")).alias("bytes_hash"), F.md5(payload).alias("payload_hash"),
+        hashes.bytes_hash(F.col("text")).alias("bytes_hash"), payload.alias("payload"), hashes.content_hash(payload).alias("payload_hash"),
         F.when(ok & (F.col("lang") != "fr"), F.md5(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")))).alias("pixel_hash"),
         (F.col("lang") == "de").alias("video"), (F.col("doc_id") % 3 > 0).alias("dated"), (F.col("doc_id") % 1000).alias("pixels"), "doc_id",
     )
@@ -62,7 +63,7 @@ def doc_catalog(spark: SparkSession, sf: str, trees: list[str] | None = None) ->
 
 CAT = """cat as (select source as tree, '/' || source || '/' || lang || '/' || doc_id || '.txt' as path, n_chars as size, n_chars >= 20 as decoded,
     case when n_chars >= 20 then md5(substr(text, 1, 64)) else md5(text) end as shallow, sha256(text) as bytes_hash,
-    case when n_chars >= 20 then md5(regexp_replace(text, '^[^\n]*\n', '')) end as payload_hash,
+    case when n_chars >= 20 then sha256(regexp_replace(text, '^[^\n]*\n', '')) end as payload_hash,
     case when n_chars >= 20 and lang <> 'fr' then md5(lower(regexp_replace(text, '[^A-Za-z]', '', 'g'))) end as pixel_hash,
     lang = 'de' as video, doc_id % 3 > 0 as dated, doc_id % 1000 as pixels, doc_id from documents)"""
 AB = f"{CAT}, a as (select * from cat where tree in ({_IN_A})), b as (select * from cat where tree in ({_IN_B}))"
@@ -81,7 +82,7 @@ query("s3_scan_stats", f"with {CAT} select tree, count(*) as files, count(*) fil
 query("h1_bytes_hash", "select doc_id, sha256(text) as hash from documents")(lambda s, d: table(s, d, "documents").select("doc_id", hashes.bytes_hash(F.col("text")).alias("hash")))
 query("h2_prefix_hash", "select doc_id, md5(substr(text, 1, 64)) as hash from documents")(lambda s, d: table(s, d, "documents").select("doc_id", hashes.prefix_hash(F.col("text"), 64).alias("hash")))
 query("h4_shallow_hash", f"with {CAT} select path, shallow, decoded from cat")(lambda s, d: doc_catalog(s, d).select("path", "shallow", "decoded"))
-query("h5_content_hash", f"with {CAT} select path, payload_hash from cat")(lambda s, d: doc_catalog(s, d).select("path", "payload_hash"))
+query("h5_content_hash", f"with {CAT} select path, payload_hash from cat")(lambda s, d: doc_catalog(s, d).select("path", hashes.content_hash(F.col("payload")).alias("payload_hash")))
 query("h6_pixel_key", f"with {CAT} select path, pixel_hash, pixels from cat")(lambda s, d: doc_catalog(s, d).select("path", "pixel_hash", "pixels"))
 query("h13_strategy_hash", f"with {CAT} select doc_id, sha256(text) as exact, sha256(coalesce(case when n_chars >= 20 then regexp_replace(text, '^[^\n]*\n', '') end, text)) as image_data from documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", hashes.strategy_hash("exact", F.col("text"), F.lit(None)).alias("exact"), hashes.strategy_hash("image_data", F.col("text"), F.when(F.col("n_chars") >= 20, F.regexp_replace("text", "^[^\n]*\n", ""))).alias("image_data"))
@@ -108,7 +109,7 @@ query("j3_anti", f"with {AB} select path from b where decoded and shallow not in
 query("j5_pairs", f"with {PAIRS} select a, b from pairs")(lambda s, d: compare.nominated_pairs(*_ab(s, d)))
 
 
-@query("c5_verdicts", f"with {PAIRS} select a, b, verdict, case verdict when 'unknown' then 'could not be read or decoded: not proven identical' when 'different' then case when film then 'full video payloads differ' else 'decoded pixels differ' end end as reason from pairs")
+@query("c5_verdicts", f"with {PAIRS} select a, b, verdict, case verdict when 'unknown' then 'no proof: one of them has no readable content' when 'different' then case when film then 'not one film: other film data' else 'not one picture: other pixels' end end as reason from pairs")
 def c5_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _ab(spark, sf)
     return compare.prove_pairs(compare.nominated_pairs(a, b), doc_catalog(spark, sf))
@@ -116,7 +117,7 @@ def c5_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 query("c4_deep_scan", f"with {PAIRS} select count(*) as checked, count(*) filter (verdict = 'same') as kept, count(*) filter (verdict <> 'same' and proven) as covered, count(*) filter (not proven) as removed from marked")(lambda s, d: compare.deep_scan_counts(*_ab(s, d)))
 query("c4_confirmed", f"with {PAIRS} select array_to_string(min(string_split(a, '/')), '/') as a, b from pairs where verdict = 'same' group by b")(lambda s, d: compare.confirmed(*_ab(s, d)))
-query("c4_removed", f"with {PAIRS} select a, b, case verdict when 'unknown' then 'could not be read or decoded: not proven identical' else case when film then 'full video payloads differ' else 'decoded pixels differ' end end as reason from marked where not proven")(lambda s, d: compare.removed_pairs(*_ab(s, d)))
+query("c4_removed", f"with {PAIRS} select a, b, case verdict when 'unknown' then 'no proof: one of them has no readable content' else case when film then 'not one film: other film data' else 'not one picture: other pixels' end end as reason from marked where not proven")(lambda s, d: compare.removed_pairs(*_ab(s, d)))
 
 
 def _dated_docs(files: DataFrame) -> DataFrame:
@@ -153,24 +154,24 @@ select path, bytes_hash as key, case when row_number() over (partition by bytes_
 #: (Spark format, DuckDB format, DuckDB expression of the date, of the description)
 _D, _M = "strftime(d, '%Y-%m-%d')", "strftime(d, '%Y-%m')"
 SHAPES = [
-    ("'Hawaii 'yyyy-MM-dd", "Hawaii %Y-%m-%d", _D, "Hawaii"),
-    ("yyyy_MM_dd' Hawaii'", "%Y_%m_%d Hawaii", _D, "Hawaii"),
+    ("'lake 'yyyy-MM-dd", "lake %Y-%m-%d", _D, "lake"),
+    ("yyyy_MM_dd' lake'", "%Y_%m_%d lake", _D, "lake"),
     ("yyyy.MM.dd", "%Y.%m.%d", _D, ""),
-    ("'IMG_'yyyyMMdd", "IMG_%Y%m%d", _D, "IMG"),
-    ("dd-MM-yyyy' party'", "%d-%m-%Y party", f"case when day(d) > 12 or day(d) = month(d) then {_D} end", None),
-    ("MM-dd-yyyy' party'", "%m-%d-%Y party", f"case when day(d) > 12 or day(d) = month(d) then {_D} end", None),
-    ("d MMMM yyyy' - beach'", "%-d %B %Y - beach", _D, "beach"),
-    ("'trip ('MMMM d', 'yyyy') beach'", "trip (%B %-d, %Y) beach", _D, "trip beach"),
+    ("'CAM_'yyyyMMdd", "CAM_%Y%m%d", _D, "CAM"),
+    ("dd-MM-yyyy' regatta'", "%d-%m-%Y regatta", f"case when day(d) > 12 or day(d) = month(d) then {_D} end", None),
+    ("MM-dd-yyyy' regatta'", "%m-%d-%Y regatta", f"case when day(d) > 12 or day(d) = month(d) then {_D} end", None),
+    ("d MMMM yyyy' - shore'", "%-d %B %Y - shore", _D, "shore"),
+    ("'tour ('MMMM d', 'yyyy') shore'", "tour (%B %-d, %Y) shore", _D, "tour shore"),
     ("dd'-'MMM'-'yyyy", "%d-%b-%Y", _D, ""),
-    ("yyyy-MM' trip'", "%Y-%m trip", _M, "trip"),
-    ("MMMM yyyy' trip'", "%B %Y trip", _M, "trip"),
+    ("yyyy-MM' tour'", "%Y-%m tour", _M, "tour"),
+    ("MMMM yyyy' tour'", "%B %Y tour", _M, "tour"),
     ("MMM yyyy' - 'yyyy-MM-dd", "%b %Y - %Y-%m-%d", _D, None),
-    ("'32 'MMMM yyyy", "32 %B %Y", "null", None),
-    ("'IMG'yyyyMMdd", "IMG%Y%m%d", "null", None),
+    ("'47 'MMMM yyyy", "47 %B %Y", "null", None),
+    ("'CAM'yyyyMMdd", "CAM%Y%m%d", "null", None),
     ("yyyy-MM'_'dd", "%Y-%m_%d", "null", None),
     ("yyyy-'13'-dd", "%Y-13-%d", "null", None),
     ("MM-dd' walk'", "%m-%d walk", "null", "walk"),
-    ("'spring 'yyyy", "spring %Y", "null", None),
+    ("'storm 'yyyy", "storm %Y", "null", None),
     ("yyyy-MM-dd'x'", "%Y-%m-%dx", "null", None),
     ("yyyy' 'MM' 'dd", "%Y %m %d", "null", None),
 ]
@@ -194,10 +195,14 @@ NAMES = (
     + "nm as (select *, case k " + " ".join(f"when {k} then strftime(d, '{s[1]}')" for k, s in enumerate(SHAPES)) + f" end as name, {_shape_case(2)} as folder_date from base)"
 )
 query("t1_folder_date", f"with {NAMES} select id, name, folder_date from nm")(lambda s, d: folder_names(s, d).select("id", "name", dates.folder_date(F.col("name")).alias("folder_date")))
-for _i, _shape in [(0, "year_month_day"), (3, "compact"), (4, "day_month_year"), (6, "day_name_year"), (7, "name_day_year")]:
-    query(f"t1_{_shape}", f"with {NAMES} select id, folder_date from nm where k = {_i}")(lambda s, d, i=_i, n=_shape: folder_names(s, d).filter(F.col("k") == i).select("id", dates.folder_date_shape(F.col("name"), n).alias("folder_date")))
-query("t1_year_month", f"with {NAMES} select id, folder_date from nm where k = 9")(lambda s, d: folder_names(s, d).filter("k = 9").select("id", dates.year_month(F.col("name"))["date"].alias("folder_date")))
-query("t1_name_year", f"with {NAMES} select id, folder_date from nm where k = 10")(lambda s, d: folder_names(s, d).filter("k = 10").select("id", dates.name_year(F.col("name"))["date"].alias("folder_date")))
+_FULL = f"case when day(d) > 12 or day(d) = month(d) then {_D} end"
+#: by parser: what it finds in names of each shape; nothing in all others
+FINDS = {
+    "year_month_day": {0: _D, 1: _D, 2: _D, 11: _D}, "compact": {3: _D}, "day_month_year": {4: _FULL, 5: _FULL}, "day_name_year": {6: _D, 8: _D}, "name_day_year": {7: _D}, "year_month": {9: _M}, "name_year": {10: _M, 11: _M},
+}
+for _shape, _finds in FINDS.items():
+    _parser = {"year_month": lambda n: dates.year_month(n)["date"], "name_year": lambda n: dates.name_year(n)["date"]}.get(_shape, lambda n, k=_shape: dates.folder_date_shape(n, k))
+    query(f"t1_{_shape}", f"with {NAMES} select id, case k " + " ".join(f"when {k} then {x}" for k, x in _finds.items()) + " end as folder_date from nm")(lambda s, d, f=_parser: folder_names(s, d).select("id", f(F.col("name")).alias("folder_date")))
 query("t2_calendar", """with p as (select l_orderkey, l_linenumber, 1890 + l_partkey % 220 as y, l_suppkey % 14 as m, l_orderkey % 33 as dd from lineitem)
 select l_orderkey, l_linenumber, case when y between 1900 and 2100 then strftime(try_strptime(printf('%04d-%02d-%02d', y::int, m::int, dd::int), '%Y-%m-%d'), '%Y-%m-%d') end as folder_date from p""")(
     lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", dates.full_date((F.col("l_partkey") % 220 + 1890).cast("int"), (F.col("l_suppkey") % 14).cast("int"), (F.col("l_orderkey") % 33).cast("int")).alias("folder_date"))
@@ -237,10 +242,12 @@ query("t15_resolve_dates", f"""with {NAMES} select id, case when id % 4 = 0 then
     case when id % 4 = 0 then 'embedded' when id % 4 = 1 then 'tool' when folder_date is not null then 'folder' end as date_source from nm""")(
     lambda s, d: (lambda n: verify.resolve_dates(n.select("path", F.when(F.col("id") % 4 == 0, "2011-01-01").alias("embedded_date")), n.filter("id % 4 < 2").select("path", F.lit("2012-02-02").alias("capture_date"))).join(n.select("path", "id"), "path").select("id", "capture_date", "date_source"))(folder_names(s, d))
 )
-_DESC = "case k " + " ".join(f"when {k} then '{s[3]}'" for k, s in enumerate(SHAPES) if s[3] is not None) + " end"
-_DESC_K = ", ".join(str(k) for k, s in enumerate(SHAPES) if s[3] is not None)
-query("p4_description", f"with {NAMES} select id, {_DESC} as description from nm where k in ({_DESC_K})")(lambda s, d: folder_names(s, d).filter(F.col("k").isin([k for k, x in enumerate(SHAPES) if x[3] is not None])).select("id", templates.description(F.col("name")).alias("description")))
-query("p5_event", f"with {NAMES} select id, case k when 6 then 'beach' when 9 then 'trip' when 10 then 'trip' when 16 then 'walk' when 19 then '' end as event from nm where k in (6, 9, 10, 16, 19)")(lambda s, d: folder_names(s, d).filter("k in (6, 9, 10, 16, 19)").select("id", templates.event_of(F.col("name")).alias("event")))
+_DESC = "case when k in (4, 5) and (day(d) > 12 or day(d) = month(d)) then 'regatta' when k = 11 then strftime(d, '%b %Y') " + " ".join(f"when k = {k} then '{s[3]}'" for k, s in enumerate(SHAPES) if s[3] is not None) + " else name end"
+query("p4_description", f"with {NAMES} select id, {_DESC} as description from nm")(lambda s, d: folder_names(s, d).select("id", templates.description(F.col("name")).alias("description")))
+_MONTH_WORDS = ", ".join(f"'{m}'" for m in [*dates.MONTHS, *(m[:3] for m in dates.MONTHS)])
+query("p5_event", f"""with {NAMES}, w as (select id, list_filter(string_split_regex(name, '[ _-]'), lambda x: x <> '') as ws from nm),
+v as (select id, ws, list_position(list_transform(ws, lambda x: not (regexp_full_match(x, '[0-9]*') or lower(x) in ({_MONTH_WORDS}))), true) as k from w)
+select id, case when k is null or k = 0 then '' else array_to_string(ws[k:], '-') end as event from v""")(lambda s, d: folder_names(s, d).select("id", templates.event_of(F.col("name")).alias("event")))
 query("p6_event_name", f"with {NAMES} select id, k in (4, 5, 8, 16) and regexp_matches(name, '^[0-9][0-9]-[0-9][0-9]') as is_event from nm")(lambda s, d: folder_names(s, d).select("id", paths.is_event_name(F.col("name")).alias("is_event")))
 query("p2_template", "select o_orderkey as id, strftime(o_orderdate, '%Y/%m-%d') || case when o_orderkey % 2 = 0 then ' MM walk' else '' end as folder from orders")(
     lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("id"), templates.render(F.lit(TEMPLATE), F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate"), F.when(F.col("o_orderkey") % 2 == 0, "MM walk").otherwise("")).alias("folder"))
@@ -256,9 +263,15 @@ query("p7_event_path", "select o_orderkey as id, case o_orderkey % 3 when 0 then
 )
 query("p9_names", "select page_id, coalesce(nullif(string_split(url, '/')[-1], ''), 'file') as name, strlen(string_split(url, '/')[-1])::int as bytes from pages")(lambda s, d: table(s, d, "pages").select("page_id", paths.file_name(F.col("url")).alias("name"), paths.name_length(F.col("url")).alias("bytes")))
 query("p10_purgatory", "select page_id, case when url like 'http://%' then '/purg' || substr(url, 6) else '/purg/' || coalesce(nullif(string_split(url, '/')[-1], ''), 'file') end as target from pages")(lambda s, d: table(s, d, "pages").select("page_id", paths.rebase(F.col("url"), F.lit("http:"), F.lit("/purg")).alias("target")))
-query("s2_supported", "select page_id, regexp_extract(lower(url), '[^/]\\.([^./]+)$', 1) in ('html') as html, regexp_extract(lower(url), '[^/]\\.([^./]+)$', 1) as ext from pages")(lambda s, d: table(s, d, "pages").select("page_id", (paths.extension(F.col("url")) == "html").alias("html"), paths.extension(F.col("url")).alias("ext")))
+_EXTS = ["JPG", "cr2", "tiff", "txt", "mov", "M2TS", "heic", "qoi", "json", "avif", "mp3", "x3f"]
+query("s2_supported", f"select p_partkey, (list_value({', '.join(repr(x) for x in _EXTS)}))[p_partkey % {len(_EXTS)} + 1] not in ('txt', 'json', 'mp3') and p_size <> 7 as supported, case when p_size = 7 then '' else lower((list_value({', '.join(repr(x) for x in _EXTS)}))[p_partkey % {len(_EXTS)} + 1]) end as ext from part")(
+    lambda s, d: table(s, d, "part").withColumn("path", F.concat(F.lit("a.b/c"), F.when(F.col("p_size") == 7, "").otherwise("."), F.element_at(F.array(*map(F.lit, _EXTS)), (F.col("p_partkey") % len(_EXTS) + 1).cast("int")))).select("p_partkey", paths.is_supported(F.col("path")).alias("supported"), paths.extension(F.col("path")).alias("ext"))
+)
 query("h11_lossy_family", "select p_partkey, case p_partkey % 5 when 0 then 0 when 1 then 0 when 2 then 1 when 3 then 1 end::int as family from part")(lambda s, d: table(s, d, "part").select("p_partkey", paths.lossy_family(F.concat(F.lit("a/b."), F.element_at(F.array(*map(F.lit, ["jpg", "JPEG", "heic", "avif", "png"])), (F.col("p_partkey") % 5 + 1).cast("int")))).alias("family")))
-query("l1_path_order", "select url, row_number() over (order by string_split(url, '/'), page_id) as place from pages order by string_split(url, '/'), page_id limit 200")(lambda s, d: table(s, d, "pages").orderBy(paths.parts(F.col("url")), "page_id").limit(200).select("url", F.row_number().over(_window(paths.parts(F.col("url")), F.col("page_id"))).alias("place")))
+query("l1_path_order", "select page_id, url, row_number() over (order by string_split(url, '/'), page_id) as place from pages")(lambda s, d: order.numbered(table(s, d, "pages").select("page_id", "url"), paths.parts(F.col("url")), F.col("page_id")).select("page_id", "url", "place"))
+query("l4_top300", f"with {CAT} select path, size, greatest(count(*) over () - 300, 0) as more from cat order by size desc, string_split(path, '/') limit 300")(lambda s, d: verify.top_rows(doc_catalog(s, d).select("path", "size"), [F.desc("size"), paths.parts(F.col("path"))], 300))
+query("l6_group_order", f"""with {CAT}, g as (select *, min(string_split(path, '/')) over (partition by shallow) as first from cat)
+select shallow, path, dense_rank() over (order by first) as group_place, row_number() over (partition by shallow order by string_split(path, '/')) as member_place from g""")(lambda s, d: order.group_order(doc_catalog(s, d).select("shallow", "path"), "shallow", paths.parts(F.col("path"))).select("shallow", "path", "group_place", "member_place"))
 query("l3_top20", f"with {CAT} select path, size, greatest(count(*) over () - 20, 0) as more from cat order by size desc, string_split(path, '/') limit 20")(lambda s, d: verify.top_rows(doc_catalog(s, d).select("path", "size"), [F.desc("size"), paths.parts(F.col("path"))]))
 query("l5_page", f"with {CAT} select path, size from cat order by size desc, string_split(path, '/') limit 100 offset 200")(lambda s, d: verify.page_of(doc_catalog(s, d).select("path", "size"), [F.desc("size"), paths.parts(F.col("path"))], 2))
 query("s5_event_files", "select o_orderkey as id, year(o_orderdate)::varchar as year, strftime(o_orderdate, '%m-%d') as event, 'f' || o_orderkey || '.jpg' as file from orders where o_orderkey % 3 > 0")(
@@ -269,12 +282,6 @@ query("s8_pasted_pairs", "select conv_id, turn, role || '!' as a, conv_id::varch
 )
 
 
-def _window(*order: Column):  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.orderBy(*order)
-
-
 # --- verify -------------------------------------------------------------------------------------------------------
 
 
@@ -316,12 +323,18 @@ query("f2_chroma_gate", """with c as (select l_orderkey, l_linenumber, case when
 select l_orderkey, l_linenumber, coalesce(not ((least(a, b) <= 6 and greatest(a, b) >= 10) or (greatest(a, b) - least(a, b) >= 35 and greatest(a, b) >= least(2 * least(a, b), 255))), true) or a is null as passes from c""")(lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 7 == 0, True).otherwise(signatures.chroma_compatible(F.col("l_partkey") % 256, F.col("l_suppkey") % 256)).alias("passes")))
 
 
-def signature_catalog(spark: SparkSession, sf: str, trees: list[str] | None = None) -> DataFrame:
+def signature_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """The documents' catalog with kind (language), phash (SimHash of words), dhash (of words reversed), chroma."""
     d = table(spark, sf, "documents").select("doc_id", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("words"), F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).when(F.col("lang") == "de", 2).alias("kind"))
     hashed = signatures.simhashes(d, "doc_id", {"phash": F.col("words"), "dhash": F.transform("words", F.reverse)})
     s = d.select("doc_id", "kind").join(hashed, "doc_id", "left").select("doc_id", "kind", F.coalesce("phash", F.lit(0)).alias("phash"), F.coalesce("dhash", F.lit(0)).alias("dhash"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 4).cast("int").alias("chroma"))
-    return doc_catalog(spark, sf, trees).join(s, "doc_id")
+    items = doc_catalog(spark, sf).join(s, "doc_id")
+    return stored(items, "signatures")  # the signature layer: computed once, then used
+
+
+def signature_trees(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    items = signature_catalog(spark, sf)
+    return items.filter(F.col("tree").isin(A_TREES)), items.filter(F.col("tree").isin(B_TREES))
 
 
 #: the same in SQL: sums of signed bits over words
@@ -361,21 +374,21 @@ select keeper, path, bit_count(xor(kp, phash))::bigint as distance, size, pixels
 _BEST = f"""{SIG}, a as (select * from sc where tree in ({_IN_A}) and kind is not null), b as (select * from sc where tree in ({_IN_B}) and kind is not null),
 fa as (select shallow, arg_min(path, string_split(path, '/')) as keeper, arg_min(payload_hash, string_split(path, '/')) as ph from a where decoded group by shallow),
 ex as (select keeper, path from b join fa using (shallow) where decoded and payload_hash = ph)"""
-query("j8_exact_between", f"with {_BEST} select keeper, path from ex")(lambda s, d: similar.exact_between(signature_catalog(s, d, A_TREES), signature_catalog(s, d, B_TREES)))
+query("j8_exact_between", f"with {_BEST} select keeper, path from ex")(lambda s, d: similar.exact_between(*signature_trees(s, d)))
 query("c8_best_match", f"""with {_BEST}, c as (select x.path as a, y.path as b, bit_count(xor(x.phash, y.phash))::bigint as distance, x.pixels as a_pixels, y.pixels as b_pixels, x.size as a_bytes, y.size as b_bytes,
     row_number() over (partition by y.path order by bit_count(xor(x.phash, y.phash)), x.pixels desc, string_split(x.path, '/')) as r from a x join b y on {_SIM} where y.path not in (select path from ex)),
 k as (select *, a_bytes > b_bytes or (a_bytes = b_bytes and a_pixels >= b_pixels) as a_is_better from c where r = 1)
-select a, b, distance, a_pixels, b_pixels, a_bytes, b_bytes, a_is_better, not a_is_better as b_is_better, a_is_better as removable from k""")(lambda s, d: similar.best_matches(signature_catalog(s, d, A_TREES), signature_catalog(s, d, B_TREES)))
+select a, b, distance, a_pixels, b_pixels, a_bytes, b_bytes, a_is_better, not a_is_better as b_is_better, a_is_better as removable from k""")(lambda s, d: similar.best_matches(*signature_trees(s, d)))
 query("f6_distance", f"with {SIG} select x.path as a, y.path as b from sc x join sc y on {_SIM} where string_split(x.path, '/') < string_split(y.path, '/') and bit_count(xor(x.phash, y.phash)) <= 2")(lambda s, d: verify.within_distance(similar.similar_pairs(signature_catalog(s, d)), 2).select("a", "b"))
 
 # --- names and plans ----------------------------------------------------------------------------------------------
 
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select(F.concat(F.lit("/d"), (F.col("p_partkey") % 50).cast("string")).alias("dir"), F.col("p_partkey").alias("seq"), F.concat(F.when(F.col("p_partkey") % 2 == 0, "IMG_").otherwise("img_"), (F.col("p_size") % 5).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(".jpg")).alias("name"))
+    return table(spark, sf, "part").select(F.concat(F.lit("/d"), (F.col("p_partkey") % 50).cast("string")).alias("dir"), F.col("p_partkey").alias("seq"), F.concat(F.when(F.col("p_partkey") % 2 == 0, "CAM_").otherwise("img_"), (F.col("p_size") % 5).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(".jpg")).alias("name"))
 
 
-_CLAIMS = "c as (select '/d' || p_partkey % 50 as dir, p_partkey as seq, case when p_partkey % 2 = 0 then 'IMG_' else 'img_' end || p_size % 5 || case when p_partkey % 3 = 0 then '' else '.jpg' end as name from part)"
+_CLAIMS = "c as (select '/d' || p_partkey % 50 as dir, p_partkey as seq, case when p_partkey % 2 = 0 then 'CAM_' else 'img_' end || p_size % 5 || case when p_partkey % 3 = 0 then '' else '.jpg' end as name from part)"
 _NUMBERED = f"""with {_CLAIMS}, r as (select *, row_number() over (partition by dir, lower(name) order by seq) - 1 as n from c)
 select dir, seq, name, case when n = 0 then name when contains(name, '.') then replace(name, '.jpg', ' (' || n || ').jpg') else name || ' (' || n || ')' end as given from r"""
 query("p8_names_simple", _NUMBERED)(lambda s, d: naming.numbered_names(claims(s, d)))
@@ -386,12 +399,12 @@ def library_files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as files of two libraries in year/event folders."""
     c = doc_catalog(spark, sf)
     lib = F.when(F.col("tree").isin(A_TREES), "/lib-a").otherwise("/lib-b")
-    event = F.concat(F.format_string("%02d-%02d", F.col("doc_id") % 12 + 1, F.col("doc_id") % 4 + 1), F.when(F.floor(F.col("doc_id") / 7) % 3 == 0, "").when(F.floor(F.col("doc_id") / 7) % 3 == 1, " Hawaii").otherwise(" Party"))
+    event = F.concat(F.format_string("%02d-%02d", F.col("doc_id") % 12 + 1, F.col("doc_id") % 4 + 1), F.when(F.floor(F.col("doc_id") / 7) % 3 == 0, "").when(F.floor(F.col("doc_id") / 7) % 3 == 1, " lake").otherwise(" Party"))
     rel = F.concat(F.lit("2004/"), event, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return c.withColumns({"rel": rel, "path": F.concat(lib, F.lit("/"), rel), "tree": lib})
 
 
-_LIB = f"""{CAT.replace("'/' || source || '/' || lang || '/' || doc_id || '.txt' as path", "case when source in (" + _IN_A + ") then '/lib-a' else '/lib-b' end || '/2004/' || printf('%02d-%02d', (doc_id % 12 + 1)::int, (doc_id % 4 + 1)::int) || case (doc_id // 7) % 3 when 0 then '' when 1 then ' Hawaii' else ' Party' end || '/' || doc_id || '.txt' as path")}"""
+_LIB = f"""{CAT.replace("'/' || source || '/' || lang || '/' || doc_id || '.txt' as path", "case when source in (" + _IN_A + ") then '/lib-a' else '/lib-b' end || '/2004/' || printf('%02d-%02d', (doc_id % 12 + 1)::int, (doc_id % 4 + 1)::int) || case (doc_id // 7) % 3 when 0 then '' when 1 then ' lake' else ' Party' end || '/' || doc_id || '.txt' as path")}"""
 _LIBGROUPS = _GROUPS.replace(CAT, _LIB)
 _CANON = "cn as (select substr(event, 1, 5) as mmdd, arg_min(event, (-strlen(event), event)) as folder from (select string_split(path, '/')[4] as event from cat) group by 1)"
 query("p12_canonical", f"with {_LIB}, {_CANON} select '2004' as year, mmdd, folder from cn")(lambda s, d: library.canonical_folders(catalog.event_files(library_files(s, d))))
@@ -407,7 +420,7 @@ from f join n using (mmdd) where folders > 1 and (path <> keeper or event <> fol
 def organized(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """b's documents as sources with a capture date, a's as files in the dated folders that the template gives."""
     day = F.format_string("2005-01-%02d", F.col("doc_id") % 3 + 1)
-    c = doc_catalog(spark, sf)
+    c = stored(doc_catalog(spark, sf), "catalog")
     a = c.filter(F.col("tree").isin(A_TREES)).withColumn("path", F.concat(F.lit("/all/2005/01-"), F.format_string("%02d", F.col("doc_id") % 3 + 1), F.lit(" en/"), F.col("doc_id").cast("string"), F.lit(".txt")))
     return c.filter(F.col("tree").isin(B_TREES)).withColumn("capture_date", F.when(F.col("doc_id") % 7 > 0, day)), a
 
@@ -419,7 +432,7 @@ rj as (select bx.path as source, f.path as existing from bx join fx f on bx.dir
 query("j9_organize_reject", f"with {_ORG} select source, existing from rj")(lambda s, d: library.organize_rejects(*organized(s, d), "/all", TEMPLATE))
 query("c14_organize_plan", f"""with {_ORG} select path as source, case when dir is null then null when path in (select source from rj) then (select existing from rj where source = path) else dir || '/' || doc_id || '.txt' end as target,
     case when dir is null then 'undated' when path in (select source from rj) then 'reject' else 'move' end as action from bx""")(lambda s, d: library.organize_plan(*organized(s, d), "/all", TEMPLATE))
-query("c15_event_plan", f"with {NAMES} select '/lib/' || name || '/raw/f' || id || '.jpg' as source, case when id % 3 = 0 then '/all/unknown' else '/all/' || strftime(d, '%Y/%m-%d') || '-hawaii-trip' end || '/f' || id || '.jpg' as target from nm")(lambda s, d: library.event_plan(folder_names(s, d).select("path", F.when(F.col("id") % 3 > 0, F.date_format("d", "yyyy-MM-dd")).alias("capture_date")), "/all", templates.event_of(F.lit("2001-02 hawaii trip"))))
+query("c15_event_plan", f"with {NAMES} select '/lib/' || name || '/raw/f' || id || '.jpg' as source, case when id % 3 = 0 then '/all/unknown' else '/all/' || strftime(d, '%Y/%m-%d') || '-lake-tour' end || '/f' || id || '.jpg' as target from nm")(lambda s, d: library.event_plan(folder_names(s, d).select("path", F.when(F.col("id") % 3 > 0, F.date_format("d", "yyyy-MM-dd")).alias("capture_date")), "/all", templates.event_of(F.lit("2001-02 lake tour"))))
 query("c16_transfer_plan", f"with {NAMES} select '/lib/' || name || '/raw/f' || id || '.jpg' as source, {_P1} as target from nm where id % 3 > 0")(lambda s, d: library.transfer_plan(folder_names(s, d).select("path", F.when(F.col("id") % 3 > 0, F.date_format("d", "yyyy-MM-dd")).alias("capture_date")), "/all", TEMPLATE))
 query("c17_flat_plan", f"with {CAT}, r as (select path, doc_id from cat) select path as source, '/flat/' || doc_id || '.txt' as target from r")(lambda s, d: library.flat_plan(doc_catalog(s, d), "/flat"))
 query("c11_relocate_plan", f"with {CAT} select path as source, '/new/' || doc_id || '.txt' as target from cat where path like '/src1/en/%' union all select path, '/new/' || doc_id || '.txt' from cat where path not like '/src1/en/%'")(lambda s, d: library.relocate_plan(doc_catalog(s, d), "/src1/en", "/new"))
@@ -428,7 +441,7 @@ _KEEPBEST = f"""{_BEST}, c as (select x.path as a, y.path as b, y.doc_id as b_do
     from a x join b y on {_SIM} where y.path not in (select path from ex)), k as (select * from c where r = 1)"""
 query("c21_swap_plan", f"""with {_KEEPBEST}, z as (select * from k where not (a_bytes > b_bytes or (a_bytes = b_bytes and ap >= bp)))
 select 1 as step, a as source, '/purg' || substr(a, 2) as target from (select a, b from z) where false union all select 1, a, '/purg/' || string_split(a, '/')[-1] from z
-union all select 2, b, array_to_string(string_split(a, '/')[:-2], '/') || '/' || string_split(b, '/')[-1] from z""")(lambda s, d: library.swap_plan(similar.best_matches(signature_catalog(s, d, A_TREES), signature_catalog(s, d, B_TREES)), "/a", "/purg"))
+union all select 2, b, array_to_string(string_split(a, '/')[:-2], '/') || '/' || string_split(b, '/')[-1] from z""")(lambda s, d: library.swap_plan(similar.best_matches(*signature_trees(s, d)), "/a", "/purg"))
 
 
 @query("c22_decisions", f"""with {_KEEPBEST}, z as (select *, case b_doc % 3 when 0 then 'keep_both' when 1 then 'purgatory_both' else 'take_bigger' end as decision from k)
@@ -438,7 +451,7 @@ union all select a, b, decision, 2, b, '/purg/' || string_split(b, '/')[-1] from
 union all select a, b, decision, 2, b, array_to_string(string_split(a, '/')[:-2], '/') || '/' || string_split(b, '/')[-1] from z where decision = 'take_bigger' and b_bytes > a_bytes
 union all select a, b, decision, 1, b, '/purg/' || string_split(b, '/')[-1] from z where decision = 'take_bigger' and b_bytes <= a_bytes""")
 def c22_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    m = similar.best_matches(signature_catalog(spark, sf, A_TREES), signature_catalog(spark, sf, B_TREES))
+    m = similar.best_matches(*signature_trees(spark, sf))
     doc = F.regexp_extract("b", "([0-9]+)[.]txt$", 1).cast("long")
     rows = m.select("a", "b", F.element_at(F.array(F.lit("keep_both"), F.lit("purgatory_both"), F.lit("take_bigger")), (doc % 3 + 1).cast("int")).alias("decision"), F.col("a_bytes").alias("a_size"), F.col("b_bytes").alias("b_size"), F.when(doc % 2 == 0, "2020-05-06").alias("b_date"))
     return library.decision_plan(rows, "/lib", "/lib-b", "/purg", TEMPLATE)
@@ -483,5 +496,8 @@ def j13_cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
 query("a12_reuse", f"with {CAT}, {_store_sql('t')}, {_store_sql('s', 1)} select count(case when t.size = s.size then t.phash end) as reused, count(*) - count(case when t.size = s.size then t.phash end) as computed from s left join t on t.volume = s.volume and t.rel_path = s.rel_path")(lambda s, d: layers.reuse_counts(layers.lookup(layer_store(s, d, 1).select("volume", "rel_path", "size", "modified"), layer_store(s, d)), "phash"))
 query("k7_invalidate", f"with {CAT}, {_store_sql('t')} select volume, rel_path from t where not (volume = 'src1' and rel_path like 'en/%')")(lambda s, d: layers.invalidate(layer_store(s, d), "src1", "en").select("volume", "rel_path"))
 query("k8_rekey", f"with {CAT}, {_store_sql('t')} select case when volume = 'src1' and rel_path like 'en/%' then 'uuid-1' else volume end as volume, case when volume = 'src1' and rel_path like 'en/%' then substr(rel_path, 4) else rel_path end as rel_path from t")(lambda s, d: layers.rekey(layer_store(s, d), {"src1/en": "uuid-1"}).select("volume", "rel_path"))
-query("p14_json", f"with {CAT} select path, '{{\"path\":\"' || path || '\",\"size\":' || size || '}}' as json from cat")(lambda s, d: doc_catalog(s, d).select("path", F.to_json(F.struct("path", "size")).alias("json")))
-query("p15_sizes", "select doc_id, case when n_chars < 1024 then n_chars || ' B' else printf('%.1f KB', round(n_chars / 1024.0, 1)) end as size_text from documents where n_chars < 1000000")(lambda s, d: table(s, d, "documents").filter("n_chars < 1000000").select("doc_id", paths.bytes_text(F.col("n_chars")).alias("size_text")))
+query("p14_json", f"with {CAT} select path, '{{\"path\":\"' || path || '\",\"size\":' || size || '}}' as json from cat")(lambda s, d: doc_catalog(s, d).select("path", paths.json_row("path", "size").alias("json")))
+query("p15_sizes", """select doc_id, case when n < 1024 then n || ' B' when n < 1048576 then printf('%.1f KB', round(n / 1024.0, 1)) else printf('%.1f MB', round(n / 1048576.0, 1)) end as size_text,
+    case when n_chars = 0 then '' else case when round((n - n_chars) * 100.0 / n_chars) > 0 then '+' else '' end || round((n - n_chars) * 100.0 / n_chars)::bigint || '%' end as delta from (select *, n_chars * (1 + doc_id % 700) as n from documents)""")(
+    lambda s, d: table(s, d, "documents").withColumn("n", F.col("n_chars") * (F.col("doc_id") % 700 + 1)).select("doc_id", paths.bytes_text(F.col("n")).alias("size_text"), paths.size_delta_text(F.col("n_chars"), F.col("n")).alias("delta"))
+)
