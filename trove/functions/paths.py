@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,14 +93,34 @@ def event_purgatory(folder: str) -> str:
     return f"{head or '.'}/{name or 'photos'}-purgatory"
 
 
-def require_disjoint(a: str, b: str) -> None:
-    """Refuse trees that are equal or nested."""
-    x, y = a.rstrip("/").split("/"), b.rstrip("/").split("/")
+def resolved(path: str) -> str:
+    """A local path without links and dots; missing ends stay as they are written."""
+    return os.path.realpath(os.path.expanduser(path))
+
+
+def require_dir(path: str) -> str:
+    """The resolved path of a local folder; refuses anything else."""
+    found = resolved(path)
+    if not os.path.isdir(found):
+        raise ValueError(f"{path} is no folder")
+    return found
+
+
+def require_disjoint(a: str, b: str, resolve: bool = True) -> None:
+    """Refuse trees that are equal or nested, links followed unless resolve is off (for folders that are not local)."""
+    x, y = (resolved(p) if resolve else p for p in (a, b))
+    x, y = (p.rstrip("/").split("/") for p in (x, y))
     n = min(len(x), len(y))
     if x[:n] == y[:n]:
         raise ValueError(f"{a} and {b} are the same tree or one holds the other")
 
 
+def short_path(path: Column, keep: int = 2) -> Column:
+    """The last components of a path, with dots for what is left out."""
+    p = parts(path)
+    return F.when(F.size(p) <= keep, path).otherwise(F.concat(F.lit(".../"), F.array_join(F.slice(p, -keep, keep), "/")))
+
+
 def json_row(*columns: str) -> Column:
     """A result row as JSON text, in the order of its columns."""
     return F.to_json(F.struct(*columns))

@@ -1,7 +1,9 @@
 """Carrying out plans on a file system that all executors share: verified copies, never an overwrite.
 
 A move copies to a temporary name, compares length and hash, links the copy to its name only if that is free, and removes
-the source last. Doing a finished move again changes nothing, so tasks may be run twice.
+the source last. Each source's size and time are noted before anything moves: a missing source counts as moved only if
+its target has them, so a task may be run twice, and a file that is gone is reported. The outcome is a stored table, so
+reading it moves nothing again.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trove.sources.decoders import payload
+from trove.sources.storage import stored
 
 _BLOCK = 64 * 1024
 
@@ -45,10 +49,23 @@ def verified_copy(source: str, target: str) -> None:
             os.remove(part)
 
 
-def transfer(source: str, target: str, move: bool = True) -> None:
-    """Move or copy to an exact path."""
-    if not os.path.lexists(source) and move and os.path.exists(target):
-        return  # done before
+def stamp(path: str) -> str | None:
+    """Size and time of a file, which a move keeps; None where there is none."""
+    try:
+        found = os.stat(path)
+    except OSError:
+        return None
+    return f"{found.st_size}:{found.st_mtime_ns}"
+
+
+def transfer(source: str, target: str, move: bool = True, noted: str | None = None) -> None:
+    """Move or copy to an exact path. noted: the source's stamp before the plan was begun."""
+    if not os.path.lexists(source):
+        if move and noted is not None and stamp(target) == noted:
+            return  # done before
+        raise FileNotFoundError(f"{source} is gone")
+    if not move and noted is not None and stamp(target) == noted and digest(target) == digest(source):
+        return  # copied before
     if move and not os.path.lexists(target):
         os.makedirs(os.path.dirname(target), exist_ok=True)
         try:
@@ -110,25 +127,35 @@ def _carry_out(one) -> object:  # noqa: ANN001
 _OUTCOME = "source string, target string, moved boolean, error string"
 
 
+def _noted(plan: DataFrame) -> DataFrame:
+    """The plan with each source's stamp, stored before anything moves."""
+
+    @F.pandas_udf("string")
+    def look(source: pd.Series) -> pd.Series:
+        return source.map(stamp)
+
+    return stored(plan.withColumn("noted", look("source")), "plan")
+
+
 def run_plan(plan: DataFrame, move: bool = True) -> DataFrame:
-    """source, target, moved, error of each row of a plan. Lazy: write or collect the outcome to carry it out."""
+    """source, target, moved, error of each row of a plan, which is carried out at once."""
 
     def one(r) -> str | None:  # noqa: ANN001
         if r.target is None:
             return "no target"
-        transfer(r.source, r.target, move)
+        transfer(r.source, r.target, move, r.noted)
         return None
 
-    return plan.select("source", "target").mapInPandas(_carry_out(one), _OUTCOME)
+    return stored(_noted(plan.select("source", "target")).mapInPandas(_carry_out(one), _OUTCOME), "outcome")
 
 
 def purge_proven(plan: DataFrame) -> DataFrame:
     """The same for (source, target, keeper): each source is proven equal to its keeper again before it moves."""
 
     def one(r) -> str | None:  # noqa: ANN001
-        why = prove_duplicate(r.source, r.keeper)
+        why = prove_duplicate(r.source, r.keeper) if os.path.lexists(r.source) else None
         if why is None:
-            transfer(r.source, r.target)
+            transfer(r.source, r.target, noted=r.noted)
         return why
 
-    return plan.select("source", "target", "keeper").mapInPandas(_carry_out(one), _OUTCOME)
+    return stored(_noted(plan.select("source", "target", "keeper")).mapInPandas(_carry_out(one), _OUTCOME), "outcome")

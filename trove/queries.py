@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from trove.functions import dates, hashes, paths, signatures, templates
 from trove.operators import compare, duplicates, layers, order, similar, verify
 from trove.plans import library, naming
-from trove.sources import catalog
+from trove.sources import catalog, decoders, pixels
+from trove.sources import stamps as embedded
 from trove.sources.storage import stored
 
 QUERIES: dict = {}
@@ -501,3 +502,132 @@ query("p15_sizes", """select doc_id, case when n < 1024 then n || ' B' when n <
     case when n_chars = 0 then '' else case when round((n - n_chars) * 100.0 / n_chars) > 0 then '+' else '' end || round((n - n_chars) * 100.0 / n_chars)::bigint || '%' end as delta from (select *, n_chars * (1 + doc_id % 700) as n from documents)""")(
     lambda s, d: table(s, d, "documents").withColumn("n", F.col("n_chars") * (F.col("doc_id") % 700 + 1)).select("doc_id", paths.bytes_text(F.col("n")).alias("size_text"), paths.size_delta_text(F.col("n_chars"), F.col("n")).alias("delta"))
 )
+
+
+# --- bytes of files -----------------------------------------------------------------------------------------------
+
+
+def _hex(text: str) -> Column:
+    return F.unhex(F.lit(text))
+
+
+def _number(value: Column, size: int) -> Column:
+    """A whole number as `size` bytes, the highest first."""
+    return F.unhex(F.lpad(F.hex(value), 2 * size, "0"))
+
+
+def _box(kind: str, *body: Column) -> Column:
+    """An ISO-BMFF box."""
+    inner = F.concat(*body)
+    return F.concat(_number(F.octet_length(inner) + 8, 4), F.encode(F.lit(kind), "utf-8"), inner)
+
+
+def _segment(kind: str, *body: Column) -> Column:
+    """A JPEG segment."""
+    inner = F.concat(*body)
+    return F.concat(_hex("FF" + kind), _number(F.octet_length(inner) + 2, 2), inner)
+
+
+def _exif(date: Column) -> Column:
+    """A TIFF structure (high byte first) whose EXIF directory holds the original's date."""
+    return F.concat(_hex("4D4D002A00000008" + "0001" + "876900040000000100000" + "01A" + "00000000" + "0001" + "9003000200000014" + "0000002C" + "00000000"), F.encode(date, "utf-8"), _hex("00"))
+
+
+def _chunk(kind: str, body: Column) -> Column:
+    """A PNG chunk; its check sum is right."""
+    named = F.concat(F.encode(F.lit(kind), "utf-8"), body)
+    return F.concat(_number(F.octet_length(body), 4), named, _number(F.crc32(named), 4))
+
+
+def _stored_zlib(data: Column) -> Column:
+    """Bytes as a zlib stream of one stored block, without its check sum."""
+    n = F.octet_length(data)
+    low = lambda x: F.concat(_number(x % 256, 1), _number(F.floor(x / 256), 1))
+    return F.concat(_hex("780101"), low(n), low(F.lit(65535) - n), data)
+
+
+MEDIA_KINDS = ["jpg", "png", "mp4", "avi", "m2ts", "tif", "txt"]
+
+
+def media_files(spark: SparkSession, sf: str) -> DataFrame:
+    """id, day, k, ext, body, content: orders as media files of MEDIA_KINDS with their date inside, or without one (k = 6)."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("day"), (F.col("o_orderkey") % 7).cast("int").alias("k"))
+    body = F.encode(F.concat(F.lit("body"), (F.col("id") % 100).cast("string")), "utf-8")
+    o = o.withColumn("body", body).withColumn("stamp", F.date_format("day", "yyyy:MM:dd 10:11:12"))
+    exif = _exif(F.col("stamp"))
+    jpeg = F.concat(_hex("FFD8"), _segment("E1", F.encode(F.lit("Exif"), "utf-8"), _hex("0000"), exif), _segment("DB", _hex("0102")), _hex("FFDA"), F.col("body"), _hex("FFD9"))
+    png = F.concat(_hex("89504E470D0A1A0A"), _chunk("eXIf", exif), _chunk("IDAT", F.col("body")), _chunk("IEND", _hex("")))
+    seconds = F.unix_seconds(F.to_timestamp(F.col("stamp"), "yyyy:MM:dd HH:mm:ss")) + 2082844800
+    film = F.concat(_box("ftyp", F.encode(F.lit("isom"), "utf-8")), _box("moov", _box("mvhd", _hex("00000000"), _number(seconds, 4), _hex("00" * 12))), _box("mdat", F.col("body")))
+    movi = F.concat(F.encode(F.lit("movi"), "utf-8"), F.col("body"))
+    size = F.octet_length(movi)
+    avi = F.concat(F.encode(F.lit("RIFF"), "utf-8"), _hex("00000000"), F.encode(F.lit("AVI LIST"), "utf-8"), _number(size, 1), _hex("000000"), movi, _hex("00"))
+    packet = F.concat(_number(F.col("id"), 4), _hex("47"), F.unhex(F.rpad(F.hex("body"), 374, "0")))
+    xmp = F.encode(F.concat(F.lit('<x:xmpmeta exif:DateTimeOriginal="'), F.date_format("day", "yyyy-MM-dd'T10:11:12'"), F.lit('"></x:xmpmeta>')), "utf-8")
+    tiff = F.concat(_hex("4D4D002A00000008" + "0001" + "02BC0007"), _number(F.octet_length(xmp), 4), _hex("0000001A" + "00000000"), xmp)
+    made = [jpeg, png, film, avi, F.concat(packet, packet), tiff, F.col("body")]
+    content = F.coalesce(*[F.when(F.col("k") == i, c) for i, c in enumerate(made)])
+    return o.withColumns({"ext": F.element_at(F.array(*map(F.lit, MEDIA_KINDS)), F.col("k") + 1), "content": content})
+
+
+_MEDIA = "m as (select o_orderkey as id, o_orderkey % 7 as k, o_orderdate::date as day, 'body' || o_orderkey % 100 as body from orders)"
+
+
+@query("d1_payloads", f"""with {_MEDIA} select id, md5(case k when 0 then from_hex('FFD8FFDB00040102FFDA') || body::blob || from_hex('FFD9') when 4 then from_hex(rpad(hex(body), 374, '0')) || from_hex(rpad(hex(body), 374, '0')) else body::blob end) as head_hash
+from m where k in (0, 1, 2, 3, 4) union all select id, null from m where k in (5, 6)""")
+def d1_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """The payloads of all kinds, from their bytes; a TIFF without a picture and a text have none."""
+    return media_files(spark, sf).select("id", decoders.payload_hashes(F.col("content"), F.col("ext"))["head_hash"].alias("head_hash"))
+
+
+@query("d10_sniffed", f"""with {_MEDIA} select id, case k when 0 then 'jpg' when 1 then 'png' when 2 then 'mp4' when 3 then 'avi' when 4 then 'm2ts' when 5 then 'tiff' end as kind from m""")
+def d10_sniffed(spark: SparkSession, sf: str) -> DataFrame:
+    return media_files(spark, sf).select("id", decoders.sniffed(F.col("content")).alias("kind"))
+
+
+@query("t14_embedded_dates", f"with {_MEDIA} select id, case when k in (0, 1, 2, 5) then strftime(day, '%Y-%m-%d 10:11:12') end as embedded_date from m")
+def t14_embedded_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """EXIF of JPEG and PNG, a film's header, a TIFF's XMP packet; the others carry none."""
+    return media_files(spark, sf).select("id", embedded.embedded_date(F.col("content"), F.col("ext")).alias("embedded_date"))
+
+
+@query("c3_capture_dates", f"""with {_MEDIA} select id, case when k in (0, 1, 2, 5) then strftime(day, '%Y-%m-%d 10:11:12') when id % 2 = 0 then strftime(day, '%Y-%m-%d') end as capture_date,
+    case when k in (0, 1, 2, 5) then 'embedded' when id % 2 = 0 then 'folder' end as date_source from m""")
+def c3_capture_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates from bytes, else from the folder: the whole resolver."""
+    files = media_files(spark, sf).withColumn("path", F.concat(F.lit("/lib/"), F.when(F.col("id") % 2 == 0, F.date_format("day", "yyyy-MM-dd")).otherwise("box"), F.lit("/"), F.col("id").cast("string"), F.lit("."), "ext"))
+    dated = embedded.dated_files(files, F.col("ext")).select("id", "path", "embedded_date")
+    return verify.resolve_dates(dated.select("path", "embedded_date")).join(dated.select("id", "path"), "path").select("id", "capture_date", "date_source")
+
+
+def pictures(spark: SparkSession, sf: str) -> DataFrame:
+    """id, ext, content: parts as pictures of 2 x 2 pixels in four formats; those that agree in p_size and p_partkey % 3 have the same pixels."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("s"), (F.col("p_partkey") % 3).alias("q"), F.floor(F.col("p_partkey") / 3 % 4).cast("int").alias("k"))
+    rgb = lambda *order: [_number(x, 1) for x in order]
+    r, g, b = F.col("s"), F.col("s") + F.col("q") * 50, F.lit(7)
+    row = F.concat(*rgb(r, g, b), _hex("FF0080"))
+    ppm = F.concat(F.encode(F.lit("P6 2 2 255\n"), "utf-8"), row, row)
+    turned = F.concat(*rgb(b, g, r), _hex("8000FF"))
+    bmp = F.concat(_hex("424D000000000000000036000000" + "28000000" + "02000000" + "02000000" + "01001800" + "00" * 24), turned, _hex("0000"), turned, _hex("0000"))
+    tga = F.concat(_hex("000002" + "00" * 9 + "020002001800"), turned, turned)
+    png = F.concat(_hex("89504E470D0A1A0A"), _chunk("IHDR", _hex("00000002000000020802000000")), _chunk("IDAT", _stored_zlib(F.concat(_hex("00"), row, _hex("00"), row))), _chunk("IEND", _hex("")))
+    return p.withColumns({"ext": F.element_at(F.array(*map(F.lit, ("ppm", "bmp", "tga", "png"))), F.col("k") + 1), "content": F.coalesce(*[F.when(F.col("k") == i, c) for i, c in enumerate((ppm, bmp, tga, png))])})
+
+
+@query("d9_pixels", """with p as (select p_partkey as id, p_size as s, p_size + p_partkey % 3 * 50 as g from part),
+q as (select id, printf('%02X%02X07FF0080', s::int, g::int) as line, greatest(s, g, 7) - least(s, g, 7) as spread from p)
+select id, '2x2x3:' || sha256(from_hex(line || line)) as pixel_hash, ((2 * spread + 2 * 255) // 4)::int as chroma, 4::bigint as pixels from q""")
+def d9_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixel key and chroma of decoded pictures: the same in every container."""
+    return pictures(spark, sf).withColumn("p", pixels.pixel_layers(F.col("content"), F.col("ext"))).select("id", "p.pixel_hash", "p.chroma", "p.pixels")
+
+
+query("s9_tool_rows", "select o_orderkey as id, '/lib/' || o_orderkey as path, strftime(o_orderdate, '%Y-%m-%d 10:11:12') as capture_date from orders where o_orderkey % 3 > 0")(
+    lambda s, d: catalog.tool_rows(table(s, d, "orders").select(F.to_json(F.create_map(F.when(F.col("o_orderkey") % 3 > 0, "SourceFile").otherwise("Other"), F.concat(F.lit("/lib/"), F.col("o_orderkey").cast("string")), F.lit("ExifIFD:DateTimeOriginal"), F.date_format("o_orderdate", "yyyy:MM:dd' 10:11:12'"))).alias("value"))).select(F.substr("path", F.lit(6)).cast("long").alias("id"), "path", dates.pick_tag(F.col("tags")).alias("capture_date"))
+)
+query("a11_outcomes", "select count(*) as planned, count(*) filter (p_partkey % 4 > 0) as moved, count(*) filter (p_partkey % 4 > 0 and p_partkey % 3 = 0) as renamed, count(*) filter (p_partkey % 4 = 0) as failed from part")(
+    lambda s, d: library.outcome_counts(table(s, d, "part").select(F.concat(F.lit("/a/"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("source"), F.concat(F.lit("/b/"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, " (1).png").otherwise(".png")).alias("target"), (F.col("p_partkey") % 4 > 0).alias("moved"), F.when(F.col("p_partkey") % 4 == 0, "gone").alias("error")))
+)
+query("s6_event_folders", "select strftime(o_orderdate, '%m-%d') as mmdd, strftime(o_orderdate, '%m-%d') || case when o_orderkey % 2 = 0 then ' fog' else '' end as event, count(*) as files from orders where o_orderkey % 5 > 0 group by 1, 2")(
+    lambda s, d: catalog.event_folders(table(s, d, "orders").select(F.concat(F.lit("/y/1987/"), F.when(F.col("o_orderkey") % 5 == 0, "loose").otherwise(F.concat(F.date_format("o_orderdate", "MM-dd"), F.when(F.col("o_orderkey") % 2 == 0, " fog").otherwise(""))), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".png")).alias("path")), "/y/1987")
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import pandas as pd
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 from trove.functions.hashes import PREFIX, bytes_hash
 from trove.functions.paths import RAW, extension, is_event_name, is_supported, is_video, parts, relative_to, split_event
-from trove.sources.decoders import payload_hashes
+from trove.sources.decoders import film_ranges, payload_hashes
+from trove.sources.pixels import pixel_layers
 from trove.sources.raw import register
+from trove.sources.stamps import embedded_date
 
 
 register(RAW)
@@ -29,7 +32,7 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
 
 
 def without_links(files: DataFrame) -> DataFrame:
-    """files (with path) but those that are symbolic links, looked at where the executors see the folder."""
+    """files (with path) but those that are symbolic links. Executors must see the folder under the driver's path."""
     @F.pandas_udf("boolean")
     def linked(path: pd.Series) -> pd.Series:
         return path.map(os.path.islink)
@@ -37,14 +40,54 @@ def without_links(files: DataFrame) -> DataFrame:
     return files.filter(~linked("path"))
 
 
-def scan_tree(spark: SparkSession, root: str, prefix: int = PREFIX) -> DataFrame:
-    """The catalog of a tree: tree, path, rel, size, modified, shallow, decoded, bytes_hash, payload_hash, video."""
+#: files over this are never held as one value: they are read in blocks where they lie
+LARGE = 1 << 30
+_BLOCK = 1 << 16
+
+
+def _large_file(path: str, prefix: int) -> tuple[str, str, str | None, str | None]:
+    """sha256 and md5 of a file's bytes, and md5 of the head and sha256 of all of its film data; read in blocks."""
+    whole, quick, film, head = hashlib.sha256(), hashlib.md5(), hashlib.sha256(), b""  # noqa: S324
+    ranges = film_ranges(path)
+    with open(path, "rb") as f:
+        while block := f.read(_BLOCK):
+            whole.update(block)
+            quick.update(block)
+        for lo, hi in ranges:
+            f.seek(lo)
+            while lo < hi and (block := f.read(min(_BLOCK, hi - lo))):
+                film.update(block)
+                head += block[: prefix - len(head)]
+                lo += len(block)
+    return whole.hexdigest(), quick.hexdigest(), hashlib.md5(head).hexdigest() if ranges else None, film.hexdigest() if ranges else None  # noqa: S324
+
+
+def _hash_large(files: DataFrame, prefix: int) -> DataFrame:
+    @F.pandas_udf("bytes_hash string, quick string, head_hash string, payload_hash string")
+    def run(path: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_large_file(p, prefix) for p in path], columns=["bytes_hash", "quick", "head_hash", "payload_hash"])
+
+    return files.withColumn("h", run("path"))
+
+
+def scan_tree(spark: SparkSession, root: str, prefix: int = PREFIX, dates: bool = False, large: int = LARGE) -> DataFrame:
+    """The catalog of a tree: tree, path, rel, size, modified, shallow, decoded, bytes_hash, payload_hash, pixel_hash, phash,
+    dhash, chroma, pixels, video and, if asked for, embedded_date.
+
+    Files over `large` bytes are listed like others, but hashed by path in blocks; they have no pixels and no date here.
+    """
     files = without_links(list_files(spark, root))
-    hashed = files.withColumn("h", payload_hashes(F.col("content"), extension(F.col("path")), prefix))
+    ext = extension(F.col("path"))
+    small = files.filter(F.col("size") <= large).withColumn("h", payload_hashes(F.col("content"), ext, prefix)).withColumn("p", pixel_layers(F.col("content"), ext))
+    small = small.withColumn("h", F.struct(bytes_hash(F.col("content")).alias("bytes_hash"), F.md5("content").alias("quick"), "h.head_hash", "h.payload_hash"))
+    small = small.withColumn("embedded_date", embedded_date(F.col("content"), ext) if dates else F.lit(None).cast("string"))
+    empty = F.lit(None).cast("struct<pixel_hash:string,phash:bigint,dhash:bigint,chroma:int,pixels:bigint>")
+    big = _hash_large(files.filter(F.col("size") > large).drop("content"), prefix).withColumn("p", empty).withColumn("embedded_date", F.lit(None).cast("string"))
+    hashed = small.drop("content").unionByName(big)
     return hashed.select(
         F.lit(root).alias("tree"), "path", relative_to(F.col("path"), F.lit(root.rstrip("/"))).alias("rel"), "size", "modified",
-        F.coalesce("h.head_hash", F.md5("content")).alias("shallow"), F.col("h.payload_hash").isNotNull().alias("decoded"),
-        bytes_hash(F.col("content")).alias("bytes_hash"), F.col("h.payload_hash").alias("payload_hash"), F.lit(None).cast("string").alias("pixel_hash"), is_video(F.col("path")).alias("video"),
+        F.coalesce("h.head_hash", "h.quick").alias("shallow"), F.col("h.payload_hash").isNotNull().alias("decoded"), "h.bytes_hash", "h.payload_hash",
+        "p.pixel_hash", "p.phash", "p.dhash", "p.chroma", "p.pixels", is_video(F.col("path")).alias("video"), *(["embedded_date"] if dates else []),
     )
 
 
@@ -80,6 +123,12 @@ def pasted(lines: DataFrame, *names: str, line: str = "value") -> DataFrame:
     return good.select(*[F.trim(F.get(fields, F.lit(i))).alias(n) for i, n in enumerate(names)])
 
 
+def pasted_paths(lines: DataFrame, line: str = "value") -> DataFrame:
+    """A path a line; blank lines and what stands after a tab are left out."""
+    path = F.trim(F.get(F.split(F.regexp_replace(line, "\r$", ""), "\t"), F.lit(0)))
+    return lines.select(path.alias("path")).filter("path <> ''")
+
+
 def tool_rows(lines: DataFrame, line: str = "value") -> DataFrame:
     """JSON rows of an external date tool as (path, tags map)."""
     tags = F.from_json(line, "map<string,string>")

@@ -8,6 +8,7 @@ to their bytes' hash.
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Callable, Iterator
 
@@ -91,6 +92,27 @@ def mp4(data: bytes, head: int | None = None) -> bytes:
     return out if head is None else out[:head]
 
 
+def film_ranges(path: str) -> list[tuple[int, int]]:
+    """Where a film file's top-level mdat boxes lie, read by seeking; none for other files."""
+    found, at = [], 0
+    size = os.path.getsize(path)
+    with open(path, "rb") as f:
+        while at + 8 <= size:
+            f.seek(at)
+            head = f.read(16)
+            n, kind, skip = *struct.unpack_from(">I4s", head), 8
+            if n == 1 and len(head) == 16:
+                n, skip = struct.unpack_from(">Q", head, 8)[0], 16
+            elif n == 0:
+                n = size - at
+            if n < skip or at + n > size or not kind.isalnum():
+                return []
+            if kind == b"mdat":
+                found.append((at + skip, at + n))
+            at += n
+    return found
+
+
 def heif(data: bytes) -> bytes:
     """The extents of the primary item, or of the tiles that it is derived from."""
     meta = next(((i, j) for kind, i, j in boxes(data) if kind == b"meta"), None)
@@ -215,6 +237,16 @@ def sniff(data: bytes) -> str | None:
     return None
 
 
+def sniffed(content: Column) -> Column:
+    """The kind of binary columns by their content."""
+
+    @F.pandas_udf("string")
+    def run(c: pd.Series) -> pd.Series:
+        return c.map(lambda x: None if x is None else sniff(bytes(x)))
+
+    return run(content)
+
+
 def payload(data: bytes, ext: str, head: int | None = None, rescue: bool = True) -> bytes | None:
     """A file's payload, of films at most head bytes of it; None where it can't be read. No input raises."""
     for kind in dict.fromkeys((ext.lower(), sniff(data) if rescue else None)):
@@ -258,21 +290,25 @@ def ciff_date(data: bytes, depth: int = 10) -> int | None:
 
 
 def xmp_packet(data: bytes, scan: int = 16 << 20, most: int = 4 << 20) -> str | None:
-    """The XMP packet in a file's first bytes."""
-    lo = data.find(b"<x:xmpmeta", 0, scan)
-    if lo < 0:
+    """The XMP packet that begins in a file's first bytes; without an end, as much of it as may be."""
+    starts = [x for x in (data.find(b"<?xpacket", 0, scan), data.find(b"<x:xmpmeta", 0, scan)) if x >= 0]
+    if not starts:
         return None
-    hi = data.find(b"</x:xmpmeta>", lo, lo + most)
-    return None if hi < 0 else data[lo : hi + 12].decode("utf-8", "replace")
+    lo = min(starts)
+    hi = data.find(b"</x:xmpmeta", lo, lo + most)
+    return data[lo : hi + 12 if hi >= 0 else lo + most].decode("utf-8", "replace")
+
 
+def payload_hashes(content: Column, ext: Column, prefix: int = 64 * 1024, head: int | None = None) -> Column:
+    """(payload_hash, head_hash) of binary columns: sha256 of the whole payload, md5 of its first bytes; nulls without one.
 
-def payload_hashes(content: Column, ext: Column, prefix: int = 64 * 1024) -> Column:
-    """(payload_hash, head_hash) of binary columns: sha256 of the whole payload, md5 of its first bytes; nulls without one."""
+    head: of films only so many bytes count (MOVIE_HEAD nominates, the whole payload proves).
+    """
     import hashlib
 
     @F.pandas_udf("payload_hash string, head_hash string")
     def run(c: pd.Series, e: pd.Series) -> pd.DataFrame:
-        found = [None if x is None else payload(bytes(x), y or "") for x, y in zip(c, e, strict=True)]
+        found = [None if x is None else payload(bytes(x), y or "", head) for x, y in zip(c, e, strict=True)]
         return pd.DataFrame({"payload_hash": [None if p is None else hashlib.sha256(p).hexdigest() for p in found], "head_hash": [None if p is None else hashlib.md5(p[:prefix]).hexdigest() for p in found]})  # noqa: S324
 
     return run(content, ext)
