@@ -76,10 +76,11 @@ def resolve(
     pairs = stage(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     more = stage(verify(pairs).select("a", "b"), "verified")
     links, tried = links.unionByName(more), tried.unionByName(pairs)
-    labels = joined_labels(labels, more)
-    rest = left()
-    if rest.isEmpty():
-        return labels, links
+    if not more.isEmpty():
+        labels = joined_labels(labels, more)
+        rest = left()
+        if rest.isEmpty():
+            return labels, links
     typical = stage(features[0][0](rest.select("id").distinct()), "features")
     typical = stage(typical.join(typical.groupBy("feature").agg(F.count("*").alias("n")), "feature").groupBy("id").agg(F.avg("n").alias("central")), "central")
     inside = rest.groupBy("bucket", "label").agg(F.count("*").alias("n")).filter("n > 1")
@@ -90,10 +91,11 @@ def resolve(
     pairs = stage(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     more = stage(verify(pairs).select("a", "b"), "verified")
     links, tried = links.unionByName(more), tried.unionByName(pairs)
-    labels = joined_labels(labels, more)
-    rest = left()
-    if rest.isEmpty():
-        return labels, links
+    if not more.isEmpty():
+        labels = joined_labels(labels, more)
+        rest = left()
+        if rest.isEmpty():
+            return labels, links
     able = stage(rest.groupBy("id").agg(F.first("size").alias("size"), F.first("label").alias("label")), "able")  # one size and label an id
     for kind, own in features:
         for _ in range(2):  # with the first ones out, others have less in common
@@ -103,6 +105,8 @@ def resolve(
             room = held_by.groupBy("id").agg(F.count("*").alias("all")).join(ranked.groupBy("id").agg(F.count("*").alias("common")), "id")
             room = room.withColumn("slots", F.col("common") - F.greatest(F.ceil(own(F.col("all")) - 1e-9), F.lit(1)) + 1).filter("slots > 0")
             able = stage(able.select("id", "size", "label").join(room, "id"), "able")
+            if able.isEmpty():
+                return labels, links
     place = F.row_number().over(Window.partitionBy("id").orderBy("n", "feature"))
     prefix = ranked.join(able, "id").withColumn("place", place).filter("place <= slots")
     # at the first feature that two records share, at most what stands after it in each is shared besides
