@@ -9,20 +9,19 @@ at 3 times the source's size; the excess goes to the others by weight until none
 closed form: in order of size over weight, sources are full until the level that the rest would get is lower.
 
 Defined cases: null or empty text has size 0 and is taken 0 times; a null source is a source of its own; ties and
-repeated rows are ordered by key, doc_id and size, and rows that agree in these are interchangeable; an empty table
-gives an empty result; other columns pass through mix_documents unless they bear the names that it adds.
+repeated rows are ordered by key, doc_id and size, and rows that agree in these are interchangeable; very long texts are
+counted whole; an empty table gives an empty result; other columns of the input are not read by mix_documents and pass
+through mixed_corpus, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trove.llm.common import WORD, n_words, stage
 
-KEY_BITS = 60
+KEY_BITS, RANGE_ROWS = 60, 1024
 
 
 def random_key(doc_id: Column, seed: int = 7) -> Column:
@@ -59,9 +58,11 @@ def mix_documents(docs: DataFrame, max_epochs: int = 3, weights: tuple[int, ...]
     """docs' ids and sources with size, source_size, target and taken. Only narrow rows are shuffled."""
     narrow = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key"))
     narrow = stage(narrow, "mix-sizes")
-    rows = narrow.count()
-    bits = max(0, math.ceil(math.log2(max(1, rows) / max(4096, math.sqrt(rows)))))  # ranges grow in number and in size
-    narrow = narrow.withColumn("range", F.shiftright("key", KEY_BITS - bits))
+    # a source's ranges grow in number and in size with its own rows, so a hot source has more of them, not larger ones
+    rows = F.col("rows").cast("double")
+    bits = F.greatest(F.ceil(F.log2(rows / F.greatest(F.lit(RANGE_ROWS), F.sqrt(rows)))), F.lit(0)).cast("int")
+    counts = narrow.groupBy("source").agg(F.count("*").alias("rows")).select(F.col("source").alias("of"), bits.alias("bits"))
+    narrow = narrow.join(counts, F.col("source").eqNullSafe(F.col("of"))).withColumn("range", F.call_function("shiftright", "key", F.lit(KEY_BITS) - F.col("bits"))).drop("of", "bits")
     up_to = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     firsts = narrow.groupBy("source", "range").agg(F.sum("size").alias("range_size")).withColumn("first", F.coalesce(F.sum("range_size").over(up_to), F.lit(0)))
     targets = source_targets(narrow, max_epochs, weights)
