@@ -1,4 +1,9 @@
-"""A corpus pipeline: quality rules, line dedup, near-dedup, mixing and tokenisation, each over all that the one before kept."""
+"""A corpus pipeline: quality rules, line dedup, near-dedup, mixing and tokenisation, each over all that the one before kept.
+
+Defined cases: null and empty texts fail the quality rules and go; a null source is a source of its own in line dedup and
+mixing; of rows that share doc_id and text one stays; rows without an id are kept like others; very long texts are taken
+whole; an empty table gives an empty result; further columns, whatever their names, pass through all stages.
+"""
 
 from __future__ import annotations
 
