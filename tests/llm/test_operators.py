@@ -415,8 +415,8 @@ def test_leftover_pairs_are_compared(spark):
     rows = [(1, i, 40) for i in feature]
     like = lambda a, b: len(feature[a] & feature[b]) >= 0.8 * len(feature[a] | feature[b])
     ok = spark.createDataFrame([(a, b) for a, b in itertools.combinations(feature, 2) if like(a, b)], "a long, b long")
-    own = spark.createDataFrame([(i, f) for i, fs in feature.items() for f in fs], "id long, feature long")
-    labels, links = clusters.resolve(spark.createDataFrame(rows, "bucket long, id long, size int"), lambda p: p.join(ok, ["a", "b"]), lambda a, b: F.least(a, b) >= F.greatest(a, b) * 0.8, [(lambda ids: own.join(ids, "id"), lambda x: x * 0.8)], lambda x, y: (x + y) * (0.8 / 1.8))
+    own = spark.createDataFrame([(i, sorted(fs)) for i, fs in feature.items()], "id long, features array<int>")
+    labels, links = clusters.resolve(spark.createDataFrame(rows, "bucket long, id long, size int"), lambda p: p.join(ok, ["a", "b"]), 0.8, [(lambda ids: own.join(ids, "id"), lambda x: x * 0.8)], lambda x, y: (x + y) * (0.8 / 1.8))
     assert {r.label for r in labels.collect()} == {0}
     assert links.count() >= 11
 

@@ -13,6 +13,7 @@ split over tasks by salts, in proportion to how many have it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,80 +39,91 @@ def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
 def resolve(
     buckets: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    alike: Callable[[Column, Column], Column],
+    ratio: float,
     features: list[tuple[Callable[[DataFrame], DataFrame], Callable[[Column], Column]]],
     both: Callable[[Column, Column], Column],
+    done: Callable[[], None] = lambda: None,
 ) -> tuple[DataFrame, DataFrame]:
     """(id, label) of all ids with a link, and the verified links (a, b).
 
-    buckets: (bucket, id, size); verify: pairs (a, b) to the rows of them that are similar; alike: a cheap test of two
-    sizes that similar records pass; features: kinds of features, each with a function of ids to (id, feature), a record's
-    distinct features, and one that tells how many of them a record of so many shares at least with any similar one; both:
-    the same for the last kind, by the numbers of two records.
+    buckets: (bucket, id, size); verify: pairs (a, b) to the rows of them that are similar; ratio: sizes of similar records
+    are not further apart; features: kinds of features, each with a function of ids to (id, features), an array of whole
+    numbers, and one that tells how many of them a record of so many shares at least with any similar one; both: the same
+    for the last kind, by the numbers of two records; done: called when what verify or features gave has been stored.
     """
+    alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * ratio - 1e-9
+    size_class = F.floor(F.log(F.col("size").cast("double")) / (math.log(1 / ratio) + 1e-6))  # alike sizes are in one or in neighbouring ones
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out = stage(df, name)
+        done()
+        return out
+
+    def left(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """bucket, id, size, label of those members that have one of another label and an alike size in their bucket."""
+        marked = members.select("bucket", "id", "size").join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label"), size_class.alias("c"))
+        marked = stage(marked, "marked")
+        around = marked.select("bucket", "label", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c")).groupBy("bucket", "c").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        rest = stage(marked.join(around.filter("low < high").select("bucket", "c"), ["bucket", "c"]).drop("c"), "rest")
+        discard(marked)
+        return rest
+
+    def compare(members: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs of members and hubs (bucket, hub, hub_size, hub_label) of other labels that were not tried, and those that are similar."""
+        pairs = members.join(hubs, "bucket").filter((F.col("label") != F.col("hub_label")) & alike(F.col("size"), F.col("hub_size")))
+        pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        return pairs, kept(verify(pairs).select("a", "b"), "verified")
+
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     live = stage(buckets.join(sizes, "bucket"), "buckets")
     held = stage(live.join(live.groupBy("id").agg(F.sum("n").alias("degree")), "id").select("bucket", "id", "size", "degree"), "buckets")
+    discard(live)
+    tried = None
     order = Window.partitionBy("bucket").orderBy(F.desc("degree"), "id")
     hubs = held.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= HUBS)
-    hubs = stage(hubs.select("bucket", F.col("id").alias("hub"), F.col("size").alias("hub_size"), "turn"), "hubs")
-    pairs = held.join(hubs.filter("turn = 1"), "bucket").filter((F.col("id") != F.col("hub")) & alike(F.col("size"), F.col("hub_size")))
-    tried = stage(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
-    links = stage(verify(tried).select("a", "b"), "verified")
+    hubs = stage(hubs.select("bucket", F.col("id").alias("hub"), F.col("size").alias("hub_size"), F.col("id").alias("hub_label"), "turn"), "hubs")
+    tried, links = compare(held.withColumn("label", F.col("id")), hubs.filter("turn = 1").drop("turn"))
     labels = stage(components(links), "labels")
-
-    def left() -> DataFrame:
-        """The members of buckets that hold two labels or more."""
-        marked = stage(held.join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label")), "marked")
-        mixed = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-        rest = stage(marked.join(mixed, "bucket"), "rest")
-        discard(marked)
-        return rest
-
-    rest = left()
+    rest = left(held, labels)
+    discard(held)
     if rest.isEmpty():
         return labels, links
-    more_hubs = rest.join(hubs.filter("turn > 1").select("bucket", F.col("hub").alias("id")), ["bucket", "id"]).select("bucket", F.col("id").alias("hub"), F.col("size").alias("hub_size"), F.col("label").alias("hub_label"))
-    pairs = rest.join(more_hubs, "bucket").filter((F.col("label") != F.col("hub_label")) & alike(F.col("size"), F.col("hub_size")))
-    pairs = stage(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = stage(verify(pairs).select("a", "b"), "verified")
-    links, tried = links.unionByName(more), tried.unionByName(pairs)
-    if not more.isEmpty():
-        labels = joined_labels(labels, more)
-        rest = left()
-        if rest.isEmpty():
-            return labels, links
-    typical = stage(features[0][0](rest.select("id").distinct()), "features")
-    typical = stage(typical.join(typical.groupBy("feature").agg(F.count("*").alias("n")), "feature").groupBy("id").agg(F.avg("n").alias("central")), "central")
-    inside = rest.groupBy("bucket", "label").agg(F.count("*").alias("n")).filter("n > 1")
-    largest = inside.withColumn("turn", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("n"), "label"))).filter(F.col("turn") <= HUBS).select("bucket", "label")
-    best = rest.join(typical, "id").groupBy("label").agg(F.max(F.struct("central", "id", "size")).alias("best"))  # one a component, whatever the bucket
-    more_hubs = largest.join(best, "label").select("bucket", F.col("best.id").alias("hub"), F.col("best.size").alias("hub_size"), F.col("label").alias("hub_label"))
-    pairs = rest.join(more_hubs, "bucket").filter((F.col("label") != F.col("hub_label")) & alike(F.col("size"), F.col("hub_size")))
-    pairs = stage(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = stage(verify(pairs).select("a", "b"), "verified")
+    more_hubs = rest.select("bucket", F.col("id").alias("hub"), F.col("size").alias("hub_size"), F.col("label").alias("hub_label")).join(hubs.filter("turn > 1").select("bucket", "hub"), ["bucket", "hub"])
+    pairs, more = compare(rest, more_hubs)
     links, tried = links.unionByName(more), tried.unionByName(pairs)
     if not more.isEmpty():
         labels = joined_labels(labels, more)
-        rest = left()
+    able = None
+    for turn, (kind, own) in enumerate([features[0], *features]):  # the first kind again after its hubs
+        rest = left(rest if able is None else rest.join(able.select("id"), "id", "left_semi"), labels)
         if rest.isEmpty():
             return labels, links
-    able = stage(rest.groupBy("id").agg(F.first("size").alias("size"), F.first("label").alias("label")), "able")  # one size and label an id
-    for kind, own in features:
-        for _ in range(2):  # with the first ones out, others have less in common
-            held_by = stage(kind(able.select("id")), "features")
-            counts = held_by.groupBy("feature").agg(F.count("*").alias("n")).filter("n > 1")  # a feature of one record brings no pair
-            ranked = stage(held_by.join(counts, "feature"), "ranked")
-            room = held_by.groupBy("id").agg(F.count("*").alias("all")).join(ranked.groupBy("id").agg(F.count("*").alias("common")), "id")
-            room = room.withColumn("slots", F.col("common") - F.greatest(F.ceil(own(F.col("all")) - 1e-9), F.lit(1)) + 1).filter("slots > 0")
-            able = stage(able.select("id", "size", "label").join(room, "id"), "able")
-            if able.isEmpty():
-                return labels, links
-    place = F.row_number().over(Window.partitionBy("id").orderBy("n", "feature"))
-    prefix = ranked.join(able, "id").withColumn("place", place).filter("place <= slots")
+        held_by = kept(kind(rest.select("id").distinct()), "features")
+        each = held_by.select("id", F.explode("features").alias("feature"))
+        counts = each.groupBy("feature").agg(F.count("*").alias("n")).filter("n > 1")  # a feature of one record brings no pair
+        per = each.join(counts, "feature").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("n").cast("int").alias("n"), "feature"))).alias("common"))  # a record's own
+        room = held_by.select("id", F.size("features").alias("all")).join(per, "id")
+        room = room.withColumn("slots", F.size("common") - F.greatest(F.ceil(own(F.col("all")) - 1e-9), F.lit(1)).cast("int") + 1).filter("slots > 0")
+        able = stage(room, "able")
+        discard(held_by)
+        if turn == 0:
+            central = able.select("id", (F.aggregate("common", F.lit(0).cast("long"), lambda t, x: t + x["n"]) / F.col("all")).alias("central"))
+            inside = rest.groupBy("bucket", "label").agg(F.count("*").alias("n")).filter("n > 1")
+            largest = inside.withColumn("turn", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("n"), "label"))).filter(F.col("turn") <= HUBS).select("bucket", "label")
+            best = rest.join(central, "id").groupBy("label").agg(F.max(F.struct("central", "id", "size")).alias("best"))  # one a component, whatever the bucket
+            typical = largest.join(best, "label").select("bucket", F.col("best.id").alias("hub"), F.col("best.size").alias("hub_size"), F.col("label").alias("hub_label"))
+            pairs, more = compare(rest.join(able.select("id"), "id", "left_semi"), typical)
+            links, tried = links.unionByName(more), tried.unionByName(pairs)
+            if not more.isEmpty():
+                labels = joined_labels(labels, more)
+    rest = left(rest.join(able.select("id"), "id", "left_semi"), labels)
+    if rest.isEmpty():
+        return labels, links
+    facts = rest.groupBy("id").agg(F.first("size").alias("size"), F.first("label").alias("label"))  # one size and label an id
+    prefix = able.join(facts, "id").select("id", "size", "label", "all", F.size("common").alias("n"), F.posexplode(F.slice("common", F.lit(1), F.col("slots"))).alias("place", "f"))
     # at the first feature that two records share, at most what stands after it in each is shared besides
-    prefix = prefix.select("feature", "id", "size", "label", "all", (F.col("common") - F.col("place") + 1).alias("after"))
-    prefix = stage(prefix, "prefixes")
+    prefix = stage(prefix.select(F.col("f.feature").alias("feature"), "id", "size", "label", "all", (F.col("n") - F.col("place")).alias("after")), "prefixes")
     # of any pair across labels, one record at least has not the feature's most frequent label
     usual = prefix.groupBy("feature", "label").agg(F.count("*").alias("n")).groupBy("feature").agg(F.max(F.struct("n", "label"))["label"].alias("usual"), F.count("*").alias("labels"), F.sum("n").alias("holders")).filter("labels > 1")
     mixed = prefix.join(usual, "feature").withColumn("salts", F.ceil(F.col("holders") / SALT_ROWS).cast("int"))
@@ -122,6 +134,6 @@ def resolve(
     once = (F.col("y.label") == F.col("y.usual")) | (F.col("x.id") < F.col("y.id"))
     cross = x.join(y, (F.col("x.feature") == F.col("y.feature")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.label") != F.col("y.label")) & once & could & alike(F.col("x.size"), F.col("y.size")))
     cross = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = stage(verify(cross).select("a", "b"), "verified")
+    more = kept(verify(cross).select("a", "b"), "verified")
     links = links.unionByName(more)
     return (joined_labels(labels, more), links) if not more.isEmpty() else (labels, links)

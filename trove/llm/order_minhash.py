@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trove.llm.clusters import SALT_ROWS, resolve
-from trove.llm.common import SPACE_CHARS, chain, hash_words, mix, stage, text_bytes, window_hashes
+from trove.llm.common import SPACE_CHARS, chain, discard, hash_words, mix, stage, text_bytes, window_hashes
 
 SHINGLE, SIMILARITY, SKETCHES, ELL = 5, 0.8, 16, 2
 BROADCAST_IDS = 200_000  # contents of candidates that are sent to all executors, 16 bytes each; more are joined
@@ -171,13 +171,13 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _gram_batches(size: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(content, words) to (id, grams): its labelled runs of `size` words."""
+        """(content, words) to (id, features): its labelled runs of `size` words, 32 bits each (equal bits only let more through)."""
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
-                found = [label(window_hashes(np.frombuffer(w, np.uint64), size)).view(np.int64) for w in part.column(1).to_pylist()]
+                found = [label(window_hashes(np.frombuffer(w, np.uint64), size)).astype(np.uint32).view(np.int32) for w in part.column(1).to_pylist()]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32()), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "features"])
 
     return run
 
@@ -206,17 +206,24 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = stage(made.groupBy("content").agg(F.min("doc_id").alias("first_id"), F.max("n_words").alias("n_words"), F.first("buckets").alias("buckets")), "contents")
     buckets = members.filter("n_words > 0").select(F.col("content").alias("id"), F.col("n_words").alias("size"), F.explode("buckets").alias("bucket"))
 
+    scratch: list[DataFrame] = []
+
+    def clean() -> None:
+        discard(*scratch)
+        scratch.clear()
+
     def words_of(ids: DataFrame) -> DataFrame:
         """content and words of some contents."""
         ids = stage(ids, "asked")
-        if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # the size is known to be small
-            ids = F.broadcast(ids)
-        found = made.select("content", "text").join(ids, "content", "left_semi").dropDuplicates(["content"])
-        return stage(found.mapInArrow(_word_batches, "content binary, words binary"), "words")
+        small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # the size is known to be small
+        found = made.select("content", "text").join(F.broadcast(ids) if small else ids, "content", "left_semi").dropDuplicates(["content"])
+        scratch.extend((ids, stage(found.mapInArrow(_word_batches, "content binary, words binary"), "words")))
+        return scratch[-1]
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs of one content are dealt over tasks, SALT_ROWS each."""
         pairs = stage(pairs, "pairs")
+        scratch.append(pairs)
         one = words_of(pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct())
         often = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
         left = one.withColumnsRenamed({"content": "a", "words": "words_a"}).join(often, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
@@ -224,12 +231,11 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return full.select("a", "b", "words_a", "words_b").mapInArrow(_verify_batches, "a binary, b binary")
 
     def grams(size: int):  # noqa: ANN202
-        return lambda ids: words_of(ids.select(F.col("id").alias("content"))).mapInArrow(_gram_batches(size), "id binary, grams array<long>").select("id", F.explode("grams").alias("feature"))
+        return lambda ids: words_of(ids.select(F.col("id").alias("content"))).mapInArrow(_gram_batches(size), "id binary, features array<int>")
 
     # of m runs of k words, those of m + k - 1 words, no more than k an edit are lost
     kept = lambda k: lambda m: m - (m + k - 1) * k * (1 - SIMILARITY)
-    alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * SIMILARITY - 1e-9
-    labels, _ = resolve(buckets, verify, alike, [(grams(2), kept(2)), (grams(1), kept(1))], lambda x, y: kept(1)(F.greatest(x, y)))
+    labels, _ = resolve(buckets, verify, SIMILARITY, [(grams(2), kept(2)), (grams(1), kept(1))], lambda x, y: kept(1)(F.greatest(x, y)), clean)
     named = stage(members.join(labels.withColumnRenamed("id", "content"), "content", "left").select("content", "first_id", F.coalesce("label", "content").alias("label")), "labelled")
     # the members of a large class are dealt over SALTS tasks
     salt = F.pmod(F.xxhash64("content"), F.lit(SALTS)).cast("int")

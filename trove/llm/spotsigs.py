@@ -103,9 +103,9 @@ def matched_sets(sets: DataFrame, least: float = 0.8) -> DataFrame:
         return pairs.join(a, "a").join(b, "b").filter(likeness(F.col("sa"), F.col("sb"), least) >= least)
 
     def features(ids: DataFrame) -> DataFrame:
-        return members.join(ids, "id", "left_semi").select("id", F.explode("spots").alias("feature"))
+        return members.join(ids, "id", "left_semi").select("id", F.col("spots").alias("features"))
 
-    labels, _ = resolve(buckets, verify, lambda x, y: F.least(x, y) >= F.greatest(x, y) * least, [(features, lambda x: x * least)], lambda x, y: (x + y) * (least / (1 + least)))
+    labels, _ = resolve(buckets, verify, least, [(features, lambda x: x * least)], lambda x, y: (x + y) * (least / (1 + least)))
     labelled = members.select("id", "first_id", "rows").join(labels, "id", "left")
     named = stage(labelled.filter("rows > 1 or label is not null").select("id", "first_id", F.coalesce("label", "id").alias("label")), "spot-labels")
     smallest = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
