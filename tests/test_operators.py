@@ -135,3 +135,21 @@ def test_layers(spark, tmp_path):
     assert layers.load(spark, path, old.limit(0)).count() == 3
     found = layers.lookup(fresh.select("volume", "rel_path", "size", "modified"), old).collect()
     assert {r.rel_path: r.valid for r in found} == {"d/a": True, "d/b": False, "d/c": False}
+
+
+def test_broken_stores_are_caches(spark, tmp_path):
+    rows = spark.createDataFrame([("v", "a", 1, 2, "s")], "volume string, rel_path string, size long, modified long, shallow string")
+    path = str(tmp_path / "store")
+    layers.save(rows, path)
+    layers.save(rows.withColumn("size", F.lit(9).cast("long")), path)
+    assert layers.load(spark, path, rows).head().size == 9
+    for f in (tmp_path / "store" / "version=2").glob("*.parquet"):
+        f.write_bytes(b"broken")
+        (f.parent / f".{f.name}.crc").unlink()
+    assert layers.load(spark, path, rows).head().size == 1  # the version before
+    for f in (tmp_path / "store" / "version=1").glob("*.parquet"):
+        f.write_bytes(b"PAR1 broken PAR1")
+        (f.parent / f".{f.name}.crc").unlink()
+    assert layers.load(spark, path, rows.limit(0)).count() == 0
+    counts = spark.createDataFrame([(3, 4)], "reused long, computed long")
+    assert tuple(layers.reuse_delta(counts, spark.createDataFrame([(10, 5)], "reused long, computed long")).head()) == (7, 1)

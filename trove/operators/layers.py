@@ -28,6 +28,12 @@ def reuse_counts(looked_up: DataFrame, layer: str) -> DataFrame:
     return looked_up.agg(F.count_if(F.col(layer).isNotNull()).alias("reused"), F.count_if(F.col(layer).isNull()).alias("computed"))
 
 
+def reuse_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What one request added to the counters: after less before."""
+    names = ("reused", "computed")
+    return after.select(*[F.col(c).alias(f"n_{c}") for c in names]).join(F.broadcast(before.select(*names))).select(*[(F.col(f"n_{c}") - F.col(c)).alias(c) for c in names])  # one row each
+
+
 def fill(looked_up: DataFrame, layer: str, compute) -> DataFrame:  # noqa: ANN001
     """Compute a layer for the rows that lack it only: compute gets and gives a DataFrame."""
     have, lack = looked_up.filter(F.col(layer).isNotNull()), looked_up.filter(F.col(layer).isNull())
@@ -108,29 +114,43 @@ def save(store: DataFrame, path: str) -> int:
     return version
 
 
-def current_version(spark: SparkSession, path: str) -> int | None:
-    """The latest complete version, by the marker that a finished write leaves."""
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions, newest first, by the marker that a finished write leaves."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
-        return None
+        return []
     names = [s.getPath() for s in fs.listStatus(hadoop)]
     done = [int(p.getName().partition("=")[2]) for p in names if p.getName().startswith("version=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return max(done, default=None)
+    return sorted(done, reverse=True)
+
+
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """The latest complete version."""
+    return next(iter(versions(spark, path)), None)
 
 
 def load(spark: SparkSession, path: str, empty: DataFrame | None = None) -> DataFrame | None:
-    """The current version; `empty` where there is none. Older versions lack newer layers, which are null then."""
-    version = current_version(spark, path)
-    if version is None:
-        return empty
-    store = spark.read.parquet(f"{path}/version={version}")
-    if empty is not None:
-        for f in empty.schema:
-            if f.name not in store.columns:
-                store = store.withColumn(f.name, F.lit(None).cast(f.dataType))
-        store = store.select(*empty.columns)
-    return store
+    """The newest version that can be read; `empty` where there is none. Older layouts lack newer layers, which are null then.
+
+    A store is a cache: broken files count as missing, and a version without a readable file is passed over.
+    """
+    for version in versions(spark, path):
+        try:
+            store = spark.read.option("ignoreCorruptFiles", "true").parquet(f"{path}/version={version}")
+        except Exception as e:  # noqa: BLE001  no file's schema can be read
+            if "UNABLE_TO_INFER_SCHEMA" not in str(e) and "CANNOT_READ_FILE_FOOTER" not in str(e) and "FAILED_READ_FILE" not in str(e):
+                raise
+            continue
+        if not set(KEY) <= set(store.columns):
+            continue
+        if empty is not None:
+            for f in empty.schema:
+                if f.name not in store.columns:
+                    store = store.withColumn(f.name, F.lit(None).cast(f.dataType))
+            store = store.select(*empty.columns)
+        return store
+    return empty
 
 
 def new_volume() -> str:
