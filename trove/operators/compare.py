@@ -121,17 +121,26 @@ def deep_scan_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def confirmed(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a, b): each proven b once, with the first a that proves it."""
-    per = _b_classes(class_pairs(a, b)).filter("kept > 0")
+def _of_classes(b: DataFrame, per: DataFrame) -> DataFrame:
+    """b's files with the columns of their class."""
     match = (F.col("shallow") == F.col("k_shallow")) & F.col("video").eqNullSafe(F.col("b_video"))
     for c in EVIDENCE[:3]:
         match &= F.col(c).eqNullSafe(F.col(f"b_{c}"))
-    return b.filter("decoded").join(per.withColumnRenamed("shallow", "k_shallow"), match).select(F.col("keeper").alias("a"), F.col("path").alias("b"))
+    return b.filter("decoded").join(per.withColumnRenamed("shallow", "k_shallow"), match)
+
+
+def confirmed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b): each proven b once, with the first a that proves it."""
+    return _of_classes(b, _b_classes(class_pairs(a, b)).filter("kept > 0")).select(F.col("keeper").alias("a"), F.col("path").alias("b"))
+
+
+def removed_files(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(b, candidates): b's files that share a short hash with files of a, so many of them, none of which proves them. A row a file."""
+    return _of_classes(b, _b_classes(class_pairs(a, b)).filter("kept = 0")).select(F.col("path").alias("b"), F.col("lost").alias("candidates"))
 
 
 def removed_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a, b, reason): every pair of a b that no a proves."""
+    """(a, b, reason): every pair of a b that no a proves. As many as the product in each bucket; removed_files does without them."""
     open_b = b.join(confirmed(a, b).select(F.col("b").alias("path")), "path", "left_anti")
     pairs = nominated_pairs(a, open_b)
     return prove_pairs(pairs, a.unionByName(b)).select("a", "b", "reason")
@@ -145,5 +154,5 @@ def originals(compared: DataFrame, dated: DataFrame) -> DataFrame:
 
 
 def promoted(originals_: DataFrame, removed: DataFrame) -> DataFrame:
-    """Originals and the b of removed pairs, each once."""
+    """Originals and the b of removed files or pairs, each once."""
     return originals_.union(removed.select(F.col("b").alias("path"))).distinct()

@@ -74,5 +74,6 @@ def exact_extras(files: DataFrame) -> DataFrame:
 def merge_flat(a: DataFrame, b: DataFrame, key: Column) -> DataFrame:
     """path, action (keep or drop) of two flat folders' files: of each group of one key the larger stays, then the shorter name, then the first."""
     both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1))).withColumn("key", key)
-    order = [F.col("size").desc(), name_length(F.col("path")), F.col("side"), parts(F.col("path"))]
-    return rank_in(both, ["key"], order).select("path", "key", F.when(F.col("rank") == 1, "keep").otherwise("drop").alias("action"))
+    order = F.struct((-F.col("size")).alias("s"), name_length(F.col("path")).alias("l"), "side", parts(F.col("path")).alias("p"))
+    best = both.groupBy(F.col("key").alias("k")).agg(F.min(order).alias("best"))  # summed up before it is dealt: a group of many copies is no hot spot
+    return both.withColumn("order", order).join(best, F.col("key").eqNullSafe(F.col("k"))).select("path", "key", F.when(F.col("order") == F.col("best"), "keep").otherwise("drop").alias("action"))

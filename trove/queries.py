@@ -121,13 +121,19 @@ query("c4_confirmed", f"with {PAIRS} select array_to_string(min(string_split(a,
 query("c4_removed", f"with {PAIRS} select a, b, case verdict when 'unknown' then 'no proof: one of them has no readable content' else case when film then 'not one film: other film data' else 'not one picture: other pixels' end end as reason from marked where not proven")(lambda s, d: compare.removed_pairs(*_ab(s, d)))
 
 
+_CLS = "select shallow, bytes_hash, payload_hash, pixel_hash, video, count(*) as n, array_to_string(min(string_split(path, '/')), '/') as first from {t} where decoded group by 1, 2, 3, 4, 5"
+query("c5_class_verdicts", f"""with {AB}, x as ({_CLS.format(t='a')}), y as ({_CLS.format(t='b')})
+select x.shallow, x.first as a_first, y.first as b_first, x.n as a_n, y.n as b_n, {_VERDICT.format(a='x', b='y')} as verdict from x join y using (shallow)""")(lambda s, d: compare.class_pairs(*_ab(s, d)).select("shallow", "a_first", "b_first", "a_n", "b_n", "verdict"))
+query("c4_removed_files", f"with {PAIRS} select b, count(*) as candidates from marked where not proven group by b")(lambda s, d: compare.removed_files(*_ab(s, d)))
+
+
 def _dated_docs(files: DataFrame) -> DataFrame:
     return files.select("path", F.when(F.col("dated"), F.lit("2020-01-01")).alias("capture_date"))
 
 
 _ORIGINALS = "select path from b where decoded and shallow not in (select shallow from a where decoded) union select path from b where not decoded and dated"
 query("u3_originals", f"with {AB} {_ORIGINALS}")(lambda s, d: (lambda a, b: compare.originals(compare.compare_trees(a, b), _dated_docs(b)))(*_ab(s, d)))
-query("u4_promotion", f"with {PAIRS} {_ORIGINALS} union select b from marked where not proven")(lambda s, d: (lambda a, b: compare.promoted(compare.originals(compare.compare_trees(a, b), _dated_docs(b)), compare.removed_pairs(a, b)))(*_ab(s, d)))
+query("u4_promotion", f"with {PAIRS} {_ORIGINALS} union select b from marked where not proven")(lambda s, d: (lambda a, b: compare.promoted(compare.originals(compare.compare_trees(a, b), _dated_docs(b)), compare.removed_files(a, b)))(*_ab(s, d)))
 
 # --- duplicates -------------------------------------------------------------------------------------------------
 
