@@ -6,7 +6,8 @@ repeat of WINDOW words or more has a hit. Hits are then extended: the windows of
 compared by 96 bits of two hashes of their words (with the bucket's bits, which grow with the input, over 100), and runs of windows that also start in a document with a smaller doc_id are
 the maximal exact repeats; their words are removed. Windows are judged on the input, not on what is left.
 
-How it is dealt: documents are hashed into groups of about GROUP_BYTES. A group sends each distinct hash once, packed,
+How it is dealt: rows are hashed by id and text, so that rows of one id or without one are spread, into groups of about
+GROUP_BYTES. A group sends each distinct hash once, packed,
 to the bucket that the hash's upper bits name, so a passage of very many documents costs a bucket one entry a group, and
 no pairs of documents are ever formed. Buckets answer with the hashes that concern the group. Each of the three passes
 (probe, extend, remove) is stored in the shared folder, and its shuffle files are dropped before the next one begins.
@@ -240,7 +241,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     groups, buckets = _parts(size, GROUP_BYTES, 1 << 17), _parts(size // 6, BUCKET_ITEMS, 40_000)
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long").alias("gid"), F.col("doc_id"), F.col("text"))
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long").alias("gid"), F.col("doc_id"), F.col("text"))
     probes = dealt.groupBy("gid").applyInArrow(_probe(buckets), "bucket long, gid long, entries binary")
     hits = stage(probes.groupBy("bucket").applyInArrow(_hits, "gid long, bucket long, hits binary"), "hits")
     windows = dealt.groupBy("gid").cogroup(hits.groupBy("gid")).applyInArrow(_extend(buckets), "bucket long, gid long, keys binary, ids binary, counts binary")
