@@ -9,7 +9,7 @@ Limits: a line is removed if at least LEAST_DOCS distinct documents of its host
 of them or more than MAX_DOCS; a document is depleted if less than LEAST_LEFT of its words are left.
 
 Defined cases: null or empty text has no words and fails the base rules; a null host is a host of its own; very long
-texts are counted whole; repeated rows are judged alike; an empty table gives an empty result; other columns pass
+texts are counted whole; a line at exactly a limit's share stays; repeated rows are judged alike; an empty table gives an empty result; other columns pass
 through good_documents unchanged, whatever their names.
 """
 

@@ -12,7 +12,8 @@ fixed point, so they don't depend on the order of rows. Nothing is gathered on t
 
 Defined cases: a null url, or one without "://", has empty host and path, fits no rule and is allowed; urls are scored
 whole (all after "://", with query and fragment), however long; where one class has no URL there is no model and all
-that no rule blocks is allowed; repeated rows are judged alike; an empty table gives an empty result; other columns pass
+that no rule blocks is allowed; of cuts that are equally good the one nearest to 0 is taken, and a score at the cut is
+allowed; repeated rows are judged alike; an empty table gives an empty result; other columns pass
 through filter_urls' input unread.
 """
 
