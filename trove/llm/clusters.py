@@ -95,7 +95,7 @@ def resolve(
     if not more.isEmpty():
         labels = joined_labels(labels, more)
     able = None
-    for turn, (kind, own) in enumerate([features[0], *features]):  # the first kind again after its hubs
+    for turn, (kind, own) in enumerate(features):
         rest = left(rest if able is None else rest.join(able.select("id"), "id", "left_semi"), labels)
         if rest.isEmpty():
             return labels, links

@@ -8,7 +8,8 @@ similarity, not only with the overlap of sets.
 A candidate pair is a near copy if an alignment of its words inside a diagonal band, whose width follows from SIMILARITY,
 needs at most 1 - SIMILARITY edits for each word of the longer text. The alignment alone decides. It is the bit-parallel
 form of the banded edit distance, and is not begun where the words that both texts have are too few for it to succeed (an
-edit changes one word, so this bound is exact). Candidates beyond a bucket's hubs meet by pairs of neighbouring words, of
+edit changes one word, so this bound is exact). Counts of words by hash, BINS bytes a text, tell the same more weakly and
+spare most pairs that are not similar the way of their texts to a task. Candidates beyond a bucket's hubs meet by pairs of neighbouring words, of
 which an edit changes two, and then by words (see clusters.py).
 
 Equal word sequences are one class from the start. Classes are the components of the verified links. A document gets the
@@ -38,7 +39,7 @@ from trove.llm.common import SPACE_CHARS, chain, discard, hash_words, mix, stage
 
 SHINGLE, SIMILARITY, SKETCHES, ELL = 5, 0.8, 16, 2
 BROADCAST_IDS = 200_000  # contents of candidates that are sent to all executors, 16 bytes each; more are joined
-SALTS = 16
+SALTS, BINS = 16, 256
 _AT_ONCE = 1 << 20  # ranks that are held at a time
 _ROWS = 64  # documents at a time in a Python worker; verification holds as many pairs
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -94,17 +95,18 @@ def _documents(texts: pa.Array) -> Iterator[tuple[np.ndarray, bytes]]:
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, text, content, n_words, buckets); content is a 128-bit hash of the words themselves, in order."""
+    """(doc_id, text) to (doc_id, text, content, n_words, bins, buckets); content is a 128-bit hash of the words themselves, in order."""
     for b in batches:
         for at in range(0, b.num_rows, _ROWS):
             part = b.slice(at, _ROWS)
-            content, size, found = [], [], []
+            content, size, bins, found = [], [], [], []
             for words, text in _documents(part.column(1)):
                 content.append(blake2b(b" ".join(text.split()), digest_size=16).digest())
                 size.append(len(words))
+                bins.append(np.minimum(np.bincount((words >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
                 found.append(sketch(shingles(words)).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(content, pa.binary()), pa.array(size, pa.int32()), lists], ["doc_id", "text", "content", "n_words", "buckets"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(content, pa.binary()), pa.array(size, pa.int32()), pa.array(bins, pa.binary()), lists], ["doc_id", "text", "content", "n_words", "bins", "buckets"])
 
 
 def edit_distance_within(a: list[int], b: list[int], limit: int) -> int | None:
@@ -182,6 +184,15 @@ def _gram_batches(size: int):  # noqa: ANN202
     return run
 
 
+def _could_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n_a, n_b, bins_a, bins_b) to the (a, b) that their counts allow: an edit changes two counts by one at most."""
+    for part in batches:
+        n = part.num_rows
+        x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint8).reshape(n, BINS).astype(np.int16) for k in (4, 5))
+        high = np.maximum(part.column(2).to_numpy(), part.column(3).to_numpy())
+        yield part.select([0, 1]).filter(pa.array(np.abs(x - y).sum(axis=1, dtype=np.int64) <= 2 * np.floor((1 - SIMILARITY) * high + 1e-9)))
+
+
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, words_a, words_b) to the similar (a, b); a's words are kept while it stays the same."""
     last, words, labelled = None, np.empty(0, np.uint64), np.empty(0, np.uint64)
@@ -201,9 +212,9 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every row's doc_id, text_hash, content and n_words; every content's label and class_id."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", "text").mapInArrow(_sketch_batches, f"doc_id {kind}, text string, content binary, n_words int, buckets array<long>")
+    made = docs.select("doc_id", "text").mapInArrow(_sketch_batches, f"doc_id {kind}, text string, content binary, n_words int, bins binary, buckets array<long>")
     made = stage(made.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))), "sketches")
-    members = stage(made.groupBy("content").agg(F.min("doc_id").alias("first_id"), F.max("n_words").alias("n_words"), F.first("buckets").alias("buckets")), "contents")
+    members = stage(made.groupBy("content").agg(F.min("doc_id").alias("first_id"), F.max("n_words").alias("n_words"), F.first("bins").alias("bins"), F.first("buckets").alias("buckets")), "contents")
     buckets = members.filter("n_words > 0").select(F.col("content").alias("id"), F.col("n_words").alias("size"), F.explode("buckets").alias("bucket"))
 
     scratch: list[DataFrame] = []
@@ -222,7 +233,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs of one content are dealt over tasks, SALT_ROWS each."""
-        pairs = stage(pairs, "pairs")
+        of = lambda s: members.select(F.col("content").alias(s), F.col("n_words").alias(f"n_{s}"), F.col("bins").alias(f"bins_{s}"))
+        could = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bins_a", "bins_b")
+        pairs = stage(could.mapInArrow(_could_batches, "a binary, b binary"), "pairs")
         scratch.append(pairs)
         one = words_of(pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct())
         often = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
