@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from trove.functions.binding import let
 from trove.llm.clusters import resolve
-from trove.llm.common import stage
+from trove.llm.common import discard, stage
 
 #: Common words of English, French, German and Spanish.
 ANCHORS = """
@@ -88,7 +88,7 @@ def matched_sets(sets: DataFrame, least: float = 0.8) -> DataFrame:
     """
     members = sets.groupBy(set_print(F.col("spots")).alias("id")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("spots").alias("spots"))
     members = stage(members, "spot-sets")
-    each = stage(members.select("id", F.size("spots").alias("size"), F.explode("spots").alias("spot")), "spots")
+    each = members.select("id", F.size("spots").alias("size"), F.explode("spots").alias("spot"))
     seen = each.groupBy("spot").agg(F.count("*").alias("df")).filter("df > 1")  # a signature of one set brings no pair
     alone = each.join(seen, "spot")
     ranked = alone.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "spot")))
@@ -109,7 +109,9 @@ def matched_sets(sets: DataFrame, least: float = 0.8) -> DataFrame:
     labelled = members.select("id", "first_id", "rows").join(labels, "id", "left")
     named = stage(labelled.filter("rows > 1 or label is not null").select("id", "first_id", F.coalesce("label", "id").alias("label")), "spot-labels")
     smallest = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    return stage(named.join(smallest, "label").select(F.col("id").alias("print"), "class_id"), "spot-classes")
+    out = stage(named.join(smallest, "label").select(F.col("id").alias("print"), "class_id"), "spot-classes")
+    discard(members, named)
+    return out
 
 
 def with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -171,7 +173,9 @@ def beside_next(docs: DataFrame) -> DataFrame:
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    classes = matched_sets(stage(docs.select("doc_id", spot_set(F.col("text")).alias("spots")), "spot-rows"))
+    sets = stage(docs.select("doc_id", spot_set(F.col("text")).alias("spots")), "spot-rows")
+    classes = matched_sets(sets)
+    discard(sets)
     rows = beside_next(docs)
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
