@@ -56,11 +56,15 @@ def better_side(a_pixels: Column, a_bytes: Column, b_pixels: Column, b_bytes: Co
     return F.when(a_bytes > b_bytes, "a").when(b_bytes > a_bytes, "b").when(b_pixels > a_pixels, "b").otherwise("a")
 
 
+def band_cuts(threshold: int) -> list[tuple[int, int]]:
+    """First bit and end of each of threshold + 1 bands."""
+    n = threshold + 1
+    return [(64 * i // n, 64 * (i + 1) // n) for i in range(n)]
+
+
 def bands(signature: Column, threshold: int) -> Column:
     """Array of (band, bits): two signatures within threshold agree on one of threshold + 1 bands at least."""
-    n = threshold + 1
-    cuts = [64 * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(signature, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).alias("bits")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))])
+    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(signature, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).alias("bits")) for i, (lo, hi) in enumerate(band_cuts(threshold))])
 
 
 def band_pairs(p: Column, d: Column, p_limit: int, d_limit: int) -> Column:

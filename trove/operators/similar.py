@@ -1,10 +1,9 @@
 """Similar items by two 64-bit signatures within a Hamming distance.
 
 Item columns: path, kind (family; null ones are left out), phash, dhash, chroma (may be null), pixels, size; for exact
-copies also shallow, decoded, payload_hash. Up to BANDED_MAX the join is by bands: signatures within t agree on one of
-t + 1 bands, and similar items are near in both signatures, so an equi-join on (kind, a band of each) misses no pair.
-Above it bands are too short to prune, and signature classes (not items) meet by kind. Items are used more than once:
-give a stored table, whose signatures are computed (see layers.fill).
+copies also shallow, decoded, payload_hash. Near signatures are met by bands and compared in blocks (see near.py); groups
+and best matches compare signature classes, not items. Items are used more than once: give a stored table, whose
+signatures are computed (see layers.fill).
 """
 
 from __future__ import annotations
@@ -13,18 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trove.functions.paths import parts
-from trove.functions.signatures import DHASH_LIMIT, PHASH_LIMIT, band_pairs, better_side, chroma_compatible, distance, hashes_similar
+from trove.functions.signatures import DHASH_LIMIT, PHASH_LIMIT, better_side, distance
 from trove.operators.duplicates import exact_extras
 from trove.operators.graph import components
+from trove.operators.near import links_found, near, nearest_found, pairs_found
 
-BANDED_MAX = 12
 SIGNATURE = ("kind", "phash", "dhash", "chroma")
 
 
-def _near(p_limit: int, d_limit: int) -> Column:
-    return chroma_compatible(F.col("a_chroma"), F.col("b_chroma")) & hashes_similar(F.col("a_phash"), F.col("a_dhash"), F.col("b_phash"), F.col("b_dhash"), p_limit, d_limit)
-
-
 def signature_classes(items: DataFrame) -> DataFrame:
     """The distinct signatures, with id: items that share one are compared once."""
     key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in SIGNATURE])
@@ -35,25 +30,15 @@ def class_id() -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in SIGNATURE])
 
 
-def similar_classes(a: DataFrame, b: DataFrame, p_limit: int, d_limit: int) -> DataFrame:
-    """(a_id, b_id, distance) of similar signatures of two sets of classes, each pair once; equal ones too."""
-    side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in (*SIGNATURE, "id")])
-    x, y = side(a, "a"), side(b, "b")
-    if max(p_limit, d_limit) <= BANDED_MAX:
-        banded = lambda df, s: df.filter(f"{s}_dhash is not null").withColumn(f"{s}_band", F.explode(band_pairs(F.col(f"{s}_phash"), F.col(f"{s}_dhash"), p_limit, d_limit)))
-        found = banded(x, "a").join(banded(y, "b"), (F.col("a_kind") == F.col("b_kind")) & (F.col("a_band") == F.col("b_band"))).filter(_near(p_limit, d_limit))
-    else:
-        found = x.join(y, F.col("a_kind") == F.col("b_kind")).filter(_near(p_limit, d_limit))
-    return found.select("a_id", "b_id", distance(F.col("a_phash"), F.col("b_phash")).alias("distance")).distinct()
+def similar_links(classes: DataFrame, p_limit: int = PHASH_LIMIT, d_limit: int = DHASH_LIMIT) -> DataFrame:
+    """(a, b) of ids of similar signature classes: not all pairs, but links that connect what they connect."""
+    return near(classes.select(*SIGNATURE, "id"), None, p_limit, d_limit, links_found, "a long, b long")
 
 
 def similar_pairs(items: DataFrame, p_limit: int = PHASH_LIMIT, d_limit: int = DHASH_LIMIT) -> DataFrame:
     """(a, b, distance) of all similar pairs of one set, a before b."""
-    keyed = items.filter("kind is not null").withColumn("id", class_id())
-    classes = signature_classes(items)
-    found = similar_classes(classes, classes, p_limit, d_limit)
-    x, y = keyed.select(F.col("id").alias("a_id"), F.col("path").alias("a")), keyed.select(F.col("id").alias("b_id"), F.col("path").alias("b"))
-    return found.join(x, "a_id").join(y, "b_id").filter(parts(F.col("a")) < parts(F.col("b"))).select("a", "b", "distance")
+    named = items.filter("path is not null").select("path", *SIGNATURE)
+    return near(named, None, p_limit, d_limit, pairs_found, "a string, b string, distance long")
 
 
 def similar_groups(items: DataFrame, p_limit: int = PHASH_LIMIT, d_limit: int = DHASH_LIMIT) -> DataFrame:
@@ -63,9 +48,7 @@ def similar_groups(items: DataFrame, p_limit: int = PHASH_LIMIT, d_limit: int =
     """
     extras = exact_extras(items)
     rest = items.join(extras.select("path"), "path", "left_anti").filter("kind is not null").withColumn("id", class_id())
-    classes = signature_classes(rest)
-    near = similar_classes(classes, classes, p_limit, d_limit)
-    links = near.filter("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    links = similar_links(signature_classes(rest), p_limit, d_limit)
     labelled = rest.join(components(links), "id", "left").withColumn("group", F.coalesce("label", "id"))
     # items of one signature are a group, unless its second signature is missing: then they are not similar
     alone = F.when(F.col("dhash").isNull(), F.xxhash64("path")).otherwise(F.col("group"))
@@ -87,11 +70,12 @@ def exact_between(a: DataFrame, b: DataFrame) -> DataFrame:
 def best_matches(a: DataFrame, b: DataFrame, p_limit: int = PHASH_LIMIT, d_limit: int = DHASH_LIMIT) -> DataFrame:
     """For each b that is no exact copy its nearest a: by distance, then more pixels, then a's order; and which is better."""
     rest = b.join(exact_between(a, b).select("path"), "path", "left_anti").filter("kind is not null").withColumn("b_id", class_id())
-    ac, bc = signature_classes(a), signature_classes(rest)
-    near = similar_classes(ac, bc, p_limit, d_limit)
     # of an a-class only its best item can win
-    best_a = a.filter("kind is not null").withColumn("a_id", class_id()).groupBy("a_id").agg(F.min(F.struct((-F.col("pixels")).alias("x"), parts(F.col("path")).alias("p"), F.col("path").alias("a"), F.col("pixels").alias("a_pixels"), F.col("size").alias("a_bytes"))).alias("top"))
-    nearest = near.join(best_a, "a_id").groupBy("b_id").agg(F.min(F.struct("distance", "top")).alias("best"))
-    out = rest.join(nearest, "b_id").select(F.col("best.top.a").alias("a"), F.col("path").alias("b"), F.col("best.distance").alias("distance"), F.col("best.top.a_pixels").alias("a_pixels"), F.col("pixels").alias("b_pixels"), F.col("best.top.a_bytes").alias("a_bytes"), F.col("size").alias("b_bytes"))
+    first = F.struct((-F.col("pixels")).alias("x"), parts(F.col("path")).alias("p"), F.col("path"), F.col("pixels"), F.col("size"))
+    ac = a.filter("kind is not null").groupBy(*SIGNATURE).agg(F.min(first).alias("top")).select(*SIGNATURE, "top.path", "top.pixels", "top.size")
+    kind = {c: a.schema[c].dataType.simpleString() for c in ("path", "pixels", "size")}
+    found = near(ac, signature_classes(rest), p_limit, d_limit, nearest_found, f"b_id long, distance long, path {kind['path']}, pixels {kind['pixels']}, size {kind['size']}")
+    nearest = found.groupBy("b_id").agg(F.min(F.struct("distance", (-F.col("pixels")).alias("x"), parts(F.col("path")).alias("p"), "path", "pixels", "size")).alias("best"))
+    out = rest.join(nearest, "b_id").select(F.col("best.path").alias("a"), F.col("path").alias("b"), F.col("best.distance").alias("distance"), F.col("best.pixels").alias("a_pixels"), F.col("pixels").alias("b_pixels"), F.col("best.size").alias("a_bytes"), F.col("size").alias("b_bytes"))
     side = better_side(F.col("a_pixels"), F.col("a_bytes"), F.col("b_pixels"), F.col("b_bytes"))
     return out.withColumns({"a_is_better": side == "a", "b_is_better": side == "b", "removable": side == "a"})

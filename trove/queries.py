@@ -335,7 +335,7 @@ def signature_catalog(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("words"), F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).when(F.col("lang") == "de", 2).alias("kind"))
     hashed = signatures.simhashes(d, "doc_id", {"phash": F.col("words"), "dhash": F.transform("words", F.reverse)})
     s = d.select("doc_id", "kind").join(hashed, "doc_id", "left").select("doc_id", "kind", F.coalesce("phash", F.lit(0)).alias("phash"), F.coalesce("dhash", F.lit(0)).alias("dhash"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 4).cast("int").alias("chroma"))
-    items = doc_catalog(spark, sf).join(s, "doc_id")
+    items = doc_catalog(spark, sf).drop("payload").join(s, "doc_id")
     return stored(items, "signatures")  # the signature layer: computed once, then used
 
 
@@ -369,9 +369,7 @@ def a4_components(spark: SparkSession, sf: str) -> DataFrame:
 
     items = signature_catalog(spark, sf)
     rest = items.join(duplicates.exact_extras(items).select("path"), "path", "left_anti").filter("kind is not null").withColumn("id", similar.class_id())
-    classes = similar.signature_classes(rest)
-    near = similar.similar_classes(classes, classes, 6, 6).filter("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    labelled = rest.join(components(near), "id", "left").withColumn("group", F.coalesce("label", "id"))
+    labelled = rest.join(components(similar.similar_links(similar.signature_classes(rest))), "id", "left").withColumn("group", F.coalesce("label", "id"))
     return labelled.join(labelled.groupBy("group").agg(F.min("doc_id").alias("first")), "group").select("path", F.col("first").alias("label"))
 
 
