@@ -62,8 +62,8 @@ def render(template: Column, year: Column, month: Column, day: Column, about: Co
     return F.when(about == "", bare).otherwise(fill(about))
 
 
-def destination(path: Column, date: Column, root: Column, template: Column) -> Column:
-    """Where a file of that capture date goes; null without a date. A root that ends with the year is not given it again."""
+def destination(path: Column, date: Column, root: Column, template: Column, about: Column | None = None) -> Column:
+    """Where a file of that capture date goes; null without a date. A root that ends with the year is not given it again. about: its folder's description, if known."""
     folder = F.element_at(F.split(parent(path), "/"), -1)
 
     def placed(x: Column) -> Column:
@@ -73,7 +73,7 @@ def destination(path: Column, date: Column, root: Column, template: Column) -> C
         made = F.when(twice, F.regexp_replace(made, "^[^/]*/", "")).otherwise(made)
         return F.when(d.isNotNull(), F.concat_ws("/", root, F.when(made != "", made), file_name(path)))
 
-    return let(F.struct(date_parts(date).alias("d"), description(folder).alias("about")), placed)
+    return let(F.struct(date_parts(date).alias("d"), (description(folder) if about is None else about).alias("about")), placed)
 
 
 def event_folder(date: Column, root: Column, event: Column) -> Column:

@@ -10,17 +10,24 @@ from pyspark.sql import functions as F
 
 from trove.functions.hashes import verdict
 from trove.functions.paths import file_name, is_event_name, parent, parts, rebase, relative_to, split_event
-from trove.functions.templates import destination, event_folder
+from trove.functions.templates import description, destination, event_folder
 from trove.operators.duplicates import confirmed_groups
-from trove.plans.naming import claim_names, in_path_order
-from trove.sources.storage import stored
+from trove.plans.naming import base_name, claim_names, in_path_order
+from trove.sources.storage import discard, stored
 
 
 def _named(moves: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """moves (source, dir, name, seq, ...) with target: dir and a name that collides with none. A source is moved once."""
-    moves = moves.dropDuplicates(["dir", "seq"])
-    given = claim_names(moves, existing).select("dir", "seq", "given")
-    return moves.join(given, ["dir", "seq"]).withColumn("target", F.concat_ws("/", "dir", "given")).drop("given")
+    claim = F.xxhash64("dir", base_name(F.col("name")))  # equal hashes of other names only let more through
+    moves = stored(moves.dropDuplicates(["dir", "seq"]).withColumn("claim", claim), "moves")
+    there = None if existing is None else existing.withColumn("claim", claim)
+    all_claims = moves.select("claim") if there is None else moves.select("claim").unionByName(there.select("claim"))
+    crowd = stored(all_claims.groupBy("claim").agg(F.count("*").alias("n")).filter("n > 1").select("claim"), "crowd")
+    free = moves.join(crowd, "claim", "left_anti").withColumn("target", F.concat_ws("/", "dir", "name"))
+    met = moves.join(crowd, "claim", "left_semi")
+    given = claim_names(met, None if there is None else there.join(crowd, "claim", "left_semi")).select("dir", "seq", "given")
+    dealt = met.join(given, ["dir", "seq"]).withColumn("target", F.concat_ws("/", "dir", "given")).drop("given")
+    return free.unionByName(dealt).drop("claim")
 
 
 def canonical_folders(files: DataFrame) -> DataFrame:
@@ -121,9 +128,15 @@ def relocate_plan(files: DataFrame, root: str, new_root: str) -> DataFrame:
 
 def rehome_plan(verified: DataFrame, root: str, template: str) -> DataFrame:
     """source, target, days_off of the mismatches of operators/verify.py: where their capture date puts them."""
-    goal = destination(F.col("path"), F.col("exif_date"), F.lit(root), F.lit(template))
-    moves = verified.filter("status = 'mismatch'").select(F.col("path").alias("source"), parent(goal).alias("dir"), file_name(F.col("path")).alias("name"), "days_off").filter("dir is not null")
-    return _named(in_path_order(moves, "source")).select("source", "target", "days_off")
+    wrong = stored(verified.filter("status = 'mismatch'").select("path", parent(F.col("path")).alias("folder"), "exif_date", "days_off"), "mismatches")
+    # a folder's description is parsed once, its target found once a date, however many files
+    folders = stored(wrong.select("folder").distinct().withColumn("about", description(F.element_at(parts(F.col("folder")), -1))), "folders")
+    goal = destination(F.concat("folder", F.lit("/file")), F.col("exif_date"), F.lit(root), F.lit(template), F.col("about"))
+    aims = stored(wrong.select("folder", "exif_date").distinct().join(folders, "folder").select("folder", "exif_date", parent(goal).alias("dir")), "aims").filter("dir is not null")
+    moves = wrong.join(aims, ["folder", "exif_date"]).select(F.col("path").alias("source"), "dir", file_name(F.col("path")).alias("name"), "days_off")
+    named = _named(in_path_order(moves, "source")).select("source", "target", "days_off")
+    discard(wrong, folders)
+    return named
 
 
 def purgatory_plan(files: DataFrame, root: str, purgatory: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trove.functions.paths import parts
@@ -39,6 +39,11 @@ class Names:
         return out
 
 
+def base_name(name: Column) -> Column:
+    """A name without case and made-up numbers: names can collide in a folder only if these are equal."""
+    return F.regexp_replace(F.lower(name), r"( \([0-9]+\))+(?=(\.[^.]*)?$)", "")
+
+
 def claim_names(claims: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """dir, seq, name and the name given, in order of seq in each folder. existing: (dir, name) already there.
 
@@ -47,7 +52,7 @@ def claim_names(claims: DataFrame, existing: DataFrame | None = None) -> DataFra
     """
     claims = claims.select("dir", "seq", "name")
     there = existing.select("dir", "name") if existing is not None else claims.select("dir", "name").limit(0)
-    base = F.regexp_replace(F.lower("name"), r"( \([0-9]+\))+(?=(\.[^.]*)?$)", "")
+    base = base_name(F.col("name"))
     rows = claims.withColumn("old", F.lit(False)).unionByName(there.withColumns({"seq": F.lit(-1).cast(claims.schema["seq"].dataType), "old": F.lit(True)})).withColumn("base", base)
     crowd = rows.groupBy("dir", "base").agg(F.count("*").alias("n"))
     rows = rows.join(crowd, ["dir", "base"])
