@@ -381,6 +381,36 @@ def test_near_classes(spark):
     assert kept == sorted({c for k, c in got.items() if words[k]} | {200, 201})
 
 
+def test_leftover_texts_meet_in_blocks(spark, monkeypatch):
+    """One bucket of texts that share about four fifths, in one block and in several: links join what brute force joins. Texts are not stored again."""
+    rng = random.Random(41)
+    base, texts = [f"p{k}" for k in range(60)], []
+    for k in range(26):
+        own = [f"o{rng.randrange(40)}" for _ in range(rng.choice((8, 14, 18, 24)))]
+        texts.append(base[: 50 + k % 10] + own if k % 2 else own + base)
+    words = [hash_words(np.frombuffer(" ".join(t).encode(), np.uint8))[2][0] for t in texts]
+    want = classes([(a, b) for a, b in itertools.combinations(range(26), 2) if aligned(texts[a], texts[b])], range(26))
+    assert 1 < len(set(want.values())) < 26
+    for blocks in (1, 3):
+        cells = [(7, min(k % blocks, j), max(k % blocks, j), k % blocks, k) for k in range(26) for j in range(blocks)]
+        counts = [np.minimum(np.bincount((w >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for w in words]
+        rows = pa.table({
+            **{c: pa.array([x[n] for x in cells], pa.int32() if n else pa.int64()) for n, c in enumerate(("bucket", "low", "high", "block"))},
+            "id": pa.array([bytes([x[4]]) for x in cells], pa.binary()), "size": pa.array([len(texts[x[4]]) for x in cells], pa.int32()),
+            "label": pa.array([bytes([x[4]]) for x in cells], pa.binary()), "bins": pa.array([counts[x[4]] for x in cells], pa.binary()),
+            "buckets": pa.array([[7] * 16 for _ in cells], pa.list_(pa.int64())),
+        })
+        partners = {r["id"][0] for r in order_minhash._blocks(rows).to_pylist()}
+        links = order_minhash._blocks(rows.append_column("words", pa.array([words[x[4]].tobytes() for x in cells], pa.binary()))).to_pylist()
+        assert classes([(r["a"][0], r["b"][0]) for r in links], range(26)) == want
+        assert {k for r in links for k in (r["a"][0], r["b"][0])} <= partners
+        assert blocks > 1 or len(links) == 26 - len(set(want.values()))
+    stored, kept = [], order_minhash.stage
+    monkeypatch.setattr(order_minhash, "stage", lambda df, name: stored.append(df.columns) or kept(df, name))
+    order_minhash.near_classes(frame(spark, ROWS))
+    assert not any("text" in c for c in stored)
+
+
 def test_recall_of_candidates():
     """Pairs at all edit similarities from 0.85 on; more than 0.9 of them share a bucket."""
     rng = random.Random(15)

@@ -4,7 +4,7 @@ A bucket's members are first compared with one hub, the member that shares bucke
 where that leaves the bucket split, and where it still is with the most typical member of its largest components (the one
 whose features most others have). Verified links are joined into components; later links join components, not records.
 Members of a bucket that are in one component need no more comparison. What is left, pairs across the components of a
-bucket, is met by features, one kind after the other: similar records must share some number k of their n features. A
+bucket, is met by what the caller gives (Order MinHash: counts of words, compared by vectors) or by features, one kind after the other: similar records must share some number k of their n features. A
 record that has fewer than k features in common with all others together is out. Of the last kind, with features ordered
 from rare to common, similar records share one of the first n - k + 1 of each. So no link between candidates of a bucket
 is lost, and a large group of copies costs about as many comparisons as it has members. A feature of many records is
@@ -18,19 +18,40 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from trove.llm.common import discard, stage
-from trove.operators.graph import components
+from trove.operators.graph import components as contracted
 
 HUBS = 3  # members of a bucket that all others are compared with: one at first, the others where it is still split
+FEW_LINKS = 20_000  # links of two ids of up to 16 bytes that the driver takes in at once
 SALT_ROWS = 500  # records of one feature that meet others in one task
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(id, label) of all ids in links (a, b). Few links, whose number is known, are joined at once by the driver, more by rounds of tables."""
+    links = stage(links.select("a", "b").distinct(), "links")
+    if links.count() > FEW_LINKS:
+        return contracted(links)
+    up: dict = {}
+
+    def root(x):  # noqa: ANN001, ANN202
+        while (above := up.setdefault(x, x)) != x:
+            up[x] = x = up[above]
+        return x
+
+    for a, b in links.collect():
+        low, high = sorted((root(a), root(b)))
+        up[high] = low
+    kind = links.schema["a"].dataType
+    return links.sparkSession.createDataFrame([(x, root(x)) for x in list(up)], StructType([StructField("id", kind), StructField("label", kind)]))
+
+
 def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (id, label) after more links (a, b): components of the links between labels, laid over the old labels."""
     names = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
     own = links.join(names("a"), "a", "left").join(names("b"), "b", "left")
-    over = stage(components(stage(own.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")), "links")), "labels")
+    over = stage(components(own.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))), "labels")
     new = over.select(F.col("id").alias("old"), F.col("label").alias("new"))
     moved = labels.join(new, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label"))
     return stage(moved.unionByName(over.join(labels, "id", "left_anti").select("id", "label")), "labels")
@@ -43,13 +64,16 @@ def resolve(
     features: list[tuple[Callable[[DataFrame], DataFrame], Callable[[Column], Column]]],
     both: Callable[[Column, Column], Column],
     done: Callable[[], None] = lambda: None,
+    meet: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(id, label) of all ids with a link, and the verified links (a, b).
 
     buckets: (bucket, id, size); verify: pairs (a, b) to the rows of them that are similar; ratio: sizes of similar records
     are not further apart; features: kinds of features, each with a function of ids to (id, features), an array of whole
     numbers, and one that tells how many of them a record of so many shares at least with any similar one; both: the same
-    for the last kind, by the numbers of two records; done: called when what verify or features gave has been stored.
+    for the last kind, by the numbers of two records; done: called when what verify or features gave has been stored;
+    meet: in place of features, a function of what is left (bucket, id, size, label) to verified links (a, b) that join
+    all labels which similar members of a bucket have.
     """
     alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * ratio - 1e-9
     size_class = F.floor(F.log(F.col("size").cast("double")) / (math.log(1 / ratio) + 1e-6))  # alike sizes are in one or in neighbouring ones
@@ -94,6 +118,13 @@ def resolve(
     links, tried = links.unionByName(more), tried.unionByName(pairs)
     if not more.isEmpty():
         labels = joined_labels(labels, more)
+    if meet is not None:
+        rest = left(rest, labels)
+        if rest.isEmpty():
+            return labels, links
+        more = kept(meet(rest), "verified")
+        links = links.unionByName(more)
+        return (joined_labels(labels, more), links) if not more.isEmpty() else (labels, links)
     able = None
     for turn, (kind, own) in enumerate(features):
         rest = left(rest if able is None else rest.join(able.select("id"), "id", "left_semi"), labels)

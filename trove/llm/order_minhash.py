@@ -9,8 +9,9 @@ A candidate pair is a near copy if an alignment of its words inside a diagonal b
 needs at most 1 - SIMILARITY edits for each word of the longer text. The alignment alone decides. It is the bit-parallel
 form of the banded edit distance, and is not begun where the words that both texts have are too few for it to succeed (an
 edit changes one word, so this bound is exact). Counts of words by hash, BINS bytes a text, tell the same more weakly and
-spare most pairs that are not similar the way of their texts to a task. Candidates beyond a bucket's hubs meet by pairs of neighbouring words, of
-which an edit changes two, and then by words (see clusters.py).
+spare most pairs that are not similar the way of their texts to a task. Candidates beyond a bucket's hubs (see clusters.py)
+are compared by these counts in blocks of their bucket; where they leave partners, their texts are sent to the block, which
+counts words more finely and aligns what is left, but not what its links connect already.
 
 Equal word sequences are one class from the start. Classes are the components of the verified links. A document gets the
 smallest doc_id of its class as class id.
@@ -21,17 +22,17 @@ more share a bucket (tests/llm measures it on a planted corpus).
 Defined cases: documents of fewer than five words are shingled as one whole; documents without words (null text too)
 are one class of equals in the class table, and are all kept by first_of_each; repeated rows share a class; ties in hash
 are broken by place; a null doc_id is never a class id unless all ids of the class are null; very long texts are taken
-whole; an empty table gives an empty result; other columns pass through first_of_each, whatever their names.
+whole; the rows are read again, by a hash of the text, where texts are needed; an empty table gives an empty result; other columns pass through first_of_each, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
+from hashlib import blake2b, md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trove.llm.clusters import SALT_ROWS, resolve
@@ -41,6 +42,9 @@ SHINGLE, SIMILARITY, SKETCHES, ELL = 5, 0.8, 16, 2
 BROADCAST_IDS = 200_000  # contents of candidates that are sent to all executors, 16 bytes each; more are joined
 SALTS, BINS = 16, 256
 _AT_ONCE = 1 << 20  # ranks that are held at a time
+BLOCK_ROWS = 400  # members of a bucket in one block; larger buckets are compared block by block
+BLOCK_WORDS = 400_000  # words in one block, 8 bytes each
+GROUP_ROWS, FINE_BINS = 1000, 4096  # rows of blocks that a Python worker takes at a time; finer counts, taken there
 _ROWS = 64  # documents at a time in a Python worker; verification holds as many pairs
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -69,6 +73,9 @@ def label(values: np.ndarray) -> np.ndarray:
     return chain(occurrences(values), values)
 
 
+relabel = label  # under a name that columns do not take
+
+
 def sketch(grams: np.ndarray, seeds: np.ndarray = _SEEDS, ell: int = ELL) -> np.ndarray:
     """One bucket for each seed: the hash of the ell labelled k-mers of least hash, in text order."""
     if not len(grams):
@@ -94,19 +101,24 @@ def _documents(texts: pa.Array) -> Iterator[tuple[np.ndarray, bytes]]:
         yield hash_words(data[lo:hi])[2][0], data[lo:hi].tobytes()
 
 
+def content_of(text: bytes) -> bytes:
+    return blake2b(b" ".join(text.split()), digest_size=16).digest()
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, text, content, n_words, bins, buckets); content is a 128-bit hash of the words themselves, in order."""
+    """(doc_id, text) to (doc_id, key, content, n_words, bins, buckets); key and content are 128-bit hashes of the text and of its words themselves, in order."""
     for b in batches:
         for at in range(0, b.num_rows, _ROWS):
             part = b.slice(at, _ROWS)
-            content, size, bins, found = [], [], [], []
+            key, content, size, bins, found = [], [], [], [], []
             for words, text in _documents(part.column(1)):
-                content.append(blake2b(b" ".join(text.split()), digest_size=16).digest())
+                key.append(md5(text, usedforsecurity=False).digest())
+                content.append(content_of(text))
                 size.append(len(words))
                 bins.append(np.minimum(np.bincount((words >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
                 found.append(sketch(shingles(words)).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(content, pa.binary()), pa.array(size, pa.int32()), pa.array(bins, pa.binary()), lists], ["doc_id", "text", "content", "n_words", "bins", "buckets"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.binary()), pa.array(content, pa.binary()), pa.array(size, pa.int32()), pa.array(bins, pa.binary()), lists], ["doc_id", "key", "content", "n_words", "bins", "buckets"])
 
 
 def edit_distance_within(a: list[int], b: list[int], limit: int) -> int | None:
@@ -164,24 +176,83 @@ def similar(a: np.ndarray, b: np.ndarray, labelled_a: np.ndarray, labelled_b: np
 
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(content, text) to (content, words): the hashes of its words, eight bytes each."""
+    """(text) to (content, words): the hashes of its words, eight bytes each."""
     for batch in batches:
         for at in range(0, batch.num_rows, _ROWS):
             part = batch.slice(at, _ROWS)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([w.tobytes() for w, _ in _documents(part.column(1))], pa.binary())], ["content", "words"])
+            found = [(content_of(text), words.tobytes()) for words, text in _documents(part.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["content", "words"])
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _gram_batches(size: int):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(content, words) to (id, features): its labelled runs of `size` words, 32 bits each (equal bits only let more through)."""
-        for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                found = [label(window_hashes(np.frombuffer(w, np.uint64), size)).astype(np.uint32).view(np.int32) for w in part.column(1).to_pylist()]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32()), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "features"])
+def _fine(words: np.ndarray) -> np.ndarray:
+    return np.minimum(np.bincount((words >> np.uint64(52)).astype(np.int64), minlength=FINE_BINS), 255).astype(np.uint8)
 
-    return run
+
+def _blocks(rows: pa.Table) -> pa.Table:
+    """(bucket, low, high, block, id, size, label, bins, buckets[, words]) to what may be similar across labels.
+
+    A cell holds blocks low and high of a bucket; a pair is looked at in the bucket of the first sketch that both share.
+    Without words: the (bucket, id) that have a partner by their counts. With words: verified links (a, b), but none
+    between what links of the cell connect already.
+    """
+    cell = np.stack([rows.column(k).to_numpy() for k in ("bucket", "low", "high")])
+    size, block = rows.column("size").to_numpy(), rows.column("block").to_numpy()
+    order = np.lexsort((size, *cell[::-1]))
+    cell, size, block = cell[:, order], size[order], block[order]
+    label = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()[order]
+    bins = _matrix(rows.column("bins"), BINS)[order]
+    counted = bins.sum(axis=1, dtype=np.int64)
+    sketches = rows.column("buckets").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)[order]
+    words = [np.frombuffer(w, np.uint64) for w in rows.column("words").take(pa.array(order)).to_pylist()] if "words" in rows.column_names else None
+    cuts = np.flatnonzero(np.concatenate(([True], (cell[:, 1:] != cell[:, :-1]).any(axis=0), [True])))
+    found, links = np.zeros(len(order), bool), []
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        bucket, low, high = cell[:, lo].tolist()
+        ends = lo + np.searchsorted(size[lo:hi], (size[lo:hi] + 1e-6) / SIMILARITY, "right")
+        fine, up, labelled = None, {}, {}
+
+        def root(x):  # noqa: ANN001, ANN202
+            while (above := up.setdefault(x, x)) != x:  # noqa: B023
+                up[x] = x = up[above]  # noqa: B023
+            return x
+
+        for i in range(lo, hi - 1):
+            other = label[i + 1 : ends[i - lo]] != label[i]
+            if low != high:
+                other &= block[i + 1 : ends[i - lo]] != block[i]
+            at = i + 1 + np.flatnonzero(other)
+            limit = 2 * np.floor((1 - SIMILARITY) * size[at] + 1e-9)
+            near = counted[i] + counted[at] - 2 * np.minimum(bins[at], bins[i]).sum(axis=1, dtype=np.int64) <= limit
+            at, limit = at[near], limit[near]
+            if not len(at):
+                continue
+            first = (sketches[at] == sketches[i]).argmax(axis=1)
+            here = (sketches[at, first] == sketches[i, first]) & (sketches[i, first] == bucket)
+            at, limit = at[here], limit[here]
+            if words is None:
+                found[at] = True
+                found[i] |= bool(len(at))
+                continue
+            if fine is None:
+                fine = np.stack([_fine(w) for w in words[lo:hi]])
+                total = fine.sum(axis=1, dtype=np.int64)
+            at = at[total[i - lo] + total[at - lo] - 2 * np.minimum(fine[at - lo], fine[i - lo]).sum(axis=1, dtype=np.int64) <= limit]
+            for k in at.tolist():
+                x, y = root(int(label[i])), root(int(label[k]))
+                if x != y:
+                    one, two = (labelled[m] if m in labelled else labelled.setdefault(m, relabel(words[m])) for m in (i, k))
+                    if similar(words[i], words[k], one, two):
+                        links.append((i, k))
+                        up[max(x, y)] = min(x, y)
+    ids = rows.column("id").combine_chunks().take(pa.array(order))
+    if words is None:
+        return pa.table({"bucket": pa.array(cell[0][found]), "id": ids.filter(pa.array(found))})
+    a, b = (ids.take(pa.array([x[k] for x in links], pa.int64())) for k in (0, 1))
+    return pa.table({"a": a, "b": b})
 
 
 def _could_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,12 +280,17 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def text_key() -> Column:
+    """128 bits that tell texts apart, as _sketch_batches has them."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every row's doc_id, text_hash, content and n_words; every content's label and class_id."""
+    """Every row's doc_id, key, content and n_words; every content's label and class_id."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", "text").mapInArrow(_sketch_batches, f"doc_id {kind}, text string, content binary, n_words int, bins binary, buckets array<long>")
-    made = stage(made.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))), "sketches")
-    members = stage(made.groupBy("content").agg(F.min("doc_id").alias("first_id"), F.max("n_words").alias("n_words"), F.first("bins").alias("bins"), F.first("buckets").alias("buckets")), "contents")
+    made = docs.select("doc_id", "text").mapInArrow(_sketch_batches, f"doc_id {kind}, key binary, content binary, n_words int, bins binary, buckets array<long>")
+    made = stage(made, "sketches")
+    members = stage(made.groupBy("content").agg(F.min("key").alias("key"), F.min("doc_id").alias("first_id"), F.max("n_words").alias("n_words"), F.first("bins").alias("bins"), F.first("buckets").alias("buckets")), "contents")
     buckets = members.filter("n_words > 0").select(F.col("content").alias("id"), F.col("n_words").alias("size"), F.explode("buckets").alias("bucket"))
 
     scratch: list[DataFrame] = []
@@ -225,10 +301,10 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def words_of(ids: DataFrame) -> DataFrame:
         """content and words of some contents."""
-        ids = stage(ids, "asked")
+        ids = stage(members.select("content", "key").join(ids, "content", "left_semi").select("key"), "asked")
         small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # the size is known to be small
-        found = made.select("content", "text").join(F.broadcast(ids) if small else ids, "content", "left_semi").dropDuplicates(["content"])
-        scratch.extend((ids, stage(found.mapInArrow(_word_batches, "content binary, words binary"), "words")))
+        found = docs.select(text_key().alias("key"), "text").join(F.broadcast(ids) if small else ids, "key", "left_semi").dropDuplicates(["key"])
+        scratch.extend((ids, stage(found.select("text").mapInArrow(_word_batches, "content binary, words binary"), "words")))
         return scratch[-1]
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -243,18 +319,31 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         full = pairs.join(often, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int")).join(one.withColumnsRenamed({"content": "b", "words": "words_b"}), "b").join(left, ["a", "salt"])
         return full.select("a", "b", "words_a", "words_b").mapInArrow(_verify_batches, "a binary, b binary")
 
-    def grams(size: int):  # noqa: ANN202
-        return lambda ids: words_of(ids.select(F.col("id").alias("content"))).mapInArrow(_gram_batches(size), "id binary, features array<int>")
-
-    # of m runs of k words, those of m + k - 1 words, no more than k an edit are lost
-    kept = lambda k: lambda m: m - (m + k - 1) * k * (1 - SIMILARITY)
-    labels, _ = resolve(buckets, verify, SIMILARITY, [(grams(2), kept(2)), (grams(1), kept(1))], lambda x, y: kept(1)(F.greatest(x, y)), clean)
+    def cells(rest: DataFrame, facts: DataFrame) -> DataFrame:
+        """rest with facts, grouped; a large bucket is dealt into blocks, and each two of these meet in a cell."""
+        many = rest.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_WORDS)).cast("int").alias("blocks"))
+        rows, words = rest.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).head()
+        groups = rows // GROUP_ROWS + words // BLOCK_WORDS + 1
+        dealt = rest.join(many, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumns({"low": F.least("block", "beside"), "high": F.greatest("block", "beside")}).drop("blocks", "beside").join(facts, "id")
+        return dealt.groupBy(F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(groups)))
+
+    def meet(rest: DataFrame) -> DataFrame:
+        """The links of what is left: blocks are first compared by counts of words, then the texts that have a partner by these are sent."""
+        facts = members.select(F.col("content").alias("id"), "bins", "buckets")
+        some = cells(rest, facts).applyInArrow(_blocks, "bucket long, id binary").distinct()
+        some = stage(rest.join(some, ["bucket", "id"], "left_semi"), "partners")
+        words = words_of(some.select(F.col("id").alias("content")).distinct()).withColumnRenamed("content", "id")
+        scratch.append(some)
+        return cells(some, facts.join(words, "id")).applyInArrow(_blocks, "a binary, b binary")
+
+    labels, _ = resolve(buckets, verify, SIMILARITY, [], lambda x, y: F.lit(0), clean, meet)
     named = stage(members.join(labels.withColumnRenamed("id", "content"), "content", "left").select("content", "first_id", F.coalesce("label", "content").alias("label")), "labelled")
     # the members of a large class are dealt over SALTS tasks
     salt = F.pmod(F.xxhash64("content"), F.lit(SALTS)).cast("int")
     smallest = named.groupBy("label").agg(F.min("first_id").alias("least"), F.count("*").alias("n")).filter("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("n")
     joined = named.withColumn("salt", salt).join(smallest.withColumn("many", F.lit(True)), ["label", "salt"], "left")
-    return made.select("doc_id", "text_hash", "content", "n_words"), joined.select("content", "label", F.when(F.col("many"), F.col("least")).otherwise(F.col("first_id")).alias("class_id"))
+    return made.select("doc_id", "key", "content", "n_words"), joined.select("content", "label", F.when(F.col("many"), F.col("least")).otherwise(F.col("first_id")).alias("class_id"))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -266,11 +355,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id (among rows of one id and text, one). Rows without words stay."""
     rows, named = _classes(docs)
-    first = rows.filter("n_words > 0").join(named, "content").groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
-    first = stage(first.select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash")).distinct(), "firsts")
-    wide = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), (F.translate(F.coalesce("text", F.lit("")), SPACE_CHARS, "") == "").alias("blank"))
-    kept = wide.filter("not blank").join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")), "left_semi")
-    one = kept.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(1)))).filter("n = 1").select("row")
+    first = rows.filter("n_words > 0").join(named, "content").groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.*")
+    first = stage(first.select(F.col("doc_id").alias("first_id"), F.col("key").alias("first_key")).distinct(), "firsts")
+    wide = docs.select(F.struct("*").alias("row"), F.col("doc_id"), text_key().alias("key"), (F.translate(F.coalesce("text", F.lit("")), SPACE_CHARS, "") == "").alias("blank"))
+    kept = wide.filter("not blank").join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")), "left_semi")
+    one = kept.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(F.lit(1)))).filter("n = 1").select("row")
     return one.unionByName(wide.filter("blank").select("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
