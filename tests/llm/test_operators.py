@@ -233,6 +233,24 @@ def test_units_do_not_depend_on_their_neighbours():
     assert v.decode(pieces, at) == [text.encode(), b"", text.encode()]
 
 
+def test_units_are_filtered_once(monkeypatch):
+    """Chunks after the first filter new units only; pieces are the same as where each chunk begins anew."""
+    v = sentence_pieces.Vocabulary(sentence_pieces.read_model())
+    rng = random.Random(31)
+    chunks = [[prose(rng, 200) for _ in range(4)] for _ in range(3)]
+    filtered, once = [], sentence_pieces._filter
+    monkeypatch.setattr(sentence_pieces, "_filter", lambda v, units, alpha: filtered.extend(units) or once(v, units, alpha))
+    keys = np.arange(4)
+    got = [sentence_pieces.segment(v, c, keys) for c in chunks]
+    assert len(filtered) == len(set(filtered))
+    monkeypatch.setattr(sentence_pieces, "_HELD_EDGES", 0)
+    for c, (pieces, at) in zip(chunks, got, strict=True):
+        again = sentence_pieces.segment(v, c, keys)
+        assert (again[0].tolist(), again[1].tolist()) == (pieces.tolist(), at.tolist())
+    assert len(filtered) > len(set(filtered))
+    assert v.decode(*got[2]) == [t.encode() for t in chunks[2]]
+
+
 def test_segmentation_round_trip(spark):
     docs = frame(spark, ROWS).withColumn("pieces", F.lit("clash"))
     made = sentence_pieces.encode_documents(docs)

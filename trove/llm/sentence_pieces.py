@@ -4,7 +4,7 @@ The lattice of a text has an edge for each vocabulary piece that matches at each
 (by its rank in the model, raised to alpha). The forward pass sums the weights of all paths up to each place, the
 backward pass draws edges from the end in proportion, so a segmentation comes with its probability, each draw's in whole multiples of 2**-32. No piece
 reaches over the start of a run of spaces or over a line break, so the lattice falls into units (a word with the spaces
-before it); a chunk's distinct units are filtered once, all together, and every occurrence is sampled by itself.
+before it); a worker filters each distinct unit once, a chunk's new ones together, and every occurrence is sampled by itself.
 
 Draws are hashes of seed, row key, unit and step, and are compared with whole numbers that a unit gets from its own
 characters alone: a row's segmentation is the same in every run, however the table is dealt. Characters without a piece are spelled in byte pieces, as is the piece alphabet's own space mark, so decoding
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 1.0, 11
 DRAW_BITS = 32  # chances are whole multiples of 2**-32
 _CHUNK_CHARS = 1 << 21
+_HELD_EDGES = 6_000_000  # 16 bytes each; a worker that holds more starts anew
 _UNIT = re.compile(r"\n| *[^ \n]+| +")
 _MARK = "▁"
 _UNKNOWN = 1 << 24  # ids from here on stand for a code point that is spelled in bytes
@@ -51,6 +53,7 @@ class Vocabulary:
     def __init__(self, model: bytes) -> None:
         import sentencepiece
 
+        self._ladders: _Ladders | None = None
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.vocab_size()
         pieces, self.bytes_of, self.byte_id = {}, [], np.full(256, -1, np.int64)
@@ -91,6 +94,13 @@ class Vocabulary:
         self.start_of = np.concatenate(([0], np.cumsum(self.size_of)))
         self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
+    def ladders(self, alpha: float) -> _Ladders:
+        """Those of the chunks before, or new ones where these have grown large or were cut short."""
+        held = self._ladders
+        if held is None or held.alpha != alpha or len(held.made[2]) > _HELD_EDGES or len(held.numbers) > len(held.made[0]):
+            held = self._ladders = _Ladders(self, alpha)
+        return held
+
     def lattice(self, codes: np.ndarray, unit_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """start, length and id of all edges over a row of units; unit_end: where each character's unit ends."""
         letters = self.letters[codes]
@@ -156,7 +166,8 @@ def _filter(vocabulary: Vocabulary, units: list[str], alpha: float) -> tuple[np.
     end = start + size
     begin = first[owner[start]]
     depth = end - begin
-    order = np.lexsort((end, depth))
+    wide = 1 + int(size.max(initial=0))
+    order = np.argsort((depth * (len(codes) + 1) + end) * wide + size)  # no two edges have equal keys; a unit's are in one order, whatever stands beside it
     start, end, weight, ids, size, depth = start[order], end[order], weight[order], ids[order], size[order], depth[order]
     begins = start == first[owner[start]]
     total = np.zeros(len(codes) + 1)  # by the place where paths end; a unit's own beginning counts as 0
@@ -169,7 +180,7 @@ def _filter(vocabulary: Vocabulary, units: list[str], alpha: float) -> tuple[np.
         spread = np.diff(np.append(at, hi - lo))
         total[end[lo:hi][at]] = high + np.log(np.add.reduceat(np.exp(v - np.repeat(high, spread)), at))
         value[lo:hi] = v
-    order = np.argsort(end, kind="stable")
+    order = np.argsort(end * wide + size)
     end, ids, size, value = end[order], ids[order], size[order], value[order]
     chance = np.exp(value - total[end])
     at = np.flatnonzero(np.diff(end, prepend=-1))
@@ -184,22 +195,41 @@ def _filter(vocabulary: Vocabulary, units: list[str], alpha: float) -> tuple[np.
     return first, length, (end << DRAW_BITS) + steps, size, ids
 
 
+class _Ladders:
+    """Units that a worker has met and what _filter gives for them, so that later chunks filter new ones only."""
+
+    def __init__(self, vocabulary: Vocabulary, alpha: float) -> None:
+        self.vocabulary, self.alpha, self.places = vocabulary, alpha, 0
+        self.numbers = _Numbers()
+        self.made = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32))
+
+    def filled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What _filter gives for all units, once those without it have got it."""
+        new = list(islice(self.numbers, len(self.made[0]), None))
+        if new:
+            first, length, ladder, size, ids = _filter(self.vocabulary, new, self.alpha)
+            made = (first + self.places, length, ladder + (self.places << DRAW_BITS), size.astype(np.int32), ids.astype(np.int32))
+            self.made = tuple(np.concatenate(x) for x in zip(self.made, made, strict=True))
+            self.places += int(length.sum())
+        return self.made
+
+
 def segment(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, alpha: float = ALPHA, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Sampled pieces of all texts in a row, and each text's first (with the end of the last)."""
-    numbers = _Numbers()
-    numbered = [np.fromiter(map(numbers.__getitem__, _UNIT.findall(" " + t if t else "")), np.int64) for t in texts]
+    held = vocabulary.ladders(alpha)
+    numbered = [np.fromiter(map(held.numbers.__getitem__, _UNIT.findall(" " + t if t else "")), np.int64) for t in texts]
     count = np.array([len(x) for x in numbered], np.int64)
     offsets = np.concatenate(([0], np.cumsum(count)))
     unit = np.concatenate([*numbered, np.empty(0, np.int64)])
     if not len(unit):
         return np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    first, length, ladder, size, ids = _filter(vocabulary, list(numbers), alpha)
+    first, length, ladder, size, ids = held.filled()
     rows = mix(keys.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
     place = np.arange(len(unit)) - np.repeat(offsets[:-1], count)
     stream = mix(np.repeat(rows, count) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     begin = first[unit]
     at = begin + length[unit]
-    live = np.arange(len(unit))
+    live = np.argsort(unit)  # occurrences of a unit together, so that a step reads the ladder from its beginning to its end
     steps, drawn, n = [], [], np.zeros(len(unit), np.int64)
     step = 0
     while len(live):
