@@ -187,6 +187,17 @@ def test_spot_classes(spark):
     assert got == classes(pairs, sets)
 
 
+def test_signatures_bear_short_ids(spark, monkeypatch):
+    """What is exploded and shuffled names its set by a number, and classes are as by hand."""
+    stored, kept = {}, spotsigs.stage
+    monkeypatch.setattr(spotsigs, "stage", lambda df, name: stored.setdefault(name, dict(df.dtypes)) and kept(df, name))
+    rows = near_rows()[:8]
+    sets = {k: spots_by_hand(t) for k, t, _ in rows}
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert {r.doc_id: r.class_id for r in spotsigs.match_documents(frame(spark, rows)).collect()} == classes(pairs, sets)
+    assert stored["spot-sets"]["id"] == "bigint"
+
+
 # --- 3
 
 

@@ -86,8 +86,9 @@ def matched_sets(sets: DataFrame, least: float = 0.8) -> DataFrame:
     A class is joined by pairs at least as like as `least`; its class_id is the smallest doc_id of its rows. Sets meet
     inside a partition of their length class and the one above it, under one of their rarest signatures.
     """
-    members = sets.groupBy(set_print(F.col("spots")).alias("id")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("spots").alias("spots"))
-    members = stage(members, "spot-sets")
+    members = sets.groupBy(set_print(F.col("spots")).alias("print")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("spots").alias("spots"))
+    # exploded signatures bear a stored number of eight bytes, not the print
+    members = stage(members.withColumn("id", F.monotonically_increasing_id()), "spot-sets")
     each = members.select("id", F.size("spots").alias("size"), F.explode("spots").alias("spot"))
     seen = each.groupBy("spot").agg(F.count("*").alias("df")).filter("df > 1")  # a signature of one set brings no pair
     alone = each.join(seen, "spot")
@@ -106,10 +107,10 @@ def matched_sets(sets: DataFrame, least: float = 0.8) -> DataFrame:
         return members.join(ids, "id", "left_semi").select("id", F.col("spots").alias("features"))
 
     labels, _ = resolve(buckets, verify, least, [(features, lambda x: x * least)], lambda x, y: (x + y) * (least / (1 + least)))
-    labelled = members.select("id", "first_id", "rows").join(labels, "id", "left")
-    named = stage(labelled.filter("rows > 1 or label is not null").select("id", "first_id", F.coalesce("label", "id").alias("label")), "spot-labels")
+    labelled = members.select("id", "print", "first_id", "rows").join(labels, "id", "left")
+    named = stage(labelled.filter("rows > 1 or label is not null").select("print", "first_id", F.coalesce("label", "id").alias("label")), "spot-labels")
     smallest = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    out = stage(named.join(smallest, "label").select(F.col("id").alias("print"), "class_id"), "spot-classes")
+    out = stage(named.join(smallest, "label").select("print", "class_id"), "spot-classes")
     discard(members, named)
     return out
 
